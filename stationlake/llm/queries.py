@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, secret_scan
-from .common import table
+from . import bpe, language_id, packing, secret_scan
+from .common import remainder_of_id, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -40,6 +40,13 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.coalesce(remainder_of_id("doc_id", 5), F.lit(1))
+    model = language_id.fit(docs, learn=fold != 0)
+    return language_id.predict(docs, model).select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -48,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_byte_bpe": op4_byte_bpe,
         "op6_secret_scan": op6_secret_scan,
+        "op8_language_id": op8_language_id,
         "op10_packing": op10_packing,
     }
 
