@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_template, language_id, packing, secret_scan
+from . import bpe, html_template, language_id, license_scan, packing, secret_scan
 from .common import remainder_of_id, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     return bpe.decode(encoded, RANKS).select(
@@ -57,6 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_license_scan": op2_license_scan,
         "op4_byte_bpe": op4_byte_bpe,
         "op6_secret_scan": op6_secret_scan,
         "op8_language_id": op8_language_id,
@@ -66,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": license_scan.oracle()}
