@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_template, language_id, license_scan, packing, secret_scan
+from . import bpe, html_template, language_id, license_scan, mtree, packing, rp_forest, secret_scan
 from .common import remainder_of_id, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -18,6 +18,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     return bpe.decode(encoded, RANKS).select(
@@ -44,6 +48,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.nearest_rows(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.coalesce(remainder_of_id("doc_id", 5), F.lit(1))
@@ -62,8 +70,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_license_scan": op2_license_scan,
+        "op3_mtree": op3_mtree,
         "op4_byte_bpe": op4_byte_bpe,
         "op6_secret_scan": op6_secret_scan,
+        "op7_rp_forest": op7_rp_forest,
         "op8_language_id": op8_language_id,
         "op9_html_template": op9_html_template,
         "op10_packing": op10_packing,
@@ -71,4 +81,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan.oracle()}
+    exact_top_k = """
+    WITH whole AS (
+        SELECT vec_id AS id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS vec FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT q.id AS query_id, v.id AS vec_id, list_dot_product(q.vec, v.vec)::BIGINT AS score
+        FROM whole q JOIN whole v ON q.id <> v.id AND len(q.vec) = len(v.vec) WHERE q.id % 100 = 0)
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+    FROM scored QUALIFY rank <= 10
+    """
+    return {"op3_mtree": exact_top_k, "op2_license_scan": license_scan.oracle()}
