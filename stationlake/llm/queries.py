@@ -8,12 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_template, language_id, license_scan, mtree, packing, rp_forest, secret_scan
+from . import bpe, html_template, language_id, language_model, license_scan, mtree, packing, rp_forest, secret_scan
 from .common import remainder_of_id, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = remainder_of_id("doc_id", 10)
+    scored = language_model.score(docs, train=fold != 0)
+    return scored.withColumn("held_out", F.coalesce(remainder_of_id("doc_id", 10) == 0, F.lit(False)))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -69,6 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_model": op1_language_model,
         "op2_license_scan": op2_license_scan,
         "op3_mtree": op3_mtree,
         "op4_byte_bpe": op4_byte_bpe,
