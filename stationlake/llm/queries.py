@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_template, language_id, language_model, license_scan, mtree, packing, rp_forest, secret_scan
+from . import bpe, html_template, language_id, language_model, license_scan, mtree, ngram_join, packing, rp_forest, secret_scan
 from .common import remainder_of_id, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -44,6 +44,10 @@ def _joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_license_scan": op2_license_scan,
         "op3_mtree": op3_mtree,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_ngram_join": op5_ngram_join,
         "op6_secret_scan": op6_secret_scan,
         "op7_rp_forest": op7_rp_forest,
         "op8_language_id": op8_language_id,
