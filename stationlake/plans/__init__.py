@@ -1,4 +1,4 @@
 """The registered queries."""
 
-from . import ingest, windows  # noqa: F401
+from . import forecasts, health, ingest, windows  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
