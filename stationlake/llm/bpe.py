@@ -14,7 +14,8 @@ from __future__ import annotations
 import base64
 import re
 import struct
-from itertools import chain
+from array import array
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ SPACE = "\t-\r \x85\xa0  -     　"
 #: Cuts a text where no match of a GPT-style pattern can cross: before each run of non-space with the one blank
 #: ahead of it. The parts recur far more often than texts do and are worth remembering.
 PART = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Parts that a Python worker remembers before it forgets them all.
-REMEMBERED = 150_000
+#: Parts that a Python worker remembers before it forgets them all: about 100 MB.
+REMEMBERED = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -87,62 +88,108 @@ def exact_spaces(pattern: str) -> str:
     return pattern.replace("[^\\s", f"[^{SPACE}").replace("\\s", f"[{SPACE}]").replace("\\S", f"[^{SPACE}]")
 
 
-class PartEncoder(dict):
-    """Part of a text -> its ids as little-endian 32-bit bytes."""
+class PartEncoder:
+    """Texts -> their ids as little-endian 32-bit bytes. Parts not met before are encoded together."""
 
     def __init__(self, model: bytes, pattern: str):
         import regex
         import sentencepiece
 
-        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.encode = sentencepiece.SentencePieceProcessor(model_proto=model).encode
         self.find = regex.compile(exact_spaces(pattern)).findall
-        self.letters = {chr(b): c for b, c in enumerate(byte_letters())}
-        self.table = str.maketrans(self.letters)
-
-    def __missing__(self, part: str) -> bytes:
-        mapped = [m.encode().decode("latin-1").translate(self.table) for m in self.find(part)]
-        ids = list(chain.from_iterable(map(self.pieces.encode, mapped)))  # a list in one call starts a thread each time
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[part] = np.array(ids, dtype="<u4").tobytes()
-        return found
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, PART.findall(text)))
+        self.table = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, parts: list[str]):
+        if len(self.known) + len(parts) > REMEMBERED:
+            self.known.clear()
+        tokens, counts = [], []
+        for part in parts:
+            # letters, with or without a blank ahead, are one match of any GPT-style pattern
+            found = [part] if part.isalpha() or part[0] == " " and part[1:].isalpha() else self.find(part)
+            tokens += found
+            counts.append(len(found))
+        mapped = [t.encode().decode("latin-1").translate(self.table) for t in tokens]
+        ids = iter(self.encode(mapped, num_threads=1) if mapped else [])
+        for part, n in zip(parts, counts, strict=True):
+            self.known[part] = array("I", next(ids) if n == 1 else chain.from_iterable(islice(ids, n))).tobytes()
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        out, at = [], 0
+        while at < len(texts):
+            some, parts = [], 0
+            while at < len(texts) and (not some or parts < 200_000):
+                some.append(PART.findall(texts[at]))
+                parts += len(some[-1])
+                at += 1
+            if new := set().union(*some).difference(self.known):
+                self._learn(list(new))
+                if any(p not in self.known for found in some for p in found):  # forgotten just now
+                    self._learn([p for p in set().union(*some) if p not in self.known])
+            out += [b"".join(map(self.known.__getitem__, found)) for found in some]
+        return out
+
+
+class Decoder:
+    """Ids -> the bytes they stand for, many at once: each byte is looked up in the joined pieces."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pieces = sorted(ranks, key=ranks.get)
+        self.joined = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        self.lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def bytes(self, ids: np.ndarray) -> bytes:
+        lengths = self.lengths[ids]
+        shift = self.starts[ids] - (np.cumsum(lengths) - lengths)
+        return self.joined[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))].tobytes()
+
+
+def _lists(found: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, found)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``id_col`` and ``ids`` (array of int), one for each row of ``docs``. The vocabulary is bounded (about
     1 MB) and travels with the task."""
-    model = serialise_model(read_ranks(ranks_path))
-    id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return _encode(docs, ranks_path, pattern, id_col, text_col, False)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass: rows of ``id_col``, ``ids`` and ``decoded`` (binary), decoded from the ids alone."""
+    return _encode(docs, ranks_path, pattern, id_col, text_col, True)
+
+
+def _encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, back: bool) -> DataFrame:
+    ranks = read_ranks(ranks_path)
+    model = serialise_model(ranks)
+    fields = [docs.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType(fields + [T.StructField("decoded", T.BinaryType())] * back)
 
     def run(batches):
-        encoder = PartEncoder(model, pattern)
+        encoder, decoder = PartEncoder(model, pattern), Decoder(ranks)
         for batch in slices(batches):
-            found = [encoder.ids(text) for text in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, found)]) // 4
-            ids = pa.array(np.frombuffer(b"".join(found), dtype="<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_col, "ids"])
+            found = encoder.ids(batch.column(1).to_pylist())
+            columns = [batch.column(0), _lists(found)]
+            if back:
+                columns.append(pa.array([decoder.bytes(np.frombuffer(f, dtype="<u4")) for f in found], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
     return rows.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Adds ``decoded`` (binary): the bytes that the ids stand for."""
+    """Rows of ``id_col`` and ``decoded`` (binary): the bytes that the ids stand for; null ids stay null."""
     ranks = read_ranks(ranks_path)
-    table = sorted(ranks, key=ranks.get)
-    schema = T.StructType([*encoded.select(id_col, ids_col).schema.fields, T.StructField("decoded", T.BinaryType())])
+    schema = T.StructType([encoded.schema[id_col], T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
-        look = table.__getitem__
+        decoder = Decoder(ranks)
         for batch in slices(batches):
-            decoded = [b"".join(map(look, ids)) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(decoded, pa.binary())], names=[id_col, ids_col, "decoded"]
-            )
+            lists = batch.column(1)
+            decoded = [decoder.bytes(lists[i].values.to_numpy()) if lists[i].is_valid else None for i in range(len(lists))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decoded, pa.binary())], names=schema.names)
 
     return encoded.select(id_col, ids_col).mapInArrow(run, schema)
