@@ -1,4 +1,4 @@
 """The registered queries."""
 
-from . import forecasts, health, ingest, relations, windows  # noqa: F401
+from . import decisions, expressions, farm, forecasts, health, ingest, relations, windows  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

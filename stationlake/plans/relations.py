@@ -33,7 +33,8 @@ def nearest_within_tol(spark, sf_dir):
 
 
 SPANS_SQL = """spans AS (SELECT o_orderkey, o_custkey, epoch_us(o_orderdate) // 86400000000 AS start, max(epoch_us(l_shipdate)) // 86400000000 AS "end"
-    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3 HAVING max(epoch_us(l_shipdate)) > epoch_us(o_orderdate))"""
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey, o_orderdate
+    HAVING max(epoch_us(l_shipdate)) // 86400000000 > epoch_us(o_orderdate) // 86400000000)"""
 
 
 def spans(spark, sf_dir):
