@@ -6,17 +6,21 @@ Each stage works on all that its predecessor kept. All but the last return the c
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationlake.llm import language_id, ngram_join, packing, secret_scan
 from stationlake.llm.common import remainder_of_id, settle, table
 
 
+def learned_from() -> Column:
+    """The labelled rows that the language model may learn from: four fifths, by a hash of the id."""
+    return F.coalesce(remainder_of_id("doc_id", 5), F.lit(1)) != 0
+
+
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is near a centroid of some language; those without a letter go, too."""
-    fold = F.coalesce(remainder_of_id("doc_id", 5), F.lit(1))
-    return language_id.keep_known(docs, language_id.fit(docs, learn=fold != 0))
+    return language_id.keep_known(docs, language_id.fit(docs, learn=learned_from()))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
