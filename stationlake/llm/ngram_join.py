@@ -32,6 +32,8 @@ from .components import components
 WORDS = re.compile(r"\w+")
 #: Words whose hashes a Python worker remembers.
 REMEMBERED = 500_000
+#: Slots that the ids of texts in candidate groups are hashed to; their table is broadcast and holds this many numbers at most.
+SLOTS = 1 << 21
 
 
 class WordHashes(dict):
@@ -184,7 +186,11 @@ def join(
     members = classes.join(groups, "node").drop("node", "prefixes", "copies").join(size, "label")
     members = members.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(3)), F.col("chunks")))
     members = settle(members.select("key", "rep", "label", "chunks", "chunk"), "members")
-    texts = members.join(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")), "rep")
+    # most texts are in no group: only those whose id falls on a slot of some member's are shuffled
+    slot = F.pmod(F.xxhash64("rep"), F.lit(SLOTS)).alias("slot")
+    called = F.broadcast(members.select(slot).distinct())
+    near = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).withColumn("slot", slot).join(called, "slot", "left_semi")
+    texts = members.join(near.drop("slot"), "rep")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")
     pieces = texts.select("key", "text", "label", "chunk", "chunks", other).select(
         "key",
