@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -36,7 +37,7 @@ def fold(rows: Iterable[tuple[int, float | None, float | None]], state: tuple |
         else:
             mm, peak = max(0.0, total - peak), max(peak, total)
         state = (t, peak, restarted)
-        yield int(mm * 1000 + 0.5) / 1000, state
+        yield math.floor(mm * 1000 + 0.5) / 1000, state
 
 
 def counter_rain(readings: DataFrame, keys: list[str]) -> DataFrame:

@@ -29,7 +29,10 @@ DAYS_SQL = f"""{RAW_SQL},
     judged AS (SELECT station_id, day, channel, slots, measured, coalesce(bad, 0) AS bad, coalesce(suspect, 0) AS suspect,
         CASE WHEN measured = 0 OR coalesce(bad, 0) > 0.05 * slots OR coalesce(suspect, 0) = slots THEN 'bad' WHEN coalesce(suspect, 0) > 0.05 * slots THEN 'suspect' ELSE 'good' END AS verdict
         FROM measured LEFT JOIN flagged USING (station_id, day, channel))"""
-DAY = F.floor((F.col("slot") + 10800) / 86400)
+
+
+def business_day():
+    return F.floor((F.col("slot") + 10800) / 86400)
 
 
 def raw(spark, sf_dir):
@@ -63,9 +66,9 @@ def stuck_runs(spark, sf_dir):
 def daily_health(spark, sf_dir):
     """A day's score from its channels and its silence."""
     r = raw(spark, sf_dir)
-    judged = quality.channel_days(r, quality.rule_hits(r, KEYS), KEYS, CHANNELS, DAY).withColumn("verdict", quality.verdict())
+    judged = quality.channel_days(r, quality.rule_hits(r, KEYS), KEYS, CHANNELS, business_day()).withColumn("verdict", quality.verdict())
     silent = series.charge_gaps(series.gaps(readings(spark, sf_dir), KEYS, F.lit(3600)), KEYS)
-    silent = silent.groupBy("station_id", DAY.alias("day")).agg(F.sum("gap_seconds").alias("gap_seconds"))
+    silent = silent.groupBy("station_id", business_day().alias("day")).agg(F.sum("gap_seconds").alias("gap_seconds"))
     return quality.day_scores(judged, silent, KEYS)
 
 
@@ -73,14 +76,14 @@ def daily_health(spark, sf_dir):
 def group_status(spark, sf_dir):
     """Each channel's verdict over a window, here a day."""
     r = raw(spark, sf_dir)
-    return quality.channel_days(r, quality.rule_hits(r, KEYS), KEYS, CHANNELS, DAY).withColumn("verdict", quality.verdict())
+    return quality.channel_days(r, quality.rule_hits(r, KEYS), KEYS, CHANNELS, business_day()).withColumn("verdict", quality.verdict())
 
 
 @query(f"WITH {RAW_SQL} SELECT rule, count(DISTINCT (station_id, slot)) AS slots, count(DISTINCT (station_id, (slot + 10800) // 86400)) AS days FROM long GROUP BY 1")
 def rule_counts(spark, sf_dir):
     """Slots and days on which a rule was broken."""
     return quality.rule_hits(raw(spark, sf_dir), KEYS).groupBy("rule").agg(
-        F.count_distinct("station_id", "slot").alias("slots"), F.count_distinct("station_id", DAY).alias("days")
+        F.count_distinct("station_id", "slot").alias("slots"), F.count_distinct("station_id", business_day()).alias("days")
     )
 
 
