@@ -25,7 +25,7 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id."""
-    joined = ngram_join.join(docs).select("doc_id", "class_id")
+    joined = settle(ngram_join.join(docs).select("doc_id", "class_id"), "near-duplicates")
     kept = joined.filter(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
     if joined.groupBy("doc_id").count().filter("count > 1").isEmpty():
