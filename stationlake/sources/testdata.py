@@ -16,7 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, station_id, t (epoch seconds) and one channel of temp, rh, press, wind, rain for each event."""
-    events = table(spark, sf_dir, "events")
+    return station_rows(table(spark, sf_dir, "events"))
+
+
+def station_rows(events: DataFrame) -> DataFrame:
     of = lambda kind, x: F.when(F.col("event_type") == kind, x)
     value = F.col("value")
     return events.select(

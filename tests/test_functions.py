@@ -65,3 +65,48 @@ def test_sun_at_the_equator(spark):
     rise, set_ = value(spark, sun["sunrise"]), value(spark, sun["sunset"])
     assert set_ - rise == pytest.approx(727, abs=3)
     assert (rise + 180) / 60 == pytest.approx(6.6, abs=0.2)
+
+
+#: air, humidity, pressure, wind, light, direct share, cosine -> globe, natural and psychrometric wet bulb, WBGT
+OUTDOOR = [
+    ((28, 40, 852, 1.0, 900, 0.712765, 0.986814), (48.3233, 21.5639, 17.7491, 27.5594)),
+    ((15, 85, 852, 0.0, 0, 0, -0.992678), (12.3539, 12.7179, 13.3787, 12.8733)),
+    ((33, 65, 1010, 2.5, 950, 0.725457, 0.999403), (48.1206, 28.8586, 27.216, 33.1251)),
+    ((38, 15, 950, 6.0, 800, 0.67627, 0.867033), (46.9492, 19.7904, 18.253, 27.0431)),
+    ((16, 80, 852, 0.5, 200, 0.586275, 0.245834), (26.1289, 16.3478, 13.7475, 18.2693)),
+    ((21, 70, 852, 1.5, 300, 0.010073, 0.987832), (28.5064, 18.8612, 17.0519, 21.0041)),
+    ((26, 50, 852, 1.0, 1125.692505, 0.9, 0.986814), (49.7022, 21.7798, 18.1285, 27.7863)),
+]
+
+
+def test_outdoor_heat_golden(spark):
+    from stationlake.functions import liljegren
+
+    names = ["air", "rh", "p", "wind", "solar", "direct", "cosine"]
+    rows = [(k, *map(float, i)) for k, (i, _) in enumerate(OUTDOOR)] + [(9, None, 50.0, 850.0, 1.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "k int, " + ", ".join(f"{n} double" for n in names))
+    got = {r["k"]: r["w"] for r in df.select("k", liljegren.wbgt_outdoor(*names).alias("w")).collect()}
+    for k, (_, want) in enumerate(OUTDOOR):
+        assert tuple(got[k]) == pytest.approx(want, abs=0.02)
+    assert got[9]["wbgt"] is None
+
+
+@pytest.mark.parametrize("question,want", [("When should I spray my maize?", "spray"), ("Will it RAIN", "rain"), ("best time to walk", "best_time"), ("hello", "overview"), (None, "overview"), ("Je, mvua itanyesha?", "rain")])
+def test_intents(spark, question, want):
+    from stationlake.functions import text
+
+    assert value(spark, text.intent(F.lit(question).cast("string"))) == want
+
+
+@pytest.mark.parametrize("number,good", [("24", True), ("23.9", True), ("23.8", False), ("26", True), ("19.8", False)])
+def test_grounding_rounds_as_written(spark, number, good):
+    from stationlake.functions import text
+
+    assert value(spark, text.grounded(F.lit(number), F.array(F.lit(23.9), F.lit(-26.0), F.lit(19.5)))) is good
+
+
+def test_templates_and_references(spark):
+    from stationlake.functions import text
+
+    assert value(spark, text.fill(F.lit("{a} at {b}"), a=F.lit("x"), b=F.lit("y"))) == "x at y"
+    assert value(spark, text.escape_html(F.lit("<a & 'b'>"))) == "&lt;a &amp; &#39;b&#39;&gt;"
