@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import half_up
@@ -76,3 +76,34 @@ def pair_audit(rows: DataFrame, pairs: list[tuple[str, str]], keys: list[str]) -
     return d.groupBy(*keys, "pair").agg(F.count(F.lit(1)).alias("n"), half_up(F.avg("d"), 4).alias("bias"), half_up(F.avg(F.abs("d")), 4).alias("mean_abs"), half_up(F.max(F.abs("d")), 4).alias("largest"))
 
 
+
+THERMOMETERS = ("temp", "temp_b", "temp_c")
+
+
+def sensor_hits(series: DataFrame, keys: list[str], day: Column, time: str = "slot") -> DataFrame:
+    """Dark light sensors (R06), thermometers apart (R09, all three are named), a gust direction that copies the gust's speed on a
+    gusty day (R13), device codes (R15), a device's WBGT below the wet bulb (R16). Columns: temp, temp_b, temp_c, light, gust,
+    gust_dir, code, firmware, wet_bulb."""
+    t = [F.col(c) for c in THERMOMETERS]
+    apart = (F.greatest(*t) - F.least(*t) > 2) & (F.size(F.array_compact(F.array(*t))) >= 2)
+    of_day = Window.partitionBy(*keys, day)
+    gusty = F.col("gust_dir").isNotNull() & (F.col("gust") > 0)
+    copied = gusty & (F.abs(F.col("gust_dir") - F.col("gust")) < 0.05)
+    gusts, copies = F.sum(gusty.cast("int")).over(of_day), F.sum(copied.cast("int")).over(of_day)
+    rows = series.withColumn("_copy", F.col("gust_dir").isNotNull() & (gusts > 0.05 * F.count(F.lit(1)).over(of_day)) & (copies >= 0.99 * gusts))
+    tests: list[tuple[str, str, str, Column]] = [("R06", "light", "suspect", F.col("light") < 240)]
+    tests += [("R09", c, "suspect", apart) for c in THERMOMETERS]
+    tests += [("R13", "gust_dir", "bad", F.col("_copy")), ("R15", "code", "info", F.col("code") != 0), ("R16", "firmware", "suspect", F.col("firmware") < F.col("wet_bulb") - 1.5)]
+    hits = F.array(*(F.when(x, F.struct(F.lit(r).alias("rule"), F.lit(c).alias("channel"), F.lit(f).alias("flag"))) for r, c, f, x in tests))
+    return rows.select(*keys, time, F.inline(F.array_compact(hits)))
+
+
+def silent_gauge(first: Column, second: Column, least: float = 0.4) -> Column:
+    """The gauge that read nothing on a day when the other read rain."""
+    return F.when((first >= least) & (second == 0), "gauge_2").when((second >= least) & (first == 0), "gauge_1")
+
+
+def empty_channels(series: DataFrame, keys: list[str], channels: list[str], day: Column) -> DataFrame:
+    """Channels without any reading on a day."""
+    counted = series.groupBy(*keys, day.alias("day")).agg(*(F.count(c).alias(c) for c in channels))
+    return counted.unpivot([*keys, "day"], channels, "channel", "readings").filter("readings = 0").drop("readings")
