@@ -112,8 +112,9 @@ def scan(
     )
     words = F.filter(F.split("part", r"[ \n]+"), lambda w: w != "")
     n = F.size("words")
+    pairs = F.greatest(n - 1, F.lit(0))  # Spark may make bigrams before it drops short parts
     bigrams = F.array_distinct(
-        F.zip_with(F.slice("words", 1, n - 1), F.slice("words", F.lit(2), n - 1), lambda a, b: F.concat_ws(" ", a, b))
+        F.zip_with(F.slice("words", 1, pairs), F.slice("words", F.lit(2), pairs), lambda a, b: F.concat_ws(" ", a, b))
     )
     # a part of n words has n - 1 bigrams at most and, with few words repeated, not many fewer: only the lower
     # bound can be tested on words; the upper one waits for the distinct bigrams

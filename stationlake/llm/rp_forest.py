@@ -6,7 +6,8 @@ walks all trees of a shard through one priority queue: the side of a split that
 priority, the other side gets the least margin on its way. Leaves are taken, best first, until the wanted share of the
 shard's rows is gathered; these candidates are ranked by their exact distance in double precision.
 
-The share is a parameter, the same at every size. Ties go to the smaller id. See ``vector_search`` for nulls,
+The share is a parameter, the same at every size; the default suits vectors without any structure, of which half a shard held
+under nine tenths of the true neighbours. Ties go to the smaller id. See ``vector_search`` for nulls,
 copies and shards; vectors of length zero take no part either.
 """
 
@@ -102,8 +103,8 @@ def nearest_rows(
     queries: Column,
     top: int = 10,
     trees: int = 16,
-    leaf: int = 64,
-    share: float = 0.5,
+    leaf: int = 16,
+    share: float = 0.7,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     rows_per_shard: int = 8192,

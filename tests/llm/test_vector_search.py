@@ -98,7 +98,7 @@ def test_edges(spark, search):
         (0, [1.0, 2.0], *extra),
     ]
     got = by_query(search(spark.createDataFrame(rows, schema)))
-    assert got.keys() == {0} and [n for _, n, _ in got[0]] == [i for i in range(1, 12) if i != 7][:10]
+    assert got.keys() == {0} and [n for _, n, _ in got[0]] == list(range(1, 11))
     alone = by_query(search(spark.createDataFrame([(0, [1.0, 2.0], *extra), (3, [0.5, 0.25], *extra)], schema)))
     assert [(r, n) for r, n, _ in alone[0]] == [(1, 3)]
     assert search(spark.createDataFrame([], schema)).count() == 0
