@@ -7,7 +7,7 @@ others are left out before anything is shuffled: the limit runs in each task fir
 hold stays cheap. Vectors of another length than the query's never meet it.
 
 Defined results: a null id takes no part, nor does a vector that is null, empty, or holds a null or non-finite component; a query's own id is left
-out of its candidates; repeated query rows are answered once; no rows give no results; other columns aren't read.
+out of its candidates; repeated rows count and are answered once; no rows give no results; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def search(
     ids, scores) of its best rows. ``best_last`` tells that high scores are best."""
     spark = vectors.sparkSession
     order = Window.partitionBy("vec").orderBy("id")
-    rows = vectors.withColumn("copy", F.row_number().over(order)).filter(F.col("copy") <= top + 1).drop("copy")
+    rows = vectors.dropDuplicates(["id", "vec"]).withColumn("copy", F.row_number().over(order)).filter(F.col("copy") <= top + 1).drop("copy")
     rows = settle(rows, f"{name}-rows")
     asked = vectors.filter(queries).dropDuplicates(["id", "vec"])
     shards = max(1, -(-rows.count() // rows_per_shard))
