@@ -67,4 +67,4 @@ def test_edges(spark, sf_dir):
 
 def test_sample_is_bounded(spark):
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("mot et mots").alias("text"), F.lit("fr").alias("lang"))
-    assert language_id.fit(docs, F.lit(True), sample_per_language=10).languages == ["fr"]
+    assert set(language_id.fit(docs, F.lit(True), sample_per_language=10).languages) == {"fr"}

@@ -74,7 +74,7 @@ def test_redaction(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
     got = secret_scan.redact(docs)
     assert got.columns == docs.columns
-    texts = sorted((r["text"] or "-" for r in got.collect()))
+    texts = sorted("-" if r["text"] is None else r["text"] for r in got.collect())
     assert texts == sorted(["é password: [SECRET] and token=[SECRET]", "-", "", "nothing here", "api_key='[SECRET]'"])
 
 
