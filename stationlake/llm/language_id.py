@@ -34,7 +34,7 @@ def counts(text: str | None, dimensions: int) -> np.ndarray | None:
     if not text:
         return None
     letters = NOT_LETTERS.sub(" ", text.lower()).strip()
-    if not letters:
+    if not any(map(str.isalpha, letters)):  # signs such as superscripts are no letters
         return None
     b = np.frombuffer(f" {letters} ".encode(), dtype=np.uint8).astype(np.uint32)
     total = np.zeros(dimensions)

@@ -53,10 +53,10 @@ def test_rejects_what_is_far(spark, sf_dir):
 def test_edges(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language_id.fit(docs, F.lit(True))
-    rows = [(1, None, "x"), (1, None, "x"), (2, "", "x"), (3, "12 34 !!", "x"), (None, "the and of it " * 50_000, "x")]
+    rows = [(1, None, "x"), (1, None, "x"), (2, "", "x"), (3, "12 34 !!", "x"), (4, "² ½ _", "x"), (None, "the and of it " * 50_000, "x")]
     odd = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string").withColumn("score", F.lit("clash"))
     got = language_id.predict(odd, model).collect()
-    assert len(got) == 5 and sum(r["lang_pred"] == "und" and r["score"] == 0 and r["rejected"] for r in got) == 4
+    assert len(got) == 6 and sum(r["lang_pred"] == "und" and r["score"] == 0 and r["rejected"] for r in got) == 5
     assert language_id.keep_known(odd, model).columns == odd.columns
     assert language_id.predict(odd.limit(0), model).count() == 0
     nothing = language_id.fit(docs, F.lit(False))
