@@ -103,8 +103,8 @@ def nearest_rows(
     queries: Column,
     top: int = 10,
     trees: int = 16,
-    leaf: int = 16,
-    share: float = 0.7,
+    leaf: int = 64,
+    share: float = 0.8,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     rows_per_shard: int = 8192,
