@@ -110,3 +110,33 @@ def test_templates_and_references(spark):
 
     assert value(spark, text.fill(F.lit("{a} at {b}"), a=F.lit("x"), b=F.lit("y"))) == "x at y"
     assert value(spark, text.escape_html(F.lit("<a & 'b'>"))) == "&lt;a &amp; &#39;b&#39;&gt;"
+
+
+def test_sun_overhead_and_distance(spark):
+    """At the June solstice noon the sun stands 23.44 degrees north; it is nearest in early January."""
+    import math
+
+    from stationlake.functions import sun
+
+    june, january = 1_750_507_200, 1_735_905_600  # 2025-06-21 12:00 UTC, 2025-01-03 12:00 UTC
+    cosine, far = sun.position(F.lit(june), latitude=23.44, longitude=0.0)
+    assert value(spark, cosine) == pytest.approx(1, abs=2e-4)
+    assert value(spark, far) == pytest.approx(1.0163, abs=5e-4)
+    assert value(spark, sun.position(F.lit(january))[1]) == pytest.approx(0.9833, abs=5e-4)
+    night = sun.position(F.lit(june), latitude=0.0, longitude=180.0)[0]
+    assert value(spark, night) == pytest.approx(-math.cos(math.radians(23.44)), abs=1e-3)
+
+
+def test_hourly_mean_of_a_rising_sun(spark):
+    from stationlake.functions import sun
+
+    sunrise = 1_750_507_200 - 12 * 3600 + 6 * 3600
+    mean = value(spark, sun.hourly_mean(F.lit(sunrise), latitude=0.0, longitude=0.0))
+    assert 0 < mean < value(spark, sun.position(F.lit(sunrise + 3600), latitude=0.0, longitude=0.0)[0])
+
+
+@pytest.mark.parametrize("x,want", [(None, "grey"), (13.9, "#ECA47F"), (14.0, "#E28755"), (99.0, "#822F00")])
+def test_colours(spark, x, want):
+    from stationlake.functions import sun
+
+    assert value(spark, sun.colour(F.lit(x).cast("double"), "temperature", "grey")) == want
