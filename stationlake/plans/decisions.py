@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.heat import risk_band, shade_wbgt, stull_wet_bulb
+from .. import api
 from ..functions.rounding import half_up
-from ..operators import alerts, besttime, counters, series, spatial
+from ..operators import alerts, besttime, counters, spatial
 from ..sources.testdata import GRID_SQL, READINGS_SQL, readings, table
 from .expressions import STULL_SQL, band_sql
 from .registry import query, r4
-from .windows import grid
 
 KEYS = ["station_id"]
 FILLED_SQL = f"""{GRID_SQL}, filled AS (SELECT station_id, slot, n, coalesce(last_value(temp IGNORE NULLS) OVER w, 20) AS temp, coalesce(last_value(rh IGNORE NULLS) OVER w, 60) AS rh,
@@ -20,8 +19,7 @@ FILLED_SQL = f"""{GRID_SQL}, filled AS (SELECT station_id, slot, n, coalesce(las
 
 
 def wbgt(spark, sf_dir):
-    g = series.carry(grid(spark, sf_dir), KEYS, {"temp": 20.0, "rh": 60.0})
-    return g.withColumn("wbgt", shade_wbgt(F.col("temp"), stull_wet_bulb(F.col("temp"), F.col("rh"))))
+    return api.exposure(readings(spark, sf_dir))
 
 
 @query(f"""WITH {FILLED_SQL}, l AS (SELECT station_id, slot, wbgt, wbgt - lag(wbgt, 4) OVER w AS change_1h, avg(imputed) OVER (w ROWS 95 PRECEDING) AS filled_share,
@@ -29,18 +27,7 @@ def wbgt(spark, sf_dir):
     SELECT station_id, slot, {r4('wbgt')} AS wbgt, {band_sql('floor(wbgt * 10 + 0.5) / 10')} AS band, {r4('change_1h')} AS change_1h, {r4('filled_share')} AS filled_share FROM l WHERE k = 1""")
 def situation(spark, sf_dir):
     """The flagship: each station's latest slot, its WBGT and band, the change in an hour, and how much was filled in a day."""
-    w = series.over(KEYS)
-    filled = F.avg((F.size("imputed") > 0).cast("int")).over(w.rowsBetween(-95, 0))
-    rows = wbgt(spark, sf_dir).withColumns({"change_1h": F.col("wbgt") - F.lag("wbgt", 4).over(w), "filled_share": filled})
-    last = rows.groupBy("station_id").agg(F.max_by(F.struct("slot", "wbgt", "change_1h", "filled_share"), "slot").alias("s")).select("station_id", "s.*")
-    return last.select(
-        "station_id",
-        "slot",
-        half_up(F.col("wbgt"), 4).alias("wbgt"),
-        risk_band(half_up(F.col("wbgt"), 1)).alias("band"),
-        half_up(F.col("change_1h"), 4).alias("change_1h"),
-        half_up(F.col("filled_share"), 4).alias("filled_share"),
-    )
+    return api.situation(readings(spark, sf_dir))
 
 
 WINDOWS_SQL = f"""{FILLED_SQL}, f AS (SELECT station_id, slot, slot // 86400 AS day, wbgt AS value, 1 + (slot // 900 % 7) / 10.0::double AS width FROM wbgt),
