@@ -6,7 +6,9 @@ construction, minimisation, and a transition array of 256 cells for each state.
 carries one state for all rules and notes where some rule's head and first tail character end (or, without a head, its
 ``least``-th tail character). From those few places an automaton for the reversed rule walks back to the
 leftmost start. Per rule, matches are leftmost, take the whole run, and don't overlap; a match that is too short is
-dropped but still consumes its characters.
+dropped but still consumes its characters. A rule with a ``rest`` goes on after the run, as far as an automaton for
+the first of ``rest`` that matches: a private key is its header, its body and its END line. Without an END line its body is what follows of
+base64, blanks, line ends (escaped ones, too), quotes and key headers, so words right after a header are masked with it.
 
 No head may hold another match of the same rule, or the first end found wouldn't belong to the leftmost start.
 
@@ -37,9 +39,16 @@ class Rule:
     tail: str
     least: int
     value_is_tail: bool = False
+    rest: tuple[str, ...] = ()
 
 
 WORD = "[A-Za-z0-9_-]"
+KEY = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?"
+#: From a private key's header to its END line, whatever stands between; else all that can belong to a body cut short.
+KEY_BODY = (
+    rf"(?:[\x00-,.-\xff]|-{{1,4}}[\x00-,.-\xff])*-----END {KEY}-----",
+    r"""(?:[A-Za-z0-9+/=\x20\t\r\n\\"']|Proc-Type:\x20?[0-9],[A-Z-]+|DEK-Info:\x20?[A-Z0-9-]+,[0-9A-Fa-f]+|(?:Version|Comment):[\x20-\[\]-\xff]*)*""",
+)
 #: The first three are the base rules; the others add well-known key formats.
 RULES = (
     Rule(
@@ -55,7 +64,7 @@ RULES = (
     Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]", 10),
     Rule("google", "AIza", WORD, 35),
     Rule("jwt", rf"eyJ{WORD}+\.eyJ{WORD}+\.", WORD, 10),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY", "-", 5),
+    Rule("pem", f"-----BEGIN {KEY}", "-", 5, rest=KEY_BODY),
 )
 BASE = ("assign", "access", "hex")
 
@@ -201,6 +210,7 @@ class Scanner:
         ends = [r.head + r.tail if r.head else f"{r.tail}{{{r.least}}}" for r in rules]
         self.states = compile_rules(ends, search=True)
         self.back = [compile_rules([e], search=False, back=True)[0] for e in ends]
+        self.rests = [[compile_rules([x], search=False)[0] for x in r.rest] for r in rules]
         self.tails = [frozenset(b for b in range(256) if re.match(r.tail.encode(), bytes([b]))) for r in rules]
 
     def spans(self, data: bytes) -> list[tuple[str, int, int, int]]:
@@ -222,12 +232,25 @@ class Scanner:
                 rule, stop, tail = self.rules[k], end, self.tails[k]
                 while stop < len(data) and data[stop] in tail:
                     stop += 1
-                free[k] = stop
                 value = end - 1 if rule.head else start
-                if stop - value >= rule.least:
+                long_enough = stop - value >= rule.least
+                if long_enough:
+                    stop = next((e for row in self.rests[k] if (e := self._rest(data, stop, row)) > stop), stop)
+                free[k] = stop
+                if long_enough:
                     found.append((start, k, stop, value if rule.value_is_tail else start))
         return [(self.rules[k].kind, start, stop, value) for start, k, stop, value in sorted(found)]
 
+    @staticmethod
+    def _rest(data: bytes, stop: int, row: list) -> int:
+        """The end of the longest match from ``stop``."""
+        for at in range(stop, len(data)):
+            if (row := row[data[at]]) is None:
+                break
+            if row[256]:
+                stop = at + 1
+        return stop
+
 
 SPAN = T.StructType(
     [

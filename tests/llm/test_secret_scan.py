@@ -78,6 +78,23 @@ def test_redaction(spark):
     assert texts == sorted(["é password: [SECRET] and token=[SECRET]", "-", "", "nothing here", "api_key='[SECRET]'"])
 
 
+def test_private_keys_go_with_their_body(spark):
+    cases = []
+    lines = ["MIIEpAIBAAKCAQEA7x+/" + hashlib.sha256(bytes([i])).hexdigest()[:44] for i in range(6)] + ["Zm9v+/=="]
+    for kind in ("", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED ", "PGP "):
+        block = " BLOCK" if kind == "PGP " else ""
+        head, end = (f"-----{x} {kind}PRIVATE KEY{block}-----" for x in ("BEGIN", "END"))
+        for join in ("\n", "\r\n", " ", "\\n", "\n    ", '\\n"\n"'):
+            for extra in ([], ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B2C", ""]):
+                key = join.join([head, *extra, *lines])
+                cases += [(f"é {key}{join}{end}, then", "é [SECRET], then"), (f"é {key}", "é [SECRET]")]
+                cases.append((f"é {key}. Then", "é [SECRET]. Then"))
+    both = f"a\n-----BEGIN PRIVATE KEY-----\n{lines[0]}\n-----END PRIVATE KEY-----\nb, c\n-----BEGIN PRIVATE KEY-----\n> {lines[1]}\n> -----END PRIVATE KEY-----\nd"
+    cases.append((both, "a\n[SECRET]\nb, c\n[SECRET]\nd"))
+    got = secret_scan.redact(spark.createDataFrame(cases, "text string, left string")).collect()
+    assert len(got) == len(cases) and [r["text"] for r in got] == [r["left"] for r in got]
+
+
 def test_edges(spark):
     rows = [(1, None, 1), (1, None, 1), (2, "", 1), (None, "a" * 100_000 + " token=" + "b" * 100_000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kind int")
