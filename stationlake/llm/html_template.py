@@ -10,7 +10,7 @@ text, not content. The content slot of a host is its article container, else the
 varying text. Menus, adverts, comments and the like are told by their elements and by words in class and id, within the
 content slot as well.
 
-Defined results: a null or empty page, or one without content, has empty text; hosts with too few pages for a template
+Defined results: a null or empty page, or one without content, has empty text; hosts with too few distinct pages for a template
 go by elements and names alone; repeated rows give repeated rows; columns other than id, url and html aren't read, so
 their names can't clash.
 """
@@ -213,10 +213,21 @@ def occurrences(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, PARTIAL)
 
 
+def distinct_pages(pages: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """Rows of (digest, host, html), one for each distinct html of a host. Only pages that have copies are shuffled."""
+    keyed = pages.select(F.xxhash64("html").alias("digest"), "host", "html")
+    copies = settle(keyed.groupBy("host", "digest").count().filter("count > 1").select("host", "digest"), "page-copies")
+    size = copies.agg(F.sum(F.length("host") + 16)).first()[0] or 0
+    few = F.broadcast(copies) if size <= broadcast_bytes else copies
+    single = keyed.join(few, ["host", "digest"], "left_anti")
+    once = keyed.join(few, ["host", "digest"], "left_semi").dropDuplicates(["host", "digest"])
+    return single.select("digest", "host", "html").union(once.select("digest", "host", "html"))
+
+
 def deduce_templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.5) -> DataFrame:
     """One row for each host that has a template: ``fixed``, the hashes of the text tokens in valid classes, and ``slot``,
-    the path of the container that holds the content. ``pages`` has a page key, host and html."""
-    partial = occurrences(pages)
+    the path of the container with the most varying text. ``pages`` has a host and html; copies of a page count once."""
+    partial = occurrences(distinct_pages(pages))
     # wrapping 64-bit sums: a plain sum may overflow, so the two halves are added apart
     low, high = F.col("vector").bitwiseAND(0xFFFFFFFF), F.shiftright("vector", 32)
     stats = partial.groupBy("host", "kind", "token").agg(
@@ -242,7 +253,7 @@ def deduce_templates(pages: DataFrame, least_pages: int = 3, least_share: float
     still = valid.select("host", F.inline("texts")).groupBy("host", "name").agg(F.sum("chars").alias("still"))
     places = stats.filter("kind in ('slot', 'content')").join(still, ["host", "name"], "left")
     varying = F.col("chars") - F.coalesce("still", F.lit(0))
-    slots = places.groupBy("host").agg(F.max_by("name", F.struct(F.col("kind") == "content", varying, "name")).alias("slot"))
+    slots = places.groupBy("host").agg(F.max_by("name", F.struct(F.col("kind") == "content", varying, "chars", "name")).alias("slot"))
     return fixed.join(slots, "host", "full")
 
 
@@ -288,6 +299,9 @@ def content(page: Page, fixed: set[int], slot: str | None) -> str:
     if any(b[3] for b in own):
         return "\n".join(text for text, _, _, inside in own if inside)
     varying = [(text, path) for text, path, _, _ in own if _signed(_hash("text", f"{path}\x00{text}")) not in fixed]
-    if slot is not None and (inside := [text for text, path in varying if path.startswith(slot)]):
+    if not varying:
+        # near copies make the whole text fixed; what the slot holds is content all the same
+        return "\n".join(text for text, path, _, _ in own if slot is None or path.startswith(slot))
+    if fixed and slot is not None and (inside := [text for text, path in varying if path.startswith(slot)]):
         return "\n".join(inside)
     return "\n".join(text for text, _ in varying)

@@ -85,3 +85,13 @@ def test_edges(spark):
     assert [r["text"] for r in rows if r["page_id"] == 2] == ["no markup at all"] * 3
     assert next(r["n_chars"] for r in rows if r["page_id"] == 4) == 50_000 * len("long text") + 49_999
     assert html_template.extract(df.limit(0)).count() == 0
+
+
+def test_copies_are_no_support(spark):
+    page = "<body><div class=x><p>{0} one</p><p>{0} two</p></div><div class=z>End</div></body>"
+    twin = site(spark, [("repeated", page.format("a"))])
+    mirrored = site(spark, [("mirror", page.format("b"))] * 4 + [("mirror", page.format("c"))])
+    assert texts(html_template.extract(twin.union(twin).union(twin))) == ["a one\na two\nEnd"] * 3
+    assert texts(html_template.extract(mirrored)) == ["b one\nb two\nEnd"] * 4 + ["c one\nc two\nEnd"]
+    near = [("near", f"<!-- {i} -->" + page.format("d")) for i in range(5)]
+    assert texts(html_template.extract(site(spark, near))) == ["d one\nd two"] * 5
