@@ -6,9 +6,9 @@ each is summed up as the 64-bit sum, over pages, of a hash of page and count, so
 aggregation with partial sums. Tokens with equal sums form an equivalence class. A class is valid if it has at least two
 tokens and stands in enough pages; as a token's key holds its path, classes nest by path, and all classes of a host
 make its template. What stands between template tokens are the slots. Text that is itself a template token is fixed
-text, not content. The content slot of a host is its article container, else the container with the most
-varying text. Menus, adverts, comments and the like are told by their elements and by words in class and id, within the
-content slot as well.
+text, not content. The content slots of a page are its article containers, else all containers with varying
+text. Menus, adverts, comments and the like are told by their elements and by whole names in class and id, within the
+content slots as well, but not by the name of what holds most of a page's text.
 
 Defined results: a null or empty page, or one without content, has empty text; hosts with too few distinct pages for a template
 go by elements and names alone; repeated rows give repeated rows; columns other than id, url and html aren't read, so
@@ -45,15 +45,22 @@ INLINE = set(
     "sub sup time tt u var wbr img".split()
 )
 #: Elements that are never content.
-ASIDE = {"nav", "footer", "aside", "form", "head", "svg", "button", "select", "option", "dialog", "menu", "object", "canvas", "math"}
+ASIDE = {"nav", "footer", "aside", "head", "svg", "button", "select", "option", "dialog", "menu", "object", "canvas", "math"}
 #: Words in class or id of what is never content.
 ASIDE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies disqus disclaimer dropdown footer gdpr masthead menu modal nav navbar navigation newsletter notice notices "
     "overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing "
-    "sidebar sidenav signup skip social sponsor sponsored subscribe subscription toc toolbar topbar widget widgets alert "
-    "announcement reactions discussion".split()
+    "sidebar sidenav signup skip social sponsor sponsored subscribe subscription toc toolbar topbar widget widgets "
+    "announcement reactions".split()
 )
+#: Words that may stand beside these in one name: ``sidebar-left`` is a sidebar, ``has-sidebar`` and ``related-work`` aren't.
+BESIDE = set(
+    "area articles bar block body bottom box buttons center container form global inner item items left link links list main "
+    "menu page post posts primary right secondary section site slot text thread top unit wrap wrapper".split()
+)
+REMARKS = {"comment", "comments", "disqus", "replies", "reply", "respond"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CONTENT = {"article", "main"}
 CONTENT_WORDS = {"article", "articlebody", "main"}
 ENDS_P = set(
@@ -63,14 +70,19 @@ ENDS_P = set(
 SAME = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "p": set(), "option": {"select"}}
 
 
-def _names(attributes: str) -> tuple[set[str], str]:
-    words, label = set(), ""
+def _names(attributes: str) -> tuple[set[str], set[str], str]:
+    """Words of the names, words of those names that are known for asides as a whole, and the label of the classes."""
+    words, known, label = set(), set(), ""
     for kind, a, b, c in NAMES.findall(attributes):
         value = (a or b or c).lower()
         words.update(WORDS.findall(value))
+        for name in value.split():
+            parts = set(WORDS.findall(name))
+            if parts & ASIDE_WORDS and parts <= ASIDE_WORDS | BESIDE:
+                known |= parts & ASIDE_WORDS
         if kind.lower() == "class":
             label = "." + ".".join(sorted(value.split()))
-    return words, label
+    return words, known, label
 
 
 class Page:
@@ -79,21 +91,40 @@ class Page:
     def __init__(self, source: str | None):
         self.tags: list[str] = []
         self.blocks: list[tuple[str, str, bool, bool]] = []
-        self._open: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        # name, path, in an element that is never content, containers whose names (or being a form) tell of an aside, content
+        self._open: list[tuple[str, str, bool, tuple[int, ...], bool]] = [("", "", False, (), False)]
+        self._read_blocks: list[tuple[str, str, bool, tuple[int, ...], bool]] = []
+        self._remarks: list[bool] = []
         self._text: list[str] = []
         if source:
             self._read(source)
+            self._judge()
+
+    def _judge(self):
+        """Names don't make an aside of what holds most of a page's text, unless content stands elsewhere."""
+        blocks = [b for b in self._read_blocks if not b[2]]
+        void = set()
+        if not any(inside and not named for _, _, _, named, inside in blocks):
+            held = Counter()
+            for text, _, _, named, _ in blocks:
+                for k in named:
+                    held[k] += len(text)
+            total = sum(len(b[0]) for b in blocks)
+            void = {k for k, n in held.items() if 2 * n > total and not self._remarks[k]}
+        for text, path, never, named, inside in self._read_blocks:
+            aside = never or any(k not in void for k in named)
+            self.blocks.append((text, path, aside, inside and not aside))
 
     def _flush(self):
         if self._text:
             text = BLANKS.sub(" ", references.unescape("".join(self._text))).strip()
             self._text.clear()
             if text:
-                self.blocks.append((text, *self._open[-1][1:]))
+                self._read_blocks.append((text, *self._open[-1][1:]))
 
     def _close(self, index: int):
         while len(self._open) > index:
-            _, path, _, _ = self._open.pop()
+            _, path, *_ = self._open.pop()
             self.tags.append(f"/{path}")
 
     def _read(self, source: str):
@@ -138,18 +169,21 @@ class Page:
                 if self._open[i][0] == name:
                     self._close(i)
                     break
-        words, label = _names(attributes) if "=" in attributes else (set(), "")
-        _, path, aside, content = self._open[-1]
+        words, known, label = _names(attributes) if "=" in attributes else (set(), set(), "")
+        _, path, never, named, content = self._open[-1]
         path = f"{path}/{name}{label}"
         self.tags.append(path)
         if raw or name in VOID or attributes.rstrip().endswith("/") and name not in ENDS_P:
             return
-        if name == "header" and not content:
-            aside = True
         body = name in ("html", "body")
-        aside = aside or name in ASIDE or bool(words & ASIDE_WORDS) and not body
-        content = content or (name in CONTENT or bool(words & CONTENT_WORDS) and not body) and not aside
-        self._open.append((name, path, aside, content))
+        never = never or name in ASIDE or name == "header" and not content
+        if name in CONTENT:
+            known &= REMARKS
+        if name == "form" or known and not body and name not in HEADINGS:
+            named = (*named, len(self._remarks))
+            self._remarks.append(bool(known & REMARKS))
+        content = content or (name in CONTENT or bool(words & CONTENT_WORDS) and not body) and not never
+        self._open.append((name, path, never, named, content))
 
 
 #: Elements whose path doesn't name a container of content.
@@ -294,7 +328,7 @@ def extract(
 
 
 def content(page: Page, fixed: set[int], slot: str | None) -> str:
-    """The text in the content slot. A page with an article goes by it, whatever the host's slot is."""
+    """The varying text in the content slots. A page with an article goes by it, whatever the host's slot is."""
     own = [b for b in page.blocks if not b[2]]
     if any(b[3] for b in own):
         return "\n".join(text for text, _, _, inside in own if inside)
@@ -302,6 +336,4 @@ def content(page: Page, fixed: set[int], slot: str | None) -> str:
     if not varying:
         # near copies make the whole text fixed; what the slot holds is content all the same
         return "\n".join(text for text, path, _, _ in own if slot is None or path.startswith(slot))
-    if fixed and slot is not None and (inside := [text for text, path in varying if path.startswith(slot)]):
-        return "\n".join(inside)
     return "\n".join(text for text, _ in varying)

@@ -95,3 +95,17 @@ def test_copies_are_no_support(spark):
     assert texts(html_template.extract(mirrored)) == ["b one\nb two\nEnd"] * 4 + ["c one\nc two\nEnd"]
     near = [("near", f"<!-- {i} -->" + page.format("d")) for i in range(5)]
     assert texts(html_template.extract(site(spark, near))) == ["d one\nd two"] * 5
+
+
+def test_names_of_what_holds_the_content(spark):
+    article = "<body><p>Site</p><div class='has-sidebar'><article class='post share'><h2 id='related-work'>A</h2><div class='alert'>B</div><section id='discussion'>C</section></article></div></body>"
+    form = "<body><form id=f><div class=widget><p>all of the text</p></div></form><div class='sidebar-left'>Side</div></body>"
+    remarks = "<body><div class=x>Post</div><div class=comments><article><p>a very long remark</p></article></div></body>"
+    got = texts(html_template.extract(site(spark, [("a", article), ("b", form), ("c", remarks)])))
+    assert got == ["A\nB\nC", "all of the text", "Post"]
+
+
+def test_all_slots_with_varying_text(spark):
+    page = "<body><div class=a>Welcome</div><div class=intro>intro {0}</div><div class=content>start {0}<div class=sub>long middle {0}</div></div><div class=two>end {0}</div></body>"
+    got = texts(html_template.extract(site(spark, [("h", page.format(i)) for i in range(5)])))
+    assert got == [f"intro {i}\nstart {i}\nlong middle {i}\nend {i}" for i in range(5)]
