@@ -330,10 +330,9 @@ def extract(
 def content(page: Page, fixed: set[int], slot: str | None) -> str:
     """The varying text in the content slots. A page with an article goes by it, whatever the host's slot is."""
     own = [b for b in page.blocks if not b[2]]
-    if any(b[3] for b in own):
-        return "\n".join(text for text, _, _, inside in own if inside)
-    varying = [(text, path) for text, path, _, _ in own if _signed(_hash("text", f"{path}\x00{text}")) not in fixed]
+    inside = [b for b in own if b[3]]
+    varying = [text for text, path, _, _ in inside or own if _signed(_hash("text", f"{path}\x00{text}")) not in fixed]
     if not varying:
         # near copies make the whole text fixed; what the slot holds is content all the same
-        return "\n".join(text for text, path, _, _ in own if slot is None or path.startswith(slot))
-    return "\n".join(text for text, _ in varying)
+        varying = [text for text, path, _, _ in inside or own if inside or slot is None or path.startswith(slot)]
+    return "\n".join(varying)

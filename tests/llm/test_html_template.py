@@ -109,3 +109,10 @@ def test_all_slots_with_varying_text(spark):
     page = "<body><div class=a>Welcome</div><div class=intro>intro {0}</div><div class=content>start {0}<div class=sub>long middle {0}</div></div><div class=two>end {0}</div></body>"
     got = texts(html_template.extract(site(spark, [("h", page.format(i)) for i in range(5)])))
     assert got == [f"intro {i}\nstart {i}\nlong middle {i}\nend {i}" for i in range(5)]
+
+
+def test_fixed_text_within_articles(spark):
+    page = "<body><article><h1>Title {0}</h1><p>Read our terms</p><p>story {0}</p><p>Tell your friends</p></article></body>"
+    pages = [("h", page.format(i)) for i in range(5)] + [("few", page.format(9))]
+    got = texts(html_template.extract(site(spark, pages)))
+    assert got == [f"Title {i}\nstory {i}" for i in range(5)] + ["Title 9\nRead our terms\nstory 9\nTell your friends"]
