@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -17,17 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is set (tests in one JVM) a temporary one is made."""
+    """The folder that driver and executors share. Where none is set, a temporary one is made if all runs on this machine;
+    on a cluster that is an error, as executors would write to disks that nobody else reads."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stationlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Folders that were written and not yet deleted, of this application.
+_written: set[str] = set()
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: this cuts the lineage, survives lost executors,
-    and frees the shuffle files that were needed to make it."""
+    and frees the shuffle files that were needed to make it. What isn't released earlier is deleted when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stationlake/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
@@ -39,7 +47,34 @@ def settle(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.register(_release_all)
+    _written.add(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._settled_at = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_settled_at", None)
+        if path in _written:
+            _written.discard(path)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _release_all() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    while _written:
+        _delete(spark, _written.pop())
 
 
 def remainder_of_id(col: str, modulus: int) -> Column:

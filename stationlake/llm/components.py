@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import release, settle
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -19,21 +19,25 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("v"), F.col("u")))
-        parents = both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p"))
+        parents = settle(both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p")), f"{name}-parents")
         for _ in range(2):
-            parents = settle(parents, f"{name}-parents")
             up = parents.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            parents = parents.join(up, "p").select("u", F.col("pp").alias("p"))
-        parents = settle(parents, f"{name}-parents")
+            shorter = settle(parents.join(up, "p").select("u", F.col("pp").alias("p")), f"{name}-parents")
+            release(parents)
+            parents = shorter
         if labels is None:
-            labels = parents.select(F.col("u").alias("node"), F.col("p").alias("label"))
+            relabelled = settle(parents.select(F.col("u").alias("node"), F.col("p").alias("label")), f"{name}-labels")
         else:
             moved = parents.select(F.col("u").alias("label"), "p")
-            labels = labels.join(moved, "label", "left").select("node", F.coalesce("p", "label").alias("label"))
-        labels = settle(labels, f"{name}-labels")
+            moved = labels.join(moved, "label", "left").select("node", F.coalesce("p", "label").alias("label"))
+            relabelled = settle(moved, f"{name}-labels")
+            release(labels)
+        labels = relabelled
         pu, pv = parents.select("u", F.col("p").alias("pu")), parents.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         moved = edges.join(pu, "u").join(pv, "v").filter("pu <> pv")
-        edges = settle(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), f"{name}-edges")
+        contracted = settle(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), f"{name}-edges")
+        release(edges, parents)
+        edges = contracted
     if labels is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return labels

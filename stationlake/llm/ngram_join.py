@@ -1,13 +1,21 @@
 """Jaccard join of texts on word n-grams by a MinHash LSH forest, verified exactly.
 
 Words are runs of letters, digits and underscores, in lower case; a text's set holds its runs of ``words`` words (a shorter
-text is one run). Texts of equal words are one class, met once. Each class has a MinHash signature for each tree of the
-forest. Two texts of similarity s share a prefix of d values in one of L trees with probability 1 - (1 - s^d)^L:
-starting from ``longest``, prefixes are shortened until that reaches ``recall`` at the threshold. Equal prefixes of a
-tree are the leaves of its sorted trie cut at that depth; each leaf links its classes to the least of them, and the connected
-parts of these links are the candidate groups. In a group all pairs are compared exactly, by
-counting common n-grams in matrices; a large group is cut into chunks and each pair of chunks is a piece of
-work of its own. Pairs are never rows: a piece gives each text its number of links and a root that it is linked to.
+text is one run). Texts of equal words are one class, met once. Each class has a label in every tree of the forest: a byte
+for each of its minima, in a fixed order, behind the tree's number. Sorted labels are the tree's trie, and texts that share a prefix of
+d bytes are below the same node. Two texts of similarity s share such a node in one of L trees with probability 1 - (1 - s^d)^L.
+
+The matched prefix of a text is shortened from the whole label. The whole label is just as long as the recall
+at the threshold allows, so the target recall is reached whatever comes after. A text goes on to a shorter prefix, tree by tree,
+as long as no more than ``few`` texts are below the node it comes to: where texts are sparse, shorter prefixes find
+links beyond the target at hardly any cost; where they are dense, the prefix stays long. Two texts that share the whole label
+share all its prefixes, so they stop at the same node.
+
+Nodes link their texts, and the connected parts of these links are the candidate groups. A group of n texts is compared pair by pair
+if it is small or if its nodes propose at least as many pairs as it has; else pairs are compared node by node, and a link counts at
+the first node that both texts share. So no more pairs are compared than the forest proposes, but for groups of up to ``whole`` texts.
+What is compared as one is cut into chunks of a fixed number of texts and n-grams, each two of which are a piece of work of
+fixed size. Pairs are never rows: a piece gives each text its number of links and a root that it is linked to.
 
 Defined results: a null text, or one without a word, is its own class without links; a repeated row is a copy; rows of
 the same id and another text are classes of their own; columns other than the id and the text aren't read, so their names
@@ -26,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, slices
+from .common import release, settle, slices
 from .components import components
 
 WORDS = re.compile(r"\w+")
@@ -34,6 +42,8 @@ WORDS = re.compile(r"\w+")
 REMEMBERED = 500_000
 #: Slots that the ids of texts in candidate groups are hashed to; their table is broadcast and holds this many numbers at most.
 SLOTS = 1 << 21
+#: Bytes of minima that a label has room for, behind the tree's number.
+LEVELS = 7
 
 
 class WordHashes(dict):
@@ -59,35 +69,56 @@ def ngrams(words: list[str], n: int, hashes: WordHashes) -> np.ndarray:
     return total
 
 
-def depth(trees: int, longest: int, threshold: float, recall: float) -> int:
+def depth(trees: int, threshold: float, recall: float) -> int:
     """The longest prefix that finds pairs at the threshold with at least this probability."""
-    d = longest
-    while d > 1 and 1 - (1 - threshold**d) ** trees < recall:
-        d -= 1
+    d = 1
+    while d < LEVELS and 1 - (1 - threshold ** (d + 1)) ** trees >= recall:
+        d += 1
     return d
 
 
 class Forest:
-    """MinHash prefixes: for each tree a hash of ``depth`` minima."""
+    """MinHash labels: for each tree its number and ``depth`` bytes, one of each minimum, from the highest to the lowest."""
 
     def __init__(self, trees: int, depth: int, seed: int = 1):
+        if trees > 128:
+            raise ValueError("a label has room for 128 trees")
         rng = np.random.default_rng(seed)
         self.trees, self.depth = trees, depth
         self.a = rng.integers(1 << 31, size=trees * depth, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.b = rng.integers(1 << 32, size=trees * depth, dtype=np.uint32)
 
-    def prefixes(self, grams: np.ndarray) -> np.ndarray:
+    def labels(self, grams: np.ndarray) -> np.ndarray:
         x = (grams >> np.uint64(32)).astype(np.uint32)[:, None]
         least = np.full(self.trees * self.depth, 0xFFFFFFFF, dtype=np.uint32)
         for at in range(0, len(x), 512):
             np.minimum(least, (x[at : at + 512] * self.a + self.b).min(axis=0), out=least)
-        values = least.reshape(self.trees, self.depth).astype(np.uint64)
-        total = np.arange(1, self.trees + 1, dtype=np.uint64)
+        bytes_ = (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.int64).reshape(self.trees, self.depth)
+        total = np.arange(self.trees, dtype=np.int64)
         for k in range(self.depth):
-            total = _mix(total + values[:, k])
+            total = total << 8 | bytes_[:, k]
         return total
 
 
+def stops(leaves: DataFrame, deepest: int, shortest: int, few: int) -> DataFrame:
+    """(node, leaf, depth) from (node, label): for each text and tree the trie node where it stops, if it shares it. The first
+    step, from all labels to those that share a shortest prefix, leaves few; only what is below crowded nodes goes on."""
+    found, open_, spent = None, leaves, []
+    for d in range(shortest, deepest + 1):
+        prefix = F.shiftright("label", 8 * (deepest - d)).alias("prefix")
+        open_ = open_.select("node", "label", prefix)
+        shared = open_.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        met = settle(open_.join(shared, "prefix"), "trie-nodes")
+        spent.append(met)
+        here = met if d == deepest else met.filter(F.col("n") <= few)
+        here = here.select("node", F.xxhash64(F.lit(d), "prefix").alias("leaf"), F.lit(d).alias("depth"))
+        found = here if found is None else found.union(here)
+        open_ = met.filter(F.col("n") > few)
+    found = settle(found, "trie-stops")
+    release(*spent)
+    return found
+
+
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     """Common members of each two sets of distinct hashes."""
     n = len(sets)
@@ -102,14 +133,13 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     row, column = row[keep], number[column[keep]]
     by = np.argsort(column, kind="stable")
     row, column = row[by], column[by]
-    common = np.zeros((n, n), dtype=np.float32)
+    common = np.zeros((n, n))
     width = 4096
     for low in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(column, (low, low + width))
         part = np.zeros((n, width), dtype=np.float32)
         part[row[a:b], column[a:b] - low] = 1
         common += part @ part.T
-    common = common.astype(np.int64)
     np.fill_diagonal(common, [len(s) for s in sets])
     return common
 
@@ -140,62 +170,83 @@ def join(
     docs: DataFrame,
     words: int = 5,
     threshold: float = 0.8,
-    trees: int = 32,
-    longest: int = 10,
+    trees: int = 40,
     recall: float = 0.9999,
+    few: int = 32,
+    whole: int = 256,
+    chunk_texts: int = 1024,
+    chunk_grams: int = 1 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row for each of ``docs``: ``id_col``, class_id (the least id among all texts it is linked to, over any number of
     links), copy_id (the least id with the same words), n_copies (rows with the same words) and n_links (other texts, not
-    counting copies, at the threshold or above)."""
+    counting copies, at the threshold or above). Texts are found by their least id, so those that have null ids alone are
+    copies of one another and link to no other text."""
     id_type = docs.schema[id_col].dataType
-    forest = Forest(trees, depth(trees, longest, threshold, recall))
+    deepest = depth(trees, threshold, recall)
+    forest = Forest(trees, deepest)
     signed = T.StructType(
         [
             T.StructField("id", id_type),
             T.StructField("key", T.BinaryType()),
-            T.StructField("prefixes", T.ArrayType(T.LongType())),
+            T.StructField("grams", T.IntegerType()),
+            T.StructField("labels", T.ArrayType(T.LongType())),
         ]
     )
 
     def sign(batches):
         hashes = WordHashes()
         for batch in slices(batches):
-            keys, prefixes = [], []
+            keys, grams, labels = [], [], []
             for text in batch.column(1).to_pylist():
                 found = WORDS.findall(text.lower()) if text else []
                 keys.append(xxhash.xxh3_128_digest(" ".join(found).encode()) if found else None)
-                prefixes.append(forest.prefixes(ngrams(found, words, hashes)).view(np.int64) if found else None)
-            columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+                grams.append(max(1, len(found) - words + 1))
+                labels.append(forest.labels(ngrams(found, words, hashes)) if found else None)
+            columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(grams, pa.int32()), pa.array(labels, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=signed.names)
 
     rows = settle(docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(sign, signed), "signatures")
-    classes = rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("prefixes").alias("prefixes"))
+    classes = rows.filter("key is not null").groupBy("key").agg(
+        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("grams").alias("grams"), F.first("labels").alias("labels")
+    )
     classes = settle(classes, "text-classes").withColumn("node", F.xxhash64("key"))
 
-    leaves = classes.select("node", F.explode("prefixes").alias("leaf"))
-    least = leaves.groupBy("leaf").agg(F.min("node").alias("v"), F.max("node").alias("other")).filter("v <> other").select("leaf", "v")
-    edges = leaves.join(least, "leaf").select(F.col("node").alias("u"), "v")
-    groups = components(edges, "candidates")
-
-    size = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    # pieces of 4 sqrt(n) texts: a text goes to sqrt(n) / 4 pieces, and groups up to 256 stay whole
-    chunk = F.greatest(F.lit(256), F.ceil(4 * F.sqrt("n")))
-    size = size.select("label", F.ceil(F.col("n") / chunk).alias("chunks"))
-    members = classes.join(groups, "node").drop("node", "prefixes", "copies").join(size, "label")
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(3)), F.col("chunks")))
-    members = settle(members.select("key", "rep", "label", "chunks", "chunk"), "members")
+    nodes = stops(classes.select("node", F.explode("labels").alias("label")), deepest, max(1, deepest - 1), few).drop("depth")
+    sets = nodes.groupBy("leaf").agg(F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("mark"), F.count(F.lit(1)).alias("n"))
+    # nodes with the same texts, of different trees, are one
+    sets = sets.groupBy("least", "mark", "n").agg(F.min("leaf").alias("leaf"))
+    sets = settle(sets.select("leaf", "least", "n"), "node-sets")
+    nodes = settle(nodes.join(sets.select("leaf", "least"), "leaf"), "nodes")
+    groups = components(nodes.select(F.col("node").alias("u"), F.col("least").alias("v")), "candidates")
+
+    proposed = sets.join(groups.withColumnRenamed("node", "least"), "least").select("label", "leaf", (F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
+    size = groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(proposed.groupBy("label").agg(F.sum("pairs").alias("pairs")), "label")
+    size = size.select("label", ((F.col("n") <= whole) | (F.col("pairs") >= F.col("n") * (F.col("n") - 1) / 2)).alias("together"))
+    grouped = classes.select("node", "key", "rep", "grams").join(groups, "node").join(size, "label")
+    together = grouped.filter("together").select("key", "rep", "grams", F.col("label").alias("unit"), F.lit(None).cast("array<long>").alias("leaves"))
+    apart = grouped.filter("not together")
+    own = nodes.join(apart.select("node"), "node").groupBy("node").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
+    apart = apart.join(own, "node").select("key", "rep", "grams", F.explode("leaves").alias("unit"), "leaves")
+    units = settle(together.union(apart), "units")
+    chunks = units.groupBy("unit").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / chunk_texts), F.ceil(F.sum("grams") / chunk_grams)).alias("chunks")
+    )
+    members = units.join(chunks, "unit").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(3)), F.col("chunks")))
+    members = settle(members.select("key", "rep", "unit", "leaves", "chunks", "chunk"), "members")
+    release(nodes, sets, groups, units)
     # most texts are in no group: only those whose id falls on a slot of some member's are shuffled
     slot = F.pmod(F.xxhash64("rep"), F.lit(SLOTS)).alias("slot")
     called = F.broadcast(members.select(slot).distinct())
     near = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).withColumn("slot", slot).join(called, "slot", "left_semi")
     texts = members.join(near.drop("slot"), "rep")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")
-    pieces = texts.select("key", "text", "label", "chunk", "chunks", other).select(
+    pieces = texts.select("key", "text", "unit", "leaves", "chunk", "chunks", other).select(
         "key",
         "text",
-        "label",
+        "unit",
+        "leaves",
         "chunks",
         "chunk",
         F.least("chunk", "other").alias("i"),
@@ -203,19 +254,19 @@ def join(
     )
     amount = members.agg(F.sum("chunks")).first()[0] or 0
     baskets = max(1, -(-amount // 256))
-    pieces = pieces.withColumn("basket", F.pmod(F.xxhash64("label", "i", "j"), F.lit(baskets)))
+    pieces = pieces.withColumn("basket", F.pmod(F.xxhash64("unit", "i", "j"), F.lit(baskets)))
     found_schema = "key binary, root binary, links long, whole boolean"
 
     def verify(key, group):
         hashes = WordHashes()
         out = {"key": [], "root": [], "links": [], "whole": []}
         pieces_: dict[tuple, list[tuple]] = defaultdict(list)
-        columns = [group.column(c).to_pylist() for c in ("label", "i", "j", "key", "text", "chunk", "chunks")]
-        for label, i, j, key_, text, at, chunks in zip(*columns, strict=True):
-            pieces_[label, i, j].append((key_, text, at, chunks))
-        for (_, i, j), rows_ in pieces_.items():
-            sets, keys, at = [], [], []
-            for key_, text, chunk_, _ in sorted(rows_, key=lambda r: r[0]):
+        columns = [group.column(c).to_pylist() for c in ("unit", "i", "j", "key", "text", "chunk", "chunks", "leaves")]
+        for unit, i, j, *row in zip(*columns, strict=True):
+            pieces_[unit, i, j].append(row)
+        for (unit, i, j), rows_ in pieces_.items():
+            sets, keys, at, leaves = [], [], [], []
+            for key_, text, chunk_, _, leaves_ in sorted(rows_, key=lambda r: r[0]):
                 found = WORDS.findall(text.lower()) if text else []
                 # another row of the representative's id may hold another text, and a repeated row the same one
                 if not found or keys and keys[-1] == key_ or xxhash.xxh3_128_digest(" ".join(found).encode()) != key_:
@@ -223,22 +274,26 @@ def join(
                 keys.append(key_)
                 sets.append(np.unique(ngrams(found, words, hashes)))
                 at.append(chunk_)
+                leaves.append(leaves_)
             if len(sets) < 2:
                 continue
             near = links(sets, threshold)
             if i != j:
                 at = np.array(at)
                 near &= at[:, None] != at[None, :]
+            if leaves[0] is not None:
+                first_shared_only(near, leaves, unit)
             degree, root = near.sum(axis=1), roots(near)
             for k in np.flatnonzero(degree).tolist():
                 out["key"].append(keys[k])
                 out["root"].append(keys[root[k]])
                 out["links"].append(int(degree[k]))
-                out["whole"].append(rows_[0][3] == 1)
+                out["whole"].append(rows_[0][3] == 1 and leaves[0] is None)
         types = (pa.binary(), pa.binary(), pa.int64(), pa.bool_())
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
     found = settle(pieces.groupBy("basket").applyInArrow(verify, found_schema), "links")
+    release(members)
     # a group in one piece is settled there; others meet across their pieces
     across = components(found.filter("not whole").select(F.col("key").alias("u"), F.col("root").alias("v")), "linked")
     settled = found.filter("whole").select(F.col("key").alias("node"), F.col("root").alias("label")).union(across)
@@ -248,10 +303,24 @@ def join(
     degrees = found.groupBy("key").agg(F.sum("links").alias("n_links"))
     known = classes.select("key", "rep", "copies").join(named, "key", "left").join(degrees, "key", "left")
     known = settle(known, "classes")
-    return rows.select("id", "key").join(known, "key", "left").select(
+    release(found, across)
+    # rows without words meet no class: they don't take part in the join, where they would all be one key
+    wordless = rows.filter("key is null").select("id", F.lit(None).alias("class_id"), F.lit(None).alias("rep"), F.lit(None).alias("copies"), F.lit(None).alias("n_links"))
+    worded = rows.filter("key is not null").select("id", "key").join(known, "key", "left").select("id", "class_id", "rep", "copies", "n_links")
+    return worded.union(wordless).select(
         F.col("id").alias(id_col),
         F.coalesce("class_id", "rep", "id").alias("class_id"),
         F.coalesce("rep", "id").alias("copy_id"),
-        F.coalesce("copies", F.lit(1)).alias("n_copies"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
+
+
+def first_shared_only(near: np.ndarray, leaves: list[list[int]], unit: int) -> None:
+    """Drop the links of pairs whose first shared node isn't ``unit``: they count there."""
+    known = [set(own[: own.index(unit)]) for own in leaves]
+    for a in range(len(leaves)):
+        if known[a]:
+            for b in np.flatnonzero(near[a, a + 1 :]) + a + 1:
+                if not known[a].isdisjoint(known[b]):
+                    near[a, b] = near[b, a] = False

@@ -72,9 +72,40 @@ def test_large_groups_go_in_pieces(spark):
 
 def test_prefix_length_meets_recall():
     for trees in (8, 32, 64):
-        d = ngram_join.depth(trees, 10, 0.8, 0.999)
+        d = ngram_join.depth(trees, 0.8, 0.999)
         assert d == 1 or 1 - (1 - 0.8**d) ** trees >= 0.999
-        assert d == 10 or 1 - (1 - 0.8 ** (d + 1)) ** trees < 0.999
+        assert d == ngram_join.LEVELS or 1 - (1 - 0.8 ** (d + 1)) ** trees < 0.999
+
+
+def test_dense_texts_stop_at_longer_prefixes(spark):
+    """A crowd below one short prefix keeps the long one; a pair that shares only the short one meets there."""
+    crowd = [(i, 7 << 56 | 5 << 8 | i % 2) for i in range(40)]
+    pair = [(100, 3 << 56 | 9 << 8 | 1), (101, 3 << 56 | 9 << 8 | 2), (102, 3 << 56 | 10 << 8 | 2)]
+    found = ngram_join.stops(spark.createDataFrame(crowd + pair, "node long, label long"), 7, 6, few=8).collect()
+    depths = {r["node"]: r["depth"] for r in found}
+    assert depths == {**{i: 7 for i in range(40)}, 100: 6, 101: 6}
+    leaf = {r["node"]: r["leaf"] for r in found}
+    assert leaf[0] == leaf[2] != leaf[1] and leaf[100] == leaf[101]
+
+
+def test_chains_go_node_by_node(spark):
+    """Texts that share much with the next ones only: the group is large, and far pairs are not compared together."""
+    rng = random.Random(5)
+    stream = [f"w{rng.randrange(10_000)}" for _ in range(700)]
+    rows = [(i, " ".join(stream[4 * i : 4 * i + 80])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_force(rows)
+    assert want[0][3] and max(v[3] for v in want.values()) < 10
+    assert joined(docs, whole=8, chunk_texts=16) == want
+    assert joined(docs, whole=8, few=2) == want
+
+
+def test_pieces_have_a_fixed_size(spark):
+    rows = list(enumerate(near_copies(300)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_force(rows)
+    assert joined(docs, whole=8, chunk_texts=50) == want
+    assert joined(docs, whole=8, chunk_grams=2000) == want
 
 
 def test_common_counts():
