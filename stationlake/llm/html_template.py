@@ -1,18 +1,23 @@
 """Main text of web pages by deducing each host's template from equivalence classes of tokens.
 
-A page is a sequence of tokens: tags, each told apart by the path of containers it stands in, and blocks of text. Tokens
-of a host that occur equally often in each of its pages have the same occurrence vector. Vectors aren't gathered:
-each is summed up as the 64-bit sum, over pages, of a hash of page and count, so that a host of any size is an ordinary
-aggregation with partial sums. Tokens with equal sums form an equivalence class. A class is valid if it has at least two
-tokens and stands in enough pages; as a token's key holds its path, classes nest by path, and all classes of a host
-make its template. What stands between template tokens are the slots. Text that is itself a template token is fixed
-text, not content. The content slots of a page are its article containers, else all containers with varying
-text. Menus, adverts, comments and the like are told by their elements and by whole names in class and id, within the
-content slots as well, but not by the name of what holds most of a page's text.
+A page is a sequence of tokens: opening and closing tags, each told apart by the path of containers it stands in, and blocks
+of text. Tokens of a host that occur equally often in each of its pages have the same occurrence vector and form an equivalence
+class. Vectors aren't gathered: each is summed up as the 64-bit sum, over pages, of a hash of page and count, so that a
+host of any size is an ordinary aggregation with partial sums. A second reading of the pages judges the classes, again in sums:
+a class is valid if it has at least two tokens, stands in enough pages, its tokens come in the same order wherever they
+occur, and each of its occurrences lies within the same slot of the same other class. So valid classes nest
+and make the host's template; what stands between two neighbouring tokens of a class is one of its slots.
+
+Text that is itself a template token is fixed, not content. The varying text is in slots. Names decide what slots are: a slot whose
+varying text stands almost all in asides (menus, adverts, comments and the like, told by elements and by whole names in class
+and id) is an aside as a whole, also where a page's names don't tell; one whose text stands mostly in article elements is a
+content slot. A page's content is the varying text of its articles, else that of the content slots, else that of all slots that aren't asides.
+Names don't make an aside of what holds most of a page's text.
 
 Defined results: a null or empty page, or one without content, has empty text; hosts with too few distinct pages for a template
-go by elements and names alone; repeated rows give repeated rows; columns other than id, url and html aren't read, so
-their names can't clash.
+go by elements and names alone, and ``slots`` is 0; copies of a page count once for the template, and repeated rows give repeated rows;
+paths are kept as 64-bit hashes, so that very deep pages need memory in proportion to their length; columns other than
+id, url and html aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -23,11 +28,11 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, slices
+from .common import release, settle, slices
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:_-]*)([^>]*)(?:>|\Z)""",
@@ -85,15 +90,22 @@ def _names(attributes: str) -> tuple[set[str], set[str], str]:
     return words, known, label
 
 
+CLOSING, TEXT = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
 class Page:
-    """Tags as (key, path) and blocks as (text, path, aside, content), in page order."""
+    """``tokens``, the hashes of tags and blocks in page order, and ``blocks`` as (text, its place among the tokens, aside, content)."""
 
     def __init__(self, source: str | None):
-        self.tags: list[str] = []
-        self.blocks: list[tuple[str, str, bool, bool]] = []
-        # name, path, in an element that is never content, containers whose names (or being a form) tell of an aside, content
-        self._open: list[tuple[str, str, bool, tuple[int, ...], bool]] = [("", "", False, (), False)]
-        self._read_blocks: list[tuple[str, str, bool, tuple[int, ...], bool]] = []
+        self.tokens: list[int] = []
+        self.blocks: list[tuple[str, int, bool, bool]] = []
+        # name, hash of the path, in an element that is never content, last container whose names (or being a form) tell of an aside, content
+        self._open: list[tuple[str, int, bool, int, bool]] = [("", 0, False, -1, False)]
+        #: Where the elements of a name stand among the open ones.
+        self._places: dict[str, list[int]] = defaultdict(list)
+        self._read_blocks: list[tuple[str, int, bool, int, bool]] = []
+        #: Of each container that names tell of: the one around it, and whether it is one for remarks.
+        self._around: list[int] = []
         self._remarks: list[bool] = []
         self._text: list[str] = []
         if source:
@@ -102,33 +114,43 @@ class Page:
 
     def _judge(self):
         """Names don't make an aside of what holds most of a page's text, unless content stands elsewhere."""
+        count = len(self._around)
+        void = [False] * count
         blocks = [b for b in self._read_blocks if not b[2]]
-        void = set()
-        if not any(inside and not named for _, _, _, named, inside in blocks):
-            held = Counter()
+        if count and not any(inside and named < 0 for _, _, _, named, inside in blocks):
+            held = [0] * count
             for text, _, _, named, _ in blocks:
-                for k in named:
-                    held[k] += len(text)
+                if named >= 0:
+                    held[named] += len(text)
             total = sum(len(b[0]) for b in blocks)
-            void = {k for k, n in held.items() if 2 * n > total and not self._remarks[k]}
-        for text, path, never, named, inside in self._read_blocks:
-            aside = never or any(k not in void for k in named)
-            self.blocks.append((text, path, aside, inside and not aside))
+            for k in range(count - 1, -1, -1):  # inner ones come later
+                void[k] = 2 * held[k] > total and not self._remarks[k]
+                if self._around[k] >= 0:
+                    held[self._around[k]] += held[k]
+        aside = []
+        for k in range(count):
+            aside.append(not void[k] or self._around[k] >= 0 and aside[self._around[k]])
+        for text, at, never, named, inside in self._read_blocks:
+            away = never or named >= 0 and aside[named]
+            self.blocks.append((text, at, away, inside and not away))
 
     def _flush(self):
         if self._text:
             text = BLANKS.sub(" ", references.unescape("".join(self._text))).strip()
             self._text.clear()
             if text:
-                self._read_blocks.append((text, *self._open[-1][1:]))
+                _, path, *rest = self._open[-1]
+                self._read_blocks.append((text, len(self.tokens), *rest))
+                self.tokens.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), path ^ TEXT))
 
     def _close(self, index: int):
         while len(self._open) > index:
-            _, path, *_ = self._open.pop()
-            self.tags.append(f"/{path}")
+            name, path, *_ = self._open.pop()
+            self._places[name].pop()
+            self.tokens.append(path ^ CLOSING)
 
     def _read(self, source: str):
-        at, skip = 0, None
+        at = 0
         for m in TOKEN.finditer(source):
             if m.start() < at:
                 continue
@@ -149,10 +171,8 @@ class Page:
                 continue
             self._flush()
             if closing:
-                for i in range(len(self._open) - 1, 0, -1):
-                    if self._open[i][0] == name:
-                        self._close(i)
-                        break
+                if found := self._places.get(name):
+                    self._close(found[-1])
             else:
                 self._tag(name, attributes)
         self._text.append(source[at:])
@@ -162,17 +182,13 @@ class Page:
     def _tag(self, name: str, attributes: str, raw: bool = False):
         if not raw and name in ENDS_P and self._open[-1][0] == "p":
             self._close(len(self._open) - 1)
-        if name in SAME and name != "p":
-            for i in range(len(self._open) - 1, 0, -1):
-                if self._open[i][0] in SAME[name]:
-                    break
-                if self._open[i][0] == name:
-                    self._close(i)
-                    break
+        if name in SAME and name != "p" and (found := self._places.get(name)):
+            if all(not (p := self._places.get(outer)) or p[-1] < found[-1] for outer in SAME[name]):
+                self._close(found[-1])
         words, known, label = _names(attributes) if "=" in attributes else (set(), set(), "")
         _, path, never, named, content = self._open[-1]
-        path = f"{path}/{name}{label}"
-        self.tags.append(path)
+        path = xxhash.xxh3_64_intdigest(f"{name}{label}".encode("utf-8", "surrogatepass"), path)
+        self.tokens.append(path)
         if raw or name in VOID or attributes.rstrip().endswith("/") and name not in ENDS_P:
             return
         body = name in ("html", "body")
@@ -180,20 +196,14 @@ class Page:
         if name in CONTENT:
             known &= REMARKS
         if name == "form" or known and not body and name not in HEADINGS:
-            named = (*named, len(self._remarks))
+            self._around.append(named)
             self._remarks.append(bool(known & REMARKS))
+            named = len(self._around) - 1
         content = content or (name in CONTENT or bool(words & CONTENT_WORDS) and not body) and not never
+        self._places[name].append(len(self._open))
         self._open.append((name, path, never, named, content))
 
 
-#: Elements whose path doesn't name a container of content.
-LEAVES = re.compile(r"(/(?:p|li|ul|ol|h[1-6]|tr|td|th|tbody|table|thead|blockquote|pre|dl|dt|dd|figure|figcaption)(?:\.[^/]*)?)+$")
-
-
-def container(path: str) -> str:
-    return LEAVES.sub("", path)
-
-
 def _hash(*parts) -> int:
     return xxhash.xxh3_64_intdigest("\x00".join(map(str, parts)))
 
@@ -203,48 +213,88 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+class Structure:
+    """Where a page's tokens stand among classes: ``slots`` has, for each block, the slot that it is in, or 0; ``classes``, for
+    each class that occurs, a hash of its tokens' order (0 if it isn't always the same) and one of the slot around it (0 if
+    there are several, or if it began in a slot of another class and goes on beyond that)."""
+
+    def __init__(self, page: Page, class_of: dict[int, int], sizes: dict[int, int]):
+        found: dict[int, list[int]] = defaultdict(list)
+        members = [class_of.get(_signed(t)) for t in page.tokens]
+        for token, c in zip(page.tokens, members, strict=True):
+            if c is not None:
+                found[c].append(token)
+        order = {}
+        for c, tokens in found.items():
+            once = tokens[: sizes[c]]
+            good = len(tokens) % sizes[c] == 0 and len(set(once)) == sizes[c] and tokens == once * (len(tokens) // sizes[c])
+            order[c] = _signed(_hash(*once)) or 1 if good else 0
+        around: dict[int, int] = {}
+        open_: list[list[int]] = []  # class, tokens seen
+        is_open: set[int] = set()
+        self.slots: list[int] = []
+        at_block = iter([b[1] for b in page.blocks])
+        next_block = next(at_block, -1)
+        slot = 0
+        for at, c in enumerate(members):
+            if at == next_block:
+                self.slots.append(slot)
+                next_block = next(at_block, -1)
+            if c is None or not order[c]:
+                continue
+            if c in is_open:
+                while open_[-1][0] != c:  # what began later isn't within one slot of this class
+                    crossed, _ = open_.pop()
+                    is_open.discard(crossed)
+                    around[crossed] = order[crossed] = 0
+            else:
+                around[c] = (slot or 1) if around.get(c, slot or 1) == (slot or 1) else 0
+                open_.append([c, 0])
+                is_open.add(c)
+            open_[-1][1] += 1
+            if open_[-1][1] == sizes[c]:
+                open_.pop()
+                is_open.discard(c)
+            slot = _signed(_hash(*open_[-1])) if open_ else 0
+        self.classes = {c: (o, around.get(c, 0)) for c, o in order.items()}
+
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-PARTIAL = "host string, kind string, token long, name string, vector long, pages long, chars long"
+#: What rows of the two readings stand for.
+PAGE, TAG, BLOCK = 0, 1, 2
+CLASS, SLOT = 3, 4
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """Partial sums, from rows of (page key, host, html): for each host and token, the sum that stands for its
-    occurrence vector, and the number of pages; for each host and container the characters of its text."""
+    """Partial sums, from rows of (page key, host, html): for each host and token the sum that stands for its
+    occurrence vector, and the number of pages."""
 
     def run(batches):
         for batch in slices(batches, 2048):
-            sums: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
+            sums: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
             rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
             for key, host, source in rows:
                 page = Page(source)
-                found = Counter(("tag", t, "") for t in page.tags)
-                found.update(("text", f"{path}\x00{text}", container(path)) for text, path, _, _ in page.blocks)
-                sums[host, "page", 0, ""][1] += 1
-                for (kind, token, place), n in found.items():
-                    s = sums[host, kind, _signed(_hash(kind, token)), place]
+                texts = {page.tokens[b[1]] for b in page.blocks}
+                sums[host, PAGE, 0][1] += 1
+                for token, n in Counter(page.tokens).items():
+                    s = sums[host, BLOCK if token in texts else TAG, _signed(token)]
                     s[0] += _hash(key, n)
                     s[1] += 1
-                for text, path, aside, content in page.blocks:
-                    if not aside:
-                        place = container(path)
-                        sums[host, "slot" if not content else "content", _signed(_hash(place)), place][2] += len(text)
-                        sums[host, "text", _signed(_hash("text", f"{path}\x00{text}")), place][2] += len(text)
-            keys, values = list(sums), list(sums.values())
-            columns = [*zip(*keys, strict=True)] or [()] * 4
+            columns = [*zip(*sums, strict=True)] or [()] * 3
+            values = list(sums.values())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(columns[0], pa.string()),
-                    pa.array(columns[1], pa.string()),
+                    pa.array(columns[1], pa.int32()),
                     pa.array(columns[2], pa.int64()),
-                    pa.array(columns[3], pa.string()),
                     pa.array([_signed(v[0]) for v in values], pa.int64()),
                     pa.array([v[1] for v in values], pa.int64()),
-                    pa.array([v[2] for v in values], pa.int64()),
                 ],
-                names=["host", "kind", "token", "name", "vector", "pages", "chars"],
+                names=["host", "kind", "token", "vector", "pages"],
             )
 
-    return pages.mapInArrow(run, PARTIAL)
+    return pages.mapInArrow(run, "host string, kind int, token long, vector long, pages long")
 
 
 def distinct_pages(pages: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
@@ -258,37 +308,114 @@ def distinct_pages(pages: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFra
     return single.select("digest", "host", "html").union(once.select("digest", "host", "html"))
 
 
-def deduce_templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.5) -> DataFrame:
-    """One row for each host that has a template: ``fixed``, the hashes of the text tokens in valid classes, and ``slot``,
-    the path of the container with the most varying text. ``pages`` has a host and html; copies of a page count once."""
-    partial = occurrences(distinct_pages(pages))
+def with_templates(rows: DataFrame, templates: DataFrame, spread_by: str, broadcast_bytes: int, salts: int) -> DataFrame:
+    """Each row with its host's template. Templates up to ``broadcast_bytes`` in all are broadcast; beyond that they are
+    repeated for ``salts`` parts of each host, so that a large host is dealt over as many tasks."""
+    listed = [F.coalesce(F.size(f.name), F.lit(0)) * 8 for f in templates.schema if isinstance(f.dataType, T.ArrayType)]
+    size = templates.agg(F.sum(sum(listed, F.length("host") + 64))).first()[0]
+    if (size or 0) <= broadcast_bytes:
+        return rows.join(F.broadcast(templates), "host", "left")
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).alias("salt")
+    spread = templates.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.withColumn("salt", salt).join(spread, ["host", "salt"], "left").drop("salt")
+
+
+class Templates:
+    """Templates by host, as a worker meets them."""
+
+    def __init__(self, columns: tuple[str, ...], kept: int = 256):
+        self.columns, self.kept, self.known = columns, kept, {}
+
+    def of(self, batch: pa.RecordBatch, host: str, row: int):
+        if host not in self.known:
+            if len(self.known) >= self.kept:
+                self.known.clear()
+            tokens, classes, *rest = (batch.column(c)[row].as_py() or [] for c in self.columns)
+            class_of = dict(zip(tokens, classes, strict=True))
+            self.known[host] = (class_of, Counter(classes), *(set(r) for r in rest))
+        return self.known[host]
+
+
+def judged(pages: DataFrame) -> DataFrame:
+    """Partial sums, from rows of (digest, host, html, tokens, classes): for each host and class whether its order and the slot
+    around it are the same everywhere, as least and greatest hash; for each slot the characters of varying text, of
+    those in asides, and in content."""
+
+    def run(batches):
+        templates = Templates(("tokens", "classes"))
+        for batch in slices(batches, 2048):
+            classes: dict[tuple, list[int]] = {}
+            slots: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
+            hosts = batch.column("host").to_pylist()
+            for row, (host, source) in enumerate(zip(hosts, batch.column("html").to_pylist(), strict=True)):
+                class_of, sizes = templates.of(batch, host, row)
+                if not class_of:
+                    continue
+                page = Page(source)
+                structure = Structure(page, class_of, sizes)
+                for c, (order, around) in structure.classes.items():
+                    s = classes.setdefault((host, c), [order, order, around, around])
+                    s[:] = min(s[0], order), max(s[1], order), min(s[2], around), max(s[3], around)
+                    if not order or not around:
+                        s[:2] = 0, 1
+                for (text, at, aside, content), slot in zip(page.blocks, structure.slots, strict=True):
+                    if _signed(page.tokens[at]) not in class_of:
+                        s = slots[host, slot]
+                        s[0] += len(text)
+                        s[1] += len(text) * aside
+                        s[2] += len(text) * content
+            out = [(host, CLASS, c, *s) for (host, c), s in classes.items()]
+            out += [(host, SLOT, slot, *s, 0) for (host, slot), s in slots.items()]
+            columns = [*zip(*out, strict=True)] or [()] * 7
+            types = (pa.string(), pa.int32(), *[pa.int64()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "kind", "name", "a", "b", "c", "d"])
+
+    return pages.select("host", "html", "tokens", "classes").mapInArrow(run, "host string, kind int, name long, a long, b long, c long, d long")
+
+
+def deduce_templates(
+    pages: DataFrame, least_pages: int = 3, least_share: float = 0.5, broadcast_bytes: int = 16 << 20, salts: int = 64
+) -> DataFrame:
+    """One row for each host that has a template: ``tokens`` and their ``classes``, ``fixed``, the text tokens among them, ``dead``,
+    the slots that are asides, and ``live``, those of content. ``pages`` has a host and html; copies of a page count once."""
+    distinct = distinct_pages(pages)
+    partial = occurrences(distinct)
     # wrapping 64-bit sums: a plain sum may overflow, so the two halves are added apart
     low, high = F.col("vector").bitwiseAND(0xFFFFFFFF), F.shiftright("vector", 32)
-    stats = partial.groupBy("host", "kind", "token").agg(
-        F.sum(low).alias("low"),
-        F.sum(high).alias("high"),
-        F.sum("pages").alias("pages"),
-        F.sum("chars").alias("chars"),
-        F.max("name").alias("name"),
+    stats = partial.groupBy("host", "kind", "token").agg(F.sum(low).alias("low"), F.sum(high).alias("high"), F.sum("pages").alias("pages"))
+    stats = settle(stats.filter((F.col("pages") >= least_pages) | (F.col("kind") == PAGE)), "page-tokens")
+    hosts = stats.filter(F.col("kind") == PAGE).select("host", F.col("pages").alias("of"))
+    tokens = stats.filter(F.col("kind") != PAGE).join(hosts, "host").filter(F.col("pages") >= F.col("of") * least_share)
+    high = F.pmod(F.col("high") + F.floor(F.col("low") / (1 << 32)), F.lit(1 << 32))
+    tokens = tokens.withColumn("class", F.xxhash64(F.pmod("low", F.lit(1 << 32)), high, "pages"))
+    classes = tokens.groupBy("host", "class").agg(F.collect_list(F.struct("token", "kind")).alias("members")).filter(F.size("members") >= 2)
+    classes = settle(classes, "page-classes")
+    listed = classes.select("host", "class", F.inline("members")).groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("all"))
+    first = settle(listed.select("host", F.col("all.token").alias("tokens"), F.col("all.class").alias("classes")), "page-templates")
+    met = with_templates(distinct, first, "digest", broadcast_bytes, salts)
+    sums = settle(judged(met.filter("tokens is not null")), "page-judgements")
+    valid = sums.filter(F.col("kind") == CLASS).groupBy("host", F.col("name").alias("class")).agg(
+        F.min("a").alias("a"), F.max("b").alias("b"), F.min("c").alias("c"), F.max("d").alias("d")
     )
-    kept = stats.filter((F.col("pages") >= least_pages) | F.col("kind").isin("page", "slot", "content"))
-    stats = settle(kept, "page-tokens")
-    hosts = stats.filter("kind = 'page'").select("host", F.col("pages").alias("of"))
-    vector = F.struct(
-        F.pmod("low", F.lit(1 << 32)).alias("low"),
-        F.pmod(F.col("high") + F.floor(F.col("low") / (1 << 32)), F.lit(1 << 32)).alias("high"),
+    valid = classes.join(valid.filter("a = b and c = d").select("host", "class"), ["host", "class"], "left_semi")
+    members = valid.select("host", "class", F.inline("members")).groupBy("host").agg(F.collect_list(F.struct("token", "class", "kind")).alias("all"))
+    members = members.select(
+        "host",
+        F.col("all.token").alias("tokens"),
+        F.col("all.class").alias("classes"),
+        F.transform(F.filter("all", lambda m: m["kind"] == BLOCK), lambda m: m["token"]).alias("fixed"),
     )
-    tokens = stats.filter("kind in ('tag', 'text')").join(hosts, "host").filter(F.col("pages") >= F.col("of") * least_share)
-    text = F.when(F.col("kind") == "text", F.struct("token", "name", "chars"))
-    classes = tokens.groupBy("host", vector.alias("vector"), "pages").agg(F.count(F.lit(1)).alias("size"), F.collect_list(text).alias("texts"))
-    valid = classes.filter("size >= 2").groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("texts"))
-    fixed = valid.select("host", F.col("texts.token").alias("fixed"))
-    # what a container holds of fixed text doesn't vary
-    still = valid.select("host", F.inline("texts")).groupBy("host", "name").agg(F.sum("chars").alias("still"))
-    places = stats.filter("kind in ('slot', 'content')").join(still, ["host", "name"], "left")
-    varying = F.col("chars") - F.coalesce("still", F.lit(0))
-    slots = places.groupBy("host").agg(F.max_by("name", F.struct(F.col("kind") == "content", varying, "chars", "name")).alias("slot"))
-    return fixed.join(slots, "host", "full")
+    slots = sums.filter(F.col("kind") == SLOT).groupBy("host", F.col("name").alias("slot")).agg(
+        F.sum("a").alias("chars"), F.sum("b").alias("aside"), F.sum("c").alias("content")
+    )
+    role = lambda held: F.filter(F.collect_list(F.when(held, F.col("slot"))), lambda x: x.isNotNull())
+    roles = slots.groupBy("host").agg(
+        role(F.col("aside") >= 0.9 * F.col("chars")).alias("dead"),
+        role((F.col("aside") < 0.9 * F.col("chars")) & (2 * F.col("content") >= F.col("chars") - F.col("aside"))).alias("live"),
+    )
+    templates = settle(members.join(roles, "host", "left"), "page-templates")
+    release(stats, classes, first, sums)
+    return templates
 
 
 def extract(
@@ -299,40 +426,47 @@ def extract(
     broadcast_bytes: int = 16 << 20,
     salts: int = 64,
 ) -> DataFrame:
-    """Rows of ``id_col``, ``url_col``, ``text`` and ``n_chars``. Templates up to ``broadcast_bytes`` in all are broadcast;
-    beyond that they are repeated for ``salts`` parts of each host, so that a large host is dealt over as many tasks."""
-    host = F.coalesce(F.regexp_extract(F.col(url_col), HOST, 1), F.lit(""))
-    keyed = pages.select(F.xxhash64(id_col, url_col).alias("key"), F.lower(host).alias("host"), F.col(html_col).alias("html"))
-    templates = settle(deduce_templates(keyed), "page-templates")
-    size = templates.agg(F.sum(F.coalesce(F.size("fixed"), F.lit(0)) * 8 + F.length("slot") + F.length("host") + 64)).first()[0]
-    rows = pages.select(id_col, url_col, html_col, F.lower(host).alias("host"))
-    if (size or 0) <= broadcast_bytes:
-        joined = rows.join(F.broadcast(templates), "host", "left")
-    else:
-        salt = F.pmod(F.xxhash64(id_col), F.lit(salts)).alias("salt")
-        spread = templates.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        joined = rows.withColumn("salt", salt).join(spread, ["host", "salt"], "left")
+    """Rows of ``id_col``, ``url_col``, ``text``, ``n_chars`` and ``slots``, in how many of its host's slots the page has text."""
+    host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), HOST, 1), F.lit(""))).alias("host")
+    templates = deduce_templates(pages.select(host, F.col(html_col).alias("html")), broadcast_bytes=broadcast_bytes, salts=salts)
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host)
+    joined = with_templates(rows, templates, "id", broadcast_bytes, salts)
     schema = T.StructType(
-        [pages.schema[id_col], pages.schema[url_col], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
+        [
+            pages.schema[id_col],
+            pages.schema[url_col],
+            T.StructField("text", T.StringType()),
+            T.StructField("n_chars", T.LongType()),
+            T.StructField("slots", T.LongType()),
+        ]
     )
 
     def run(batches):
+        known = Templates(("tokens", "classes", "fixed", "dead", "live"))
         for batch in slices(batches):
-            texts = []
-            for source, fixed, slot in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                texts.append(content(Page(source), set(fixed or ()), slot))
+            texts, used = [], []
+            hosts = batch.column("host").to_pylist()
+            for row, (host_, source) in enumerate(zip(hosts, batch.column("html").to_pylist(), strict=True)):
+                text, slots = content(Page(source), *known.of(batch, host_, row))
+                texts.append(text)
+                used.append(slots)
             lengths = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), lengths], names=schema.names)
-
-    return joined.select(id_col, url_col, html_col, "fixed", "slot").mapInArrow(run, schema)
-
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), lengths, pa.array(used, pa.int64())], names=schema.names
+            )
 
-def content(page: Page, fixed: set[int], slot: str | None) -> str:
-    """The varying text in the content slots. A page with an article goes by it, whatever the host's slot is."""
-    own = [b for b in page.blocks if not b[2]]
-    inside = [b for b in own if b[3]]
-    varying = [text for text, path, _, _ in inside or own if _signed(_hash("text", f"{path}\x00{text}")) not in fixed]
-    if not varying:
-        # near copies make the whole text fixed; what the slot holds is content all the same
-        varying = [text for text, path, _, _ in inside or own if inside or slot is None or path.startswith(slot)]
-    return "\n".join(varying)
+    return joined.select("id", "url", "html", "host", "tokens", "classes", "fixed", "dead", "live").mapInArrow(run, schema)
+
+
+def content(page: Page, class_of: dict, sizes: dict, fixed: set[int], dead: set[int], live: set[int]) -> tuple[str, int]:
+    """The page's content, and in how many slots of the template it has text."""
+    slots = Structure(page, class_of, sizes).slots if class_of else [0] * len(page.blocks)
+    used = len(set(slots)) if class_of else 0
+    own = [(text, _signed(page.tokens[at]) in fixed, inside, slot) for (text, at, aside, inside), slot in zip(page.blocks, slots, strict=True) if not aside]
+    chosen = [b for b in own if b[2]]
+    if not chosen:
+        own = [b for b in own if b[1] or b[3] not in dead] or own
+        chosen = [b for b in own if b[3] in live] or own
+    # near copies make the whole text fixed; it is content all the same
+    varying = [text for text, still, _, _ in chosen if not still] or [text for text, *_ in chosen]
+    return "\n".join(varying), used

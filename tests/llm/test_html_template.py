@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import html
 import re
+import tracemalloc
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -57,14 +59,98 @@ def test_large_templates_are_dealt_out(spark):
     assert texts(html_template.extract(site(spark, pages), broadcast_bytes=0)) == texts(html_template.extract(site(spark, pages)))
 
 
-def test_classes_come_from_occurrence_vectors(spark):
-    page = "<body><h1>Head</h1><div class=m>{0}</div><h2>Tail</h2></body>"
-    pages = site(spark, [("h", page.format(f"t{i}")) for i in range(6)])
-    keyed = pages.select(F.xxhash64("page_id").alias("key"), F.lit("h").alias("host"), "html")
-    found = html_template.deduce_templates(keyed).collect()
-    assert len(found) == 1
-    fixed = {html_template._signed(html_template._hash("text", f"{path}\x00{text}")) for path, text in (("/body/h1", "Head"), ("/body/h2", "Tail"))}
-    assert set(found[0]["fixed"]) == fixed and found[0]["slot"] == "/body/div.m"
+def keyed(pages):
+    return pages.select(F.regexp_extract("url", html_template.HOST, 1).alias("host"), "html")
+
+
+def plain_classes(sources, least_pages=3, least_share=0.5):
+    """Valid equivalence classes of one host's distinct pages, from whole vectors and by comparing all occurrences."""
+    pages = [html_template.Page(s) for s in dict.fromkeys(sources)]
+    counts = [Counter(p.tokens) for p in pages]
+    vectors = defaultdict(set)
+    for token in set().union(*counts):
+        vector = tuple(c[token] for c in counts)
+        if sum(map(bool, vector)) >= max(least_pages, least_share * len(pages)):
+            vectors[vector].add(token)
+    classes = [c for c in vectors.values() if len(c) >= 2]
+    spans, orders = {}, defaultdict(set)
+    for k, members in enumerate(classes):
+        for n, page in enumerate(pages):
+            at = [i for i, t in enumerate(page.tokens) if t in members]
+            parts = [at[i : i + len(members)] for i in range(0, len(at), len(members))]
+            seen = {tuple(page.tokens[i] for i in part) for part in parts}
+            if len(seen) > 1 or any(set(s) != members for s in seen):
+                orders[k].add(None)
+                seen = set()
+                parts = []
+            orders[k] |= seen
+            spans[k, n] = parts
+    good, around = [], defaultdict(set)
+    for n in range(len(pages)):
+        kept = []  # a class goes where it straddles a token of one that stays and began earlier
+        for k in sorted((k for k in range(len(classes)) if spans[k, n]), key=lambda k: spans[k, n][0][0]):
+            if any(q[0] < part[0] and any(part[0] < i < part[-1] for i in q) for part in spans[k, n] for other in kept for q in spans[other, n]):
+                around[k] = {1, 2}
+            else:
+                kept.append(k)
+        for k in kept:
+            for part in spans[k, n]:
+                held = [(q[0], other, sum(i < part[0] for i in q)) for other in kept if other != k for q in spans[other, n] if q[0] < part[0] and part[-1] < q[-1]]
+                around[k].add(max(held)[1:] if held else None)
+    for k, members in enumerate(classes):
+        if len(orders[k]) == 1 and None not in orders[k] and len(around[k]) == 1:
+            good.append(frozenset(html_template._signed(t) for t in members))
+    return set(good)
+
+
+def deduced(df):
+    found = {}
+    for r in html_template.deduce_templates(keyed(df)).collect():
+        classes = defaultdict(set)
+        for token, c in zip(r["tokens"], r["classes"]):
+            classes[c].add(token)
+        found[r["host"]] = {frozenset(c) for c in classes.values()}
+    return found
+
+
+def test_templates_match_plain_ones(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    by_host = defaultdict(list)
+    for r in keyed(pages).collect():
+        by_host[r["host"]].append(r["html"])
+    assert deduced(pages) == {h: c for h, s in by_host.items() if (c := plain_classes(s))}
+    # the template is used for every page of a host with three distinct pages
+    used = {r["url"]: r["slots"] for r in queries.op9_html_template(spark, sf_dir).collect()}
+    large = {h for h, s in by_host.items() if len(set(s)) >= 3}
+    assert large and all((n > 0) == (url.split("/")[2] in large) for url, n in used.items())
+
+
+def test_order_and_nesting(spark):
+    swapped = ["<body><h1>A</h1><h2>B</h2><p>x{0}</p></body>", "<body><h2>B</h2><h1>A</h1><p>x{0}</p></body>"]
+    lists = "<body><ul><li>{0}<li>b<li>c{0}</ul><div><p>d</p></div></body>"
+    wander = ["<body><div class=a>s</div><i></i><p>t{0}</p><p>t</p><div class=b>e</div></body>", "<body><p>t{0}</p><div class=a>s</div><p>t</p><div class=b>e</div></body>"]
+    cross = ["<body><div class=a>1</div><div class=b>2</div><div class=a>3</div><div class=b>4</div><p>{0}</p></body>", "<body><div class=a>1</div><div class=b>2</div><p>{0}</p></body>"]
+    sets = {"swapped": swapped, "lists": [lists], "wander": wander, "cross": cross}
+    pages = [(h, s[i % len(s)].format(i)) for h, s in sets.items() for i in range(6)]
+    assert deduced(site(spark, pages)) == {h: c for h in sets if (c := plain_classes([p for g, p in pages if g == h]))}
+
+
+def test_slots_tell_asides_and_content(spark):
+    """A block without a name, in a slot that is an advert elsewhere, goes; one in the slot of articles stays."""
+    page = "<body><h1>Site</h1>{ad}<h3>Next</h3>{text}<h2>End</h2></body>"
+    pages = [page.format(ad=f"<div class='ad ads n{i}'><p class=n{i}>buy {i}</p></div>", text=f"<article class=n{i}>story {i}</article>") for i in range(9)]
+    pages.append(page.format(ad="<div class=x9>buy it</div>", text="<div class=x8>bare story</div>"))
+    assert texts(html_template.extract(site(spark, [("h", p) for p in pages]))) == [f"story {i}" for i in range(9)] + ["bare story"]
+
+
+def test_deep_pages_need_little(spark):
+    deep = "<div class=ad-block>" * 50_000 + "text" + "<li><p>" * 20_000 + "</section>" * 20_000
+    tracemalloc.start()
+    page = html_template.Page(deep)
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+    assert len(page.blocks) == 1
+    assert texts(html_template.extract(site(spark, [("h", "<div>" * 50_000 + f"text {i}") for i in range(4)]))) == [f"text {i}" for i in range(4)]
 
 
 def test_what_is_left_out(spark):
@@ -76,10 +162,10 @@ def test_what_is_left_out(spark):
 
 def test_edges(spark):
     pages = [("h", None), ("h", ""), ("h", "no markup at all"), ("h", "<p>open <b"), ("h", "<article>" + "<p>long text" * 50_000)]
-    df = site(spark, pages).withColumns({"host": F.lit("x"), "key": F.lit(1), "fixed": F.lit(2), "slot": F.lit(3)})
+    df = site(spark, pages).withColumns({"host": F.lit("x"), "key": F.lit(1), "fixed": F.lit(2), "slots": F.lit(3)})
     df = df.union(df.filter("page_id = 2")).union(df.filter("page_id = 2").withColumn("url", F.lit(None).cast("string")))
     got = html_template.extract(df)
-    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert got.columns == ["page_id", "url", "text", "n_chars", "slots"]
     rows = got.collect()
     assert len(rows) == 7 and [r["text"] for r in rows if r["page_id"] in (0, 1)] == ["", ""]
     assert [r["text"] for r in rows if r["page_id"] == 2] == ["no markup at all"] * 3
@@ -94,7 +180,7 @@ def test_copies_are_no_support(spark):
     assert texts(html_template.extract(twin.union(twin).union(twin))) == ["a one\na two\nEnd"] * 3
     assert texts(html_template.extract(mirrored)) == ["b one\nb two\nEnd"] * 4 + ["c one\nc two\nEnd"]
     near = [("near", f"<!-- {i} -->" + page.format("d")) for i in range(5)]
-    assert texts(html_template.extract(site(spark, near))) == ["d one\nd two"] * 5
+    assert texts(html_template.extract(site(spark, near))) == ["d one\nd two\nEnd"] * 5
 
 
 def test_names_of_what_holds_the_content(spark):
