@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, slices
+from .common import release, settle, slices
 
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -87,15 +87,19 @@ def fit(
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> Model:
-    """Learn from at most ``sample_per_language`` rows of each language, taken by a hash of the id, among the rows for
+    """Learn from at most ``sample_per_language`` rows of each language, taken by a hash, among the rows for
     which ``learn`` holds. ``dimensions`` is a power of two. A text is rejected below ``slack`` times the similarity that 99.5 %
     of the sampled texts of the language reach."""
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), F.col(id_col))
-    chosen = rows.select(id_col, lang_col).withColumn("place", F.row_number().over(order))
-    chosen = chosen.filter(F.col("place") <= sample_per_language).select(id_col, lang_col)
-    sample = rows.join(F.broadcast(chosen), [id_col, lang_col], "left_semi").select(lang_col, text_col)
-    sample = settle(sample, "language-sample")
+    # a row's number, in [0, 1), is fixed by its id, text and label; of each language about twice the rows wanted go on to be ranked
+    number = F.pmod(F.xxhash64(id_col, lang_col, text_col), F.lit(1 << 30)) / (1 << 30)
+    amounts = rows.groupBy(lang_col).agg((2.0 * sample_per_language / F.count(F.lit(1)) + 1e-9).alias("below"), F.count(F.lit(1)).alias("of"))
+    drawn = rows.select(lang_col, text_col, number.alias("number")).join(F.broadcast(settle(amounts, "language-amounts")), lang_col)
+    drawn = settle(drawn.filter((F.col("of") <= 2 * sample_per_language) | (F.col("number") < F.col("below"))).select(lang_col, text_col, "number").distinct(), "language-draw")
+    order = Window.partitionBy(lang_col).orderBy("number", text_col)
+    chosen = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_per_language)
+    sample = settle(chosen.select(lang_col, text_col), "language-sample")
+    release(drawn)
 
     def frequencies(group: pd.DataFrame) -> pd.DataFrame:
         found, texts = np.zeros(dimensions, dtype=np.int64), 0

@@ -179,7 +179,7 @@ def join(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row for each of ``docs``: ``id_col``, class_id (the least id among all texts it is linked to, over any number of
+    """One row for each of ``docs``: ``id_col``, text_hash (``xxhash64`` of the text, for rows that share an id), class_id (the least id among all texts it is linked to, over any number of
     links), copy_id (the least id with the same words), n_copies (rows with the same words) and n_links (other texts, not
     counting copies, at the threshold or above). Texts are found by their least id, so those that have null ids alone are
     copies of one another and link to no other text."""
@@ -189,6 +189,7 @@ def join(
     signed = T.StructType(
         [
             T.StructField("id", id_type),
+            T.StructField("text_hash", T.LongType()),
             T.StructField("key", T.BinaryType()),
             T.StructField("grams", T.IntegerType()),
             T.StructField("labels", T.ArrayType(T.LongType())),
@@ -204,10 +205,10 @@ def join(
                 keys.append(xxhash.xxh3_128_digest(" ".join(found).encode()) if found else None)
                 grams.append(max(1, len(found) - words + 1))
                 labels.append(forest.labels(ngrams(found, words, hashes)) if found else None)
-            columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(grams, pa.int32()), pa.array(labels, pa.list_(pa.int64()))]
+            columns = [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(grams, pa.int32()), pa.array(labels, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=signed.names)
 
-    rows = settle(docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(sign, signed), "signatures")
+    rows = settle(docs.select(F.col(id_col).alias("id"), F.col(text_col), F.xxhash64(text_col)).mapInArrow(sign, signed), "signatures")
     classes = rows.filter("key is not null").groupBy("key").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("grams").alias("grams"), F.first("labels").alias("labels")
     )
@@ -305,10 +306,11 @@ def join(
     known = settle(known, "classes")
     release(found, across)
     # rows without words meet no class: they don't take part in the join, where they would all be one key
-    wordless = rows.filter("key is null").select("id", F.lit(None).alias("class_id"), F.lit(None).alias("rep"), F.lit(None).alias("copies"), F.lit(None).alias("n_links"))
-    worded = rows.filter("key is not null").select("id", "key").join(known, "key", "left").select("id", "class_id", "rep", "copies", "n_links")
+    wordless = rows.filter("key is null").select("id", "text_hash", F.lit(None).alias("class_id"), F.lit(None).alias("rep"), F.lit(None).alias("copies"), F.lit(None).alias("n_links"))
+    worded = rows.filter("key is not null").select("id", "text_hash", "key").join(known, "key", "left").select("id", "text_hash", "class_id", "rep", "copies", "n_links")
     return worded.union(wordless).select(
         F.col("id").alias(id_col),
+        "text_hash",
         F.coalesce("class_id", "rep", "id").alias("class_id"),
         F.coalesce("rep", "id").alias("copy_id"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),

@@ -1,7 +1,8 @@
 """Packing of token ids into sequences of a fixed capacity.
 
 A document's ids are cut at every full window, which is a sequence of its own; what is left is cut into small
-pieces. Documents are dealt into groups by a hash of their id, each group of bounded size, and the small pieces of a group
+pieces. Documents are dealt into groups by a hash of their id and their place in the input, so that rows of one id are no group
+of their own; each group has a bounded size, and the small pieces of a group
 are spread over windows by multiway differencing: partial partitions, each a tuple of window loads, are merged
 two at a time, the one with the largest imbalance first, its heaviest window with the other's lightest. That gives
 nearly equal loads. The number of windows starts at the least possible and rises while one of them is
@@ -138,6 +139,6 @@ def pack(
     rows = docs.select(
         F.col(id_col),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(groups)).alias("group"),
+        F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(groups)).alias("group"),
     )
     return rows.mapInArrow(pieces, cut).groupBy("group").applyInPandas(windows, packed)

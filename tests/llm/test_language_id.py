@@ -65,6 +65,16 @@ def test_edges(spark, sf_dir):
     assert language_id.fit(unlabelled, F.lit(True)).languages == []
 
 
-def test_sample_is_bounded(spark):
-    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("mot et mots").alias("text"), F.lit("fr").alias("lang"))
-    assert set(language_id.fit(docs, F.lit(True), sample_per_language=10).languages) == {"fr"}
+def test_sample_is_bounded(spark, monkeypatch):
+    """Whatever the rows of a language, about twice the wanted ones are ranked; a row repeated without end is one."""
+    docs = spark.range(8000).selectExpr("id as doc_id", "concat('mot et mots ', id) as text", "if(id % 4 = 0, 'de', 'fr') as lang")
+    hot = spark.range(8000).selectExpr("cast(null as long) as doc_id", "'le mot' as text", "'fr' as lang")
+    counted, settle = {}, language_id.settle
+
+    def counting(df, name):
+        counted[name] = (back := settle(df, name)).groupBy().count().first()[0]
+        return back
+
+    monkeypatch.setattr(language_id, "settle", counting)
+    assert set(language_id.fit(docs.union(hot), F.lit(True), sample_per_language=100).languages) == {"de", "fr"}
+    assert counted["language-sample"] <= 200 and counted["language-draw"] < 500

@@ -96,3 +96,11 @@ def test_full_windows(spark, tokens):
     text = " a" * (tokens - 1)
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     check(packing.pack(docs, RANKS, PATTERN).collect(), {1: text})
+
+
+def test_rows_of_one_id_are_dealt_out(spark):
+    docs = spark.range(50_000).selectExpr("cast(null as long) as doc_id", "'a few words' as text")
+    pieces = packing.pack(docs, RANKS, PATTERN)
+    assert pieces.count() == 50_000
+    largest = pieces.groupBy((pieces["sequence_id"] / (1 << 32)).cast("long")).count().agg({"count": "max"}).first()[0]
+    assert largest < 1300

@@ -46,5 +46,9 @@ def test_odd_rows(spark, sf_dir):
     odd = spark.createDataFrame([(None, text, "en", "s", None), (900_001, None, None, None, None), (900_002, text, "en", "s", 1), (900_002, text, "en", "s", 1)], docs.schema)
     stay = corpus_pipeline.without_near_duplicates(spark, odd, sf_dir).collect()
     assert sorted((r["doc_id"] for r in stay), key=str) == [900_001, 900_002]
+    other = "quite another text whose words are all new but which has an id that is known already, so it is judged by itself"
+    rows = [(1, text, "en", "s", 1), (1, text, "de", "s", 1), (1, other, "en", "s", 1), (2, text, "en", "s", 1), (3, text + " now", "en", "s", 1), (3, other, "en", "t", 1), (1, other, "en", "s", 1)]
+    stay = corpus_pipeline.without_near_duplicates(spark, spark.createDataFrame(rows, docs.schema), sf_dir).collect()
+    assert sorted((r["doc_id"], r["lang"], r["text"]) for r in stay) == sorted([(1, "en", text), (1, "de", text), (1, "en", other)])
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
