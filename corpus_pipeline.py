@@ -24,13 +24,14 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id."""
-    joined = settle(ngram_join.join(docs).select("doc_id", "class_id"), "near-duplicates")
-    kept = joined.filter(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    if joined.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return stay
-    return stay.dropDuplicates(["doc_id", "text"])
+    """Of each group of near duplicates the rows that have its least id: one, where ids are unique. Where they aren't, of
+    the rows with that id those stay whose text is in the group, and of rows that are equal in all columns one stays."""
+    joined = ngram_join.join(docs).filter(F.col("class_id").eqNullSafe(F.col("doc_id")))
+    kept = joined.groupBy(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).agg(F.count(F.lit(1)).alias("rows"))
+    kept = settle(kept, "near-duplicates")
+    same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.xxhash64(docs["text"]) == kept["kept_hash"])
+    single = docs.join(kept.filter("rows = 1"), same, "left_semi")
+    return single.union(docs.join(kept.filter("rows > 1"), same, "left_semi").distinct())
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
