@@ -2,11 +2,15 @@
 
 A text is lower-cased and everything but letters, digits and line ends becomes a blank. Its parts are each line, each
 paragraph of several lines, and the whole. For a part with a distinct bigrams and a template with b, Dice is
-2 x common / (a + b), so a match at threshold t needs b t / (2 - t) <= a <= b (2 - t) / t: parts outside the
-bounds of all templates are dropped before any bigram is made, and a bigram only meets the templates whose
-bounds hold its part. The templates' bigrams are a constant table, which is broadcast; a part's bigrams meet it by
-equality, so no part is compared with a template that shares nothing with it. A part counts for its best template.
-Everything is DataFrame functions.
+2 x common / (a + b), so a match at threshold t needs b t / (2 - t) <= a <= b (2 - t) / t. Three bounds drop parts before any
+bigram is made: n words give n - 1 bigrams at most; d different words give d - 1 different bigrams at least; and
+as a match has a t / (2 - t) common bigrams at least, and u different words that no template has spoil u / 2 bigrams at least,
+u is at most 4 (n - 1) (1 - t) / (2 - t). The bigrams of what is left only meet the templates whose bounds hold their part. The
+templates' bigrams are a constant table, which is broadcast; a part's bigrams meet it by equality, so no part is compared with a
+template that shares nothing with it. A part counts for its best template. Everything is DataFrame functions.
+
+Templates are short notices, and license texts in ``licenses/``: each as a whole, and each of its paragraphs that has
+``LEAST_PARAGRAPH`` bigrams or more. A license without a template isn't found; nor is a notice within a line of other prose.
 
 Defined results: a null or empty text has no matches; a row that is repeated gives its matches once, as
 results are by id; columns other than the id and the text aren't read, so their names can't clash; ties between templates of
@@ -17,12 +21,14 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: (license, text): short notices, and full texts where they are short.
-TEMPLATES = (
+#: (license, text) of notices and short texts.
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -35,6 +41,13 @@ TEMPLATES = (
         "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
         "Software.",
     ),
+    (
+        "MIT",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
         "Apache-2.0",
@@ -78,9 +91,26 @@ TEMPLATES = (
 )
 
 
-def template_bigrams(text: str) -> list[str]:
+LEAST_PARAGRAPH = 12
+
+
+@lru_cache(4096)
+def template_bigrams(text: str) -> tuple[str, ...]:
     words = re.findall(r"[^\W_]+", text.lower())
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+    return tuple(sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}))
+
+
+def _whole_texts() -> list[tuple[str, str]]:
+    """The texts beside this module, and their paragraphs, each once a license."""
+    found = []
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        paragraphs = [p for p in re.split(r"\n\s*\n", text) if len(template_bigrams(p)) >= LEAST_PARAGRAPH]
+        found += [(path.stem, p) for p in dict.fromkeys([text, *paragraphs])]
+    return found
+
+
+TEMPLATES = (*NOTICES, *_whole_texts())
 
 
 def _bounds(n: int, t: float) -> tuple[int, int]:
@@ -96,13 +126,16 @@ def scan(
 ) -> DataFrame:
     """Rows of ``id_col``, ``license``, ``dice`` (of its best part) and ``n_parts`` (parts at the threshold or above)."""
     spark = docs.sparkSession
-    rows, least, most = [], math.inf, 0
-    for k, (license_, text) in enumerate(templates):
-        grams = template_bigrams(text)
-        low, high = _bounds(len(grams), threshold)
-        least, most = min(least, low), max(most, high)
-        rows += [(g, k, license_, len(grams), low, high) for g in grams]
-    known = spark.createDataFrame(rows, "bigram string, template int, license string, b int, low int, high int")
+    sizes = [len(template_bigrams(text)) for _, text in templates]
+    least, most = min(_bounds(b, threshold)[0] for b in sizes), max(_bounds(b, threshold)[1] for b in sizes)
+    vocabulary = sorted({w for _, text in templates for g in template_bigrams(text) for w in g.split()})
+    table = spark.createDataFrame(
+        [(k, license_, len(grams), *_bounds(len(grams), threshold), " ".join(grams)) for k, (license_, text) in enumerate(templates) for grams in [template_bigrams(text)]],
+        "template int, license string, b int, low int, high int, words string",
+    )
+    # two words each
+    grams = F.regexp_extract_all("words", F.lit(r"([^ ]+ [^ ]+)"), F.lit(1))
+    known = table.select("template", "license", "b", "low", "high", F.explode(grams).alias("bigram"))
 
     plain = F.regexp_replace(F.lower(text_col), r"[^\p{L}\p{N}\n]+", " ")
     lines, paragraphs = F.split("plain", "\n"), F.split("plain", r"\n[ \n]*\n")
@@ -116,23 +149,22 @@ def scan(
     bigrams = F.array_distinct(
         F.zip_with(F.slice("words", 1, pairs), F.slice("words", F.lit(2), pairs), lambda a, b: F.concat_ws(" ", a, b))
     )
-    # a part of n words has n - 1 bigrams at most and, with few words repeated, not many fewer: only the lower
-    # bound can be tested on words; the upper one waits for the distinct bigrams
-    blanks = F.length("part") - F.length(F.translate("part", " \n", ""))
+    listed = ", ".join(f"'{w}'" for w in vocabulary)  # letters and digits alone
+    strange = F.size(F.array_distinct(F.expr(f"filter(words, w -> w not in ({listed}))")))
+    # what is exploded is computed once: of a projection, filters above and the filter that explode implies would repeat it
     return (
         docs.select(F.col(id_col), plain.alias("plain"))
-        .select(id_col, F.xxhash64("plain").alias("of"), F.posexplode(parts).alias("at", "part"))
-        .filter(blanks >= least)
-        .select(id_col, "of", "at", words.alias("words"))
-        .filter(n > least)
-        .select(id_col, "of", "at", bigrams.alias("bigrams"))
-        .withColumn("a", F.size("bigrams"))
-        .filter(F.col("a").between(least, most))
-        .select(id_col, "of", "at", "a", F.explode("bigrams").alias("bigram"))
+        .select(id_col, F.xxhash64("plain").alias("of"), F.posexplode_outer(parts).alias("at", "part"))
+        .filter(F.length("part") > 2 * least)
+        .select(id_col, "of", "at", F.explode_outer(F.array(words)).alias("words"))
+        .filter((n > least) & (strange <= 4 * (n - 1) * (1 - threshold) / (2 - threshold)))
+        .filter(F.size(F.array_distinct("words")) - 1 <= most)
+        .select(id_col, "of", "at", F.explode_outer(F.array(bigrams)).alias("bigrams"))
+        .select(id_col, "of", "at", F.size("bigrams").alias("a"), F.explode("bigrams").alias("bigram"))
         .join(F.broadcast(known), "bigram")
         .filter(F.col("a").between(F.col("low"), F.col("high")))
         .groupBy(id_col, "of", "at", "a", "template", "license", "b")
-        .agg(F.count_distinct("bigram").alias("common"))
+        .agg(F.count(F.lit(1)).alias("common"))
         .withColumn("dice", 2.0 * F.col("common") / (F.col("a") + F.col("b")))
         .filter(F.col("dice") >= threshold)
         .withColumn("place", F.rank().over(Window.partitionBy(id_col, "of", "at").orderBy(F.desc("dice"))))
@@ -144,14 +176,16 @@ def scan(
 
 def oracle(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8) -> str:
     """The same in DuckDB's SQL over ``documents``, without the bounds."""
-    values = ", ".join(
-        f"('{g}', {k}, '{license_}', {len(grams)})"
-        for k, (license_, text) in enumerate(templates)
-        for grams in [template_bigrams(text)]
-        for g in grams
-    )
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    values = ", ".join(f"({k}, {quoted(license_)}, {quoted(text)})" for k, (license_, text) in enumerate(templates))
     return f"""
-    WITH known(bigram, template, license, b) AS (VALUES {values}),
+    WITH templates(template, license, text) AS (VALUES {values}),
+    spelt AS (
+        SELECT template, license, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS words
+        FROM templates),
+    listed_templates AS (
+        SELECT template, license, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS bigrams FROM spelt),
+    known AS (SELECT template, license, len(bigrams) AS b, unnest(bigrams) AS bigram FROM listed_templates),
     plain AS (SELECT DISTINCT doc_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS plain FROM documents),
     listed AS (
         SELECT doc_id, list_distinct(list_concat(

@@ -1,12 +1,18 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pytest
 
 from stationlake.llm import license_scan
 
 
+@lru_cache(None)
+def template_set(text):
+    return frozenset(license_scan.template_bigrams(text))
+
+
 def brute_force(text, threshold=0.8):
     plain = re.sub(r"[^\w\n]+|_+", " ", text.lower())
     plain = re.sub(" +", " ", plain)
@@ -19,7 +25,7 @@ def brute_force(text, threshold=0.8):
         a = {f"{x} {y}" for x, y in zip(words, words[1:], strict=False)}
         dice = []
         for name, template in license_scan.TEMPLATES:
-            b = set(license_scan.template_bigrams(template))
+            b = template_set(template)
             if a:
                 dice.append((2 * len(a & b) / (len(a) + len(b)), name))
         top = max((d for d, _ in dice), default=0)
@@ -36,7 +42,7 @@ def scan(spark, texts):
 
 def test_matches_brute_force(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
-    notices = [t for _, t in license_scan.TEMPLATES]
+    notices = [t for _, t in license_scan.NOTICES]
     texts = [r["text"] or "" for r in rows] + notices + [f"Title\n\n{n}\nmore\n\nend of it" for n in notices] + [n.upper().replace(" ", "  ") for n in notices]
     _, got = scan(spark, texts)
     want = {(i, name): v for i, t in enumerate(texts) for name, v in brute_force(t).items()}
@@ -63,6 +69,20 @@ def test_changed_words(spark):
     assert (0, "MIT") in got and all(k[0] != 1 for k in got)
 
 
+def test_whole_licenses(spark):
+    """Each text as it is, within other text, and with another holder and a few changed words."""
+    whole = [t for t in license_scan.TEMPLATES if len(t[1]) > 1400 and t not in license_scan.NOTICES and "\n\n" in t[1]]
+    assert {name for name, _ in whole} >= {"Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0"}
+    prose = "\n\n".join(f"This page tells of work{i} and of what came of it in the end" for i in range(300))
+    texts = [t for _, t in whole] + [f"{prose}\n\n{t}\n\n{prose}" for _, t in whole]
+    texts.append(re.sub("Regents of the University of California|REGENTS|University", "Example Ltd", next(t for n, t in whole if n == "BSD-3-Clause")))
+    _, got = scan(spark, texts)
+    for i, (name, _) in enumerate(whole * 2):
+        assert got[i, name][0] == 1
+    assert (len(texts) - 1, "BSD-3-Clause") in got
+    assert brute_force(texts[-1]).keys() == {name for i, name in got if i == len(texts) - 1}
+
+
 def test_edges(spark):
     docs = spark.createDataFrame(
         [(1, None, "a"), (2, "", "b"), (3, "Licensed under CC BY 4.0.", "c"), (3, "Licensed under CC BY 4.0.", "c"), (4, "x " * 200_000, "d"), (None, "Licensed under CC BY 4.0.", "e")],
