@@ -32,6 +32,8 @@ SPACE = "\t-\r \x85\xa0  -     　"
 PART = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Parts that a Python worker remembers before it forgets them all: about 100 MB.
 REMEMBERED = 500_000
+#: The same in bytes, for texts without blanks, whose parts are long.
+REMEMBERED_BYTES = 32 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -99,10 +101,12 @@ class PartEncoder:
         self.find = regex.compile(exact_spaces(pattern)).findall
         self.table = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _learn(self, parts: list[str]):
-        if len(self.known) + len(parts) > REMEMBERED:
+        if len(self.known) + len(parts) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.known.clear()
+            self.held = 0
         tokens, counts = [], []
         for part in parts:
             # letters, with or without a blank ahead, are one match of any GPT-style pattern
@@ -113,6 +117,7 @@ class PartEncoder:
         ids = iter(self.encode(mapped, num_threads=1) if mapped else [])
         for part, n in zip(parts, counts, strict=True):
             self.known[part] = array("I", next(ids) if n == 1 else chain.from_iterable(islice(ids, n))).tobytes()
+            self.held += len(part) + len(self.known[part])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out, at = [], 0

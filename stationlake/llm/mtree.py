@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vector_search import finite, search
+from .vector_search import finite, product_bound, search
 
 PAGE = 512
 FANOUT = 12
@@ -141,9 +141,9 @@ def find(pages: pa.Table, ids: np.ndarray, queries: np.ndarray, top: int):
 
 
 def top_products(
-    rows: DataFrame, queries: Column, scale: int = 1024, top: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", rows_per_shard: int = 8192
+    rows: DataFrame, queries: Column, scale: int = 1024, top: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", **options
 ) -> DataFrame:
     """For each row where ``queries`` (over ``id``) holds, its ``top`` highest inner products with other rows, on components
-    floor(scale * x): query_id, rank, vec_id, score. Products are exact below 2^53."""
+    floor(scale * x): query_id, rank, vec_id, score. Products are exact below 2^53. ``options`` are those of ``search``."""
     whole = finite(rows, id_col, vector_col).withColumn("vec", F.transform("vec", lambda x: F.floor(x * scale).cast("double")))
-    return search(whole, queries, build, FIELDS, find, True, "long", top, rows_per_shard, name="mtree")
+    return search(whole, queries, build, FIELDS, find, product_bound, True, "long", top, name="mtree", **options)

@@ -40,6 +40,8 @@ from .components import components
 WORDS = re.compile(r"\w+")
 #: Words whose hashes a Python worker remembers.
 REMEMBERED = 500_000
+#: Longer ones, as in texts without blanks, aren't remembered, so that the memory is bounded in bytes.
+LONGEST_REMEMBERED = 32
 #: Slots that the ids of texts in candidate groups are hashed to; their table is broadcast and holds this many numbers at most.
 SLOTS = 1 << 21
 #: Bytes of minima that a label has room for, behind the tree's number.
@@ -48,9 +50,11 @@ LEVELS = 7
 
 class WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word.encode())
+        found = xxhash.xxh3_64_intdigest(word.encode())
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
         return found
 
 

@@ -95,12 +95,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     exact_top_k = """
     WITH whole AS (
-        SELECT vec_id AS id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS vec FROM embeddings
+        SELECT DISTINCT vec_id AS id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS vec FROM embeddings
         WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     scored AS (
-        SELECT q.id AS query_id, v.id AS vec_id, list_dot_product(q.vec, v.vec)::BIGINT AS score
+        SELECT q.id AS query_id, q.vec, v.id AS vec_id, list_dot_product(q.vec, v.vec)::BIGINT AS score
         FROM whole q JOIN whole v ON q.id <> v.id AND len(q.vec) = len(v.vec) WHERE q.id % 100 = 0)
-    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id, vec ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
     FROM scored QUALIFY rank <= 10
     """
     return {"op3_mtree": exact_top_k, "op2_license_scan": license_scan.oracle()}

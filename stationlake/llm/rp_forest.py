@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 Each shard holds a few trees over all its rows. A node splits its rows at the median of their projections on the
-difference of two of them; equal projections are split evenly, so that leaves keep their size whatever the data. A search
+difference of two means, found by a few rounds of 2-means from two random rows over a sample of the node's; equal projections
+are split evenly, so that leaves keep their size whatever the data. A search
 walks all trees of a shard through one priority queue: the side of a split that the query is on keeps its
-priority, the other side gets the least margin on its way. Leaves are taken, best first, until the wanted share of the
+priority, the other side adds the square of its margin. Leaves are taken, best first, until the wanted share of the
 shard's rows is gathered; these candidates are ranked by their exact distance in double precision.
 
-The share is a parameter, the same at every size; the default suits vectors without any structure, of which half a shard held
-under nine tenths of the true neighbours. Ties go to the smaller id. See ``vector_search`` for nulls,
-copies and shards; vectors of length zero take no part either.
+The share is a parameter, the same at every size, with ``whole`` rows at least, so that a small shard is scanned; a share of 1 is the
+exact search. The default suits vectors without any structure: of 64 independent components, 0.4 of 8,192 rows hold
+96 of 100 true neighbours. Ties go to the smaller id. See ``vector_search`` for nulls, copies, regions and shards; vectors of
+length zero take no part either.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vector_search import finite, search
+from .vector_search import finite, nearest_bound, search
 
 FIELDS = "tree int, ids array<long>, normals binary, limits array<double>, sides array<int>, leaves binary, leaf_starts array<int>"
 
@@ -35,7 +37,13 @@ def grow(rows: np.ndarray, leaf: int, rng) -> dict:
             leaves.append(at)
             starts.append(starts[-1] + len(at))
             return -len(leaves)
-        a, b = rows[rng.choice(at, size=2, replace=False)]
+        own = rows[rng.choice(at, size=min(len(at), 64), replace=False)]
+        a, b = own[0], own[1]
+        for _ in range(4):
+            near = ((own - a) ** 2).sum(axis=1) < ((own - b) ** 2).sum(axis=1)
+            if near.all() or not near.any():
+                break
+            a, b = own[near].mean(axis=0), own[~near].mean(axis=0)
         normal = a - b
         if not (length := np.sqrt(normal @ normal)):
             normal, length = rng.standard_normal(rows.shape[1]), 1.0
@@ -71,22 +79,23 @@ class Forest:
             else:
                 normals = np.frombuffer(t["normals"]).reshape(-1, dim)
                 leaves = np.frombuffer(t["leaves"], dtype=np.int32)
-                self.trees.append((t["tree"], normals, np.array(t["limits"]), t["sides"], leaves, t["leaf_starts"]))
+                self.trees.append((t["tree"], normals, t["limits"], t["sides"], leaves, t["leaf_starts"]))
         self.trees.sort(key=lambda t: t[0])
 
     def candidates(self, q: np.ndarray, wanted: int) -> np.ndarray:
-        margins = [(normals @ q - limits).tolist() if len(limits) else [] for _, normals, limits, *_ in self.trees]
-        heap = [(-np.inf, t, 0 if margins[t] else -1) for t in range(len(self.trees))]
+        if wanted >= len(self.ids):
+            return np.arange(len(self.ids))
+        heap = [(0.0, t, 0 if len(limits) else -1) for t, (_, _, limits, *_) in enumerate(self.trees)]
         seen, gathered = np.zeros(len(self.ids), dtype=bool), 0
         while heap and gathered < wanted:
             missed, t, node = heapq.heappop(heap)
-            _, _, _, sides, leaves, starts = self.trees[t]
+            _, normals, limits, sides, leaves, starts = self.trees[t]
             while node >= 0:
-                m = margins[t][node]
-                heapq.heappush(heap, (max(missed, abs(m)), t, sides[2 * node + (m < 0)]))
+                m = float(normals[node] @ q) - limits[node]
+                heapq.heappush(heap, (missed + m * m, t, sides[2 * node + (m < 0)]))
                 node = sides[2 * node + (m >= 0)]
             rows = leaves[starts[-1 - node] : starts[-node]]
-            gathered += int((~seen[rows]).sum())
+            gathered += len(rows) - int(np.count_nonzero(seen[rows]))
             seen[rows] = True
         return np.flatnonzero(seen)
 
@@ -102,14 +111,16 @@ def nearest_rows(
     rows: DataFrame,
     queries: Column,
     top: int = 10,
-    trees: int = 16,
-    leaf: int = 64,
-    share: float = 0.8,
+    trees: int = 32,
+    leaf: int = 32,
+    share: float = 0.4,
+    whole: int = 1024,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    rows_per_shard: int = 8192,
+    **options,
 ) -> DataFrame:
-    """For each row where ``queries`` (over ``id``) holds, the ``top`` nearest other rows found: query_id, rank, vec_id, score."""
+    """For each row where ``queries`` (over ``id``) holds, the ``top`` nearest other rows found: query_id, rank, vec_id, score.
+    ``options`` are those of ``search``."""
 
     def build(ids: np.ndarray, vectors: np.ndarray) -> list[dict]:
         blank = {"ids": [], "limits": [], "sides": [], "leaves": b"", "leaf_starts": []}
@@ -118,10 +129,10 @@ def nearest_rows(
 
     def find(pages: pa.Table, ids: np.ndarray, vectors: np.ndarray, top_: int):
         forest = Forest(pages, vectors.shape[1])
-        wanted = max(10 * top_, int(share * len(forest.ids)))
+        wanted = max(whole, 10 * top_, int(share * len(forest.ids)))
         for i, q in enumerate(vectors):
             names, distances = forest.nearest(int(ids[i]), q, top_, wanted)
             yield i, names, distances
 
     long_enough = finite(rows, id_col, vector_col).filter(F.exists("vec", lambda x: x != 0))
-    return search(long_enough, queries, build, FIELDS, find, False, "double", top, rows_per_shard, name="forest")
+    return search(long_enough, queries, build, FIELDS, find, nearest_bound, False, "double", top, name="forest", **options)
