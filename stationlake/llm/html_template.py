@@ -26,6 +26,7 @@ import html as references
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -111,6 +112,7 @@ class Page:
         if source:
             self._read(source)
             self._judge()
+            self.tokens = np.array(self.tokens, dtype=np.uint64).view(np.int64).tolist()
 
     def _judge(self):
         """Names don't make an aside of what holds most of a page's text, unless content stands elsewhere."""
@@ -213,6 +215,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def slot_of(class_: int, gap: int) -> int:
+    return _signed((class_ + gap * CLOSING) * TEXT)
+
+
 class Structure:
     """Where a page's tokens stand among classes: ``slots`` has, for each block, the slot that it is in, or 0; ``classes``, for
     each class that occurs, a hash of its tokens' order (0 if it isn't always the same) and one of the slot around it (0 if
@@ -220,7 +226,7 @@ class Structure:
 
     def __init__(self, page: Page, class_of: dict[int, int], sizes: dict[int, int]):
         found: dict[int, list[int]] = defaultdict(list)
-        members = [class_of.get(_signed(t)) for t in page.tokens]
+        members = [class_of.get(t) for t in page.tokens]
         for token, c in zip(page.tokens, members, strict=True):
             if c is not None:
                 found[c].append(token)
@@ -255,7 +261,7 @@ class Structure:
             if open_[-1][1] == sizes[c]:
                 open_.pop()
                 is_open.discard(c)
-            slot = _signed(_hash(*open_[-1])) if open_ else 0
+            slot = slot_of(*open_[-1]) if open_ else 0
         self.classes = {c: (o, around.get(c, 0)) for c, o in order.items()}
 
 
@@ -277,9 +283,10 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 page = Page(source)
                 texts = {page.tokens[b[1]] for b in page.blocks}
                 sums[host, PAGE, 0][1] += 1
+                seed = key & 0xFFFFFFFFFFFFFFFF
                 for token, n in Counter(page.tokens).items():
-                    s = sums[host, BLOCK if token in texts else TAG, _signed(token)]
-                    s[0] += _hash(key, n)
+                    s = sums[host, BLOCK if token in texts else TAG, token]
+                    s[0] += xxhash.xxh3_64_intdigest(n.to_bytes(8, "little"), seed)
                     s[1] += 1
             columns = [*zip(*sums, strict=True)] or [()] * 3
             values = list(sums.values())
@@ -359,7 +366,7 @@ def judged(pages: DataFrame) -> DataFrame:
                     if not order or not around:
                         s[:2] = 0, 1
                 for (text, at, aside, content), slot in zip(page.blocks, structure.slots, strict=True):
-                    if _signed(page.tokens[at]) not in class_of:
+                    if page.tokens[at] not in class_of:
                         s = slots[host, slot]
                         s[0] += len(text)
                         s[1] += len(text) * aside
@@ -462,7 +469,7 @@ def content(page: Page, class_of: dict, sizes: dict, fixed: set[int], dead: set[
     """The page's content, and in how many slots of the template it has text."""
     slots = Structure(page, class_of, sizes).slots if class_of else [0] * len(page.blocks)
     used = len(set(slots)) if class_of else 0
-    own = [(text, _signed(page.tokens[at]) in fixed, inside, slot) for (text, at, aside, inside), slot in zip(page.blocks, slots, strict=True) if not aside]
+    own = [(text, page.tokens[at] in fixed, inside, slot) for (text, at, aside, inside), slot in zip(page.blocks, slots, strict=True) if not aside]
     chosen = [b for b in own if b[2]]
     if not chosen:
         own = [b for b in own if b[1] or b[3] not in dead] or own
