@@ -31,6 +31,20 @@ def seasonal(a: Column) -> Column:
     return F.col("u1") + a * (F.col("x0") - F.col("u0"))
 
 
+def seasonal_terms(a: Column) -> dict[str, Column]:
+    """What moves a seasonal forecast away from the present value: the usual change by the target's time of day, and how much of
+    today's departure goes."""
+    return {"usual_daily_change": F.col("u1") - F.col("u0"), "departure_from_usual": (a - 1) * (F.col("x0") - F.col("u0"))}
+
+
+def largest_terms(parts: DataFrame, keys: list[str], most: int = 4) -> DataFrame:
+    """Of rows (keys, part, effect) the ``most`` of largest effect, with their ``place``."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.abs("effect")), "part"))
+    return parts.withColumn("place", place.cast("long")).filter(F.col("place") <= most)
+
+
 def rolling_origin(rows: DataFrame, period: str, steps: str = "step") -> DataFrame:
     """Adds ``a``, the slope over all earlier periods: sums by period, then sums over the periods before, so that history
     isn't read again for each period."""

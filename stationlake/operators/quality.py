@@ -9,30 +9,45 @@ from ..functions.rounding import half_up
 from .clean import beyond
 from .series import over, runs
 
+#: The slots after which an unmoved value is stuck.
+FLAT_SLOTS = {"temp": 8, "rh": 8, "press": 12, "wind": 12}
 #: The rule number of each channel's hard limits.
 LIMIT_RULES = {"temp": "R01", "rh": "R02", "press": "R03", "wind": "R04", "gust": "R04", "rain": "R05"}
 
 
 def rule_hits(series: DataFrame, keys: list[str], time: str = "slot", step_limit: float = 5.0) -> DataFrame:
-    """Limits (R01 to R05), steps over ``step_limit`` between neighbours (R07), gust below wind (R10), no reading (R14). All
-    rules are judged in one pass over the series; the hits come out of an array."""
+    """Limits (R01 to R05), steps over ``step_limit`` between neighbours (R07), stuck values (R08), gust below wind (R10), no reading
+    (R14). All rules but R08 are judged in one pass over the series; the hits come out of an array."""
     w = over(keys, time)
     series = series.withColumn("_jump", F.abs(F.col("temp") - F.lag("temp").over(w)) > step_limit)
     tests: list[tuple[str, str, str, Column]] = [(r, c, "bad", beyond(c)) for c, r in LIMIT_RULES.items()]
     tests += [("R07", "temp", "suspect", F.col("_jump")), ("R10", "gust", "suspect", F.col("gust") < F.col("wind")), ("R14", "all", "info", F.col("n").isNull())]
     hits = F.array(*(F.when(t, F.struct(F.lit(r).alias("rule"), F.lit(c).alias("channel"), F.lit(f).alias("flag"))) for r, c, f, t in tests))
-    return series.select(*keys, time, F.inline(F.array_compact(hits)))
+    flat = stuck_hits(series, keys, FLAT_SLOTS, ["temp"], time)
+    return series.select(*keys, time, F.inline(F.array_compact(hits))).unionByName(flat)
 
 
-def stuck(series: DataFrame, keys: list[str], channel: str, least: int, zero_moves: bool = False, time: str = "slot") -> DataFrame:
-    """Runs of one measured value over at least ``least`` slots: (keys, value, start, slots)."""
-    before = F.lag(channel).over(over(keys, time))
-    same = (F.col(channel) == before) & F.col(channel).isNotNull()
-    if zero_moves:
-        same &= F.col(channel) != 0
-    numbered = runs(series, keys, same, time).filter(F.col(channel).isNotNull())
-    found = numbered.groupBy(*keys, "run").agg(F.first(channel).alias("value"), F.min(time).alias("start"), F.count(F.lit(1)).alias("slots"))
-    return found.filter(F.col("slots") >= least).drop("run")
+def stuck_hits(series: DataFrame, keys: list[str], lengths: dict[str, int], thermometers: list[str], time: str = "slot", moved: float = 0.5) -> DataFrame:
+    """Each slot of a run of one measured value that is as long as its channel allows. Calm makes zero wind real, so it ends a
+    run; a flat thermometer is stuck only while another one moves by more than ``moved``. Channels become rows first, so that
+    the windows are split by channel, too."""
+    most = max(len(thermometers) - 1, 1)
+    nothing = F.lit(None).cast("double")
+
+    def row(channel: str, least: int):
+        others = [F.col(t) for t in thermometers if t != channel] if channel in thermometers else []
+        others += [nothing] * (most - len(others))
+        named = [o.cast("double").alias(f"other_{k}") for k, o in enumerate(others)]
+        return F.struct(F.lit(channel).alias("channel"), F.col(channel).cast("double").alias("value"), F.lit(least).alias("least"), F.lit(channel in thermometers).alias("air"), *named)
+
+    long = series.select(*keys, time, F.inline(F.array(*(row(c, n) for c, n in lengths.items()))))
+    same = (F.col("value") == F.lag("value").over(over([*keys, "channel"], time))) & ~((F.col("channel") == "wind") & (F.col("value") == 0))
+    numbered = runs(long, [*keys, "channel"], same, time)
+    run = Window.partitionBy(*keys, "channel", "run")
+    spread = F.greatest(F.lit(0.0), *(F.max(f"other_{k}").over(run) - F.min(f"other_{k}").over(run) for k in range(most)))
+    judged = numbered.withColumns({"_slots": F.count(F.lit(1)).over(run), "_spread": spread})
+    hit = (F.col("_slots") >= F.col("least")) & (~F.col("air") | (F.col("_spread") > moved))
+    return judged.filter(hit).select(*keys, time, F.lit("R08").alias("rule"), "channel", F.lit("suspect").alias("flag"))
 
 
 def channel_days(series: DataFrame, hits: DataFrame, keys: list[str], channels: list[str], day: Column) -> DataFrame:
@@ -63,10 +78,22 @@ def day_scores(judged: DataFrame, silent: DataFrame, keys: list[str]) -> DataFra
 
 
 def freshness_quality(rows: DataFrame) -> DataFrame:
-    """GOOD, DEGRADED or POOR from ``fresh_minutes``, ``spread``, ``critical`` (fields filled) and ``filled_share``."""
-    poor = (F.col("fresh_minutes") > 180) | (F.col("spread") > 3) | (F.col("critical") >= 3)
-    worse = (F.col("fresh_minutes") > 60) | (F.col("spread") > 2) | (F.col("critical") >= 1) | (F.col("filled_share") > 0.25)
-    return rows.withColumn("quality", F.when(poor, "POOR").when(worse, "DEGRADED").otherwise("GOOD"))
+    """GOOD, DEGRADED or POOR from ``fresh_minutes``, ``spread`` of the thermometers, ``critical`` (fields filled in the latest slot),
+    ``filled_share`` (of the last 24 slots), and ``flags`` that say why; ``temp`` and ``rh`` are the latest values."""
+    minutes, spread, critical, share = F.col("fresh_minutes"), F.col("spread"), F.col("critical"), F.col("filled_share")
+    poor = (minutes > 180) | (spread > 3) | (critical >= 3)
+    worse = (minutes > 60) | (spread > 2) | (critical >= 1) | (share > 0.25)
+    flags = {
+        "stale_data": minutes > 180,
+        "observation_age_elevated": (minutes > 60) & (minutes <= 180),
+        "missing_fields": critical > 0,
+        "gaps_filled_recently": share > 0.25,
+        "temp_sensor_disagreement": spread > 2,
+        "humidity_out_of_range": ~F.col("rh").between(0, 100),
+        "temp_out_of_range": ~F.col("temp").between(-10, 50),
+    }
+    listed = F.array_compact(F.array(*(F.when(held, F.lit(name)) for name, held in flags.items())))
+    return rows.withColumns({"quality": F.when(poor, "POOR").when(worse, "DEGRADED").otherwise("GOOD"), "flags": listed})
 
 
 def pair_audit(rows: DataFrame, pairs: list[tuple[str, str]], keys: list[str]) -> DataFrame:

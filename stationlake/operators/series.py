@@ -89,7 +89,7 @@ def runs(series: DataFrame, keys: Keys, same: Column, time: str = "slot") -> Dat
 
 def smooth(series: DataFrame, keys: Keys, label: str, dwell: int = 4, time: str = "slot") -> DataFrame:
     """``state``: a label counts once it lasted for ``dwell`` labelled rows; until then the last one that did stays. The
-    head takes the first that did; with none, the label of the last run holds for all."""
+    head takes the first that did; with none, the label of the last run holds for all. A row without a label has no state."""
     w = over(keys, time)
     known = series.filter(F.col(label).isNotNull())
     known = runs(known, keys, F.col(label) == F.lag(label).over(w), time)
@@ -98,13 +98,12 @@ def smooth(series: DataFrame, keys: Keys, label: str, dwell: int = 4, time: str
     joined = series.join(known.select(*keys, time, "_settled"), [*keys, time], "left")
     back = w.rowsBetween(Window.unboundedPreceding, 0)
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    started = F.last(label, ignorenulls=True).over(back).isNotNull()
     state = F.coalesce(
         F.last("_settled", ignorenulls=True).over(back),
         F.first("_settled", ignorenulls=True).over(every),
         F.last(label, ignorenulls=True).over(every),
     )
-    return joined.withColumn("state", F.when(started, state)).drop("_settled")
+    return joined.withColumn("state", F.when(F.col(label).isNotNull(), state)).drop("_settled")
 
 
 def segments(series: DataFrame, keys: Keys, state: str, time: str = "slot", step: int = 900) -> DataFrame:

@@ -73,9 +73,27 @@ def choose_et0(station_hours: Column, least: int = 20) -> Column:
     return F.when(station_hours >= least, "station").otherwise("regional")
 
 
-def link_account(known_subject: Column, email_owner: Column, verified: Column) -> Column:
-    """What to do with a sign-in by an outside account."""
-    return F.when(known_subject.isNotNull(), "sign_in").when(email_owner.isNull(), F.when(verified, "create").otherwise("refuse")).when(verified, "link").otherwise("refuse")
+def link_account(known_subject: Column, email_owner: Column, verified: Column, owner_subject: Column, owner_proven: Column) -> Column:
+    """What to do with a sign-in by an outside account whose address some account may have: an account that has another outside account is
+    left alone, one whose owner never proved the address is claimed, which drops its password and sessions."""
+    return (
+        F.when(known_subject.isNotNull(), "sign_in")
+        .when(~verified, "refuse_unverified")
+        .when(email_owner.isNull(), "create")
+        .when(owner_subject.isNotNull(), "refuse_conflict")
+        .when(owner_proven, "link")
+        .otherwise("claim")
+    )
+
+
+def mail_caps(sent: DataFrame, users: DataFrame, key: str, now: Column, per_user: int, overall: int, time: str = "t") -> DataFrame:
+    """For each of ``users``: mails of the last hour to it and to all, and which cap stops one more."""
+    recent = sent.filter(F.col(time) >= now - 3600)
+    own = recent.groupBy(key).agg(F.count(F.lit(1)).alias("own_last_hour"))
+    every = recent.agg(F.count(F.lit(1)).alias("all_last_hour"))
+    rows = users.select(key).join(own, key, "left").crossJoin(F.broadcast(every)).fillna(0, ["own_last_hour"])  # one row
+    cap = F.when(F.col("all_last_hour") >= overall, "global").when(F.col("own_last_hour") >= per_user, "address").otherwise("ok")
+    return rows.withColumn("cap", cap)
 
 
 def trend(later: Column, now: Column, step: float = 0.3) -> Column:

@@ -111,17 +111,14 @@ def model_selection(spark, sf_dir):
     return forecast.select_simplest(scores, ["no_change", "usual", "seasonal"], within=0.5)
 
 
-@query(f"""WITH {BASE_SQL}, c AS (SELECT station_id, slot, step, unnest([{{'part': 'usual', 'effect': u1}}, {{'part': 'anomaly', 'effect': a * (x0 - u0)}}, {{'part': 'season', 'effect': u1 - u0}}]) AS x FROM scored WHERE slot % 86400 = 0)
-    SELECT station_id, slot, step, x.part AS part, {r4('x.effect')} AS effect, row_number() OVER (PARTITION BY station_id, slot, step ORDER BY abs(x.effect) DESC, x.part) AS place FROM c QUALIFY place <= 2""")
+@query(f"""WITH {BASE_SQL}, c AS (SELECT station_id, slot, step, x0 AS baseline, f, unnest([{{'part': 'usual_daily_change', 'effect': u1 - u0}}, {{'part': 'departure_from_usual', 'effect': (a - 1) * (x0 - u0)}}]) AS x FROM scored)
+    SELECT station_id, slot, step, {r4('baseline')} AS baseline, {r4('f')} AS value, x.part AS part, {r4('x.effect')} AS effect, row_number() OVER (PARTITION BY station_id, slot, step ORDER BY abs(x.effect) DESC, x.part) AS place FROM c QUALIFY place <= 4""")
 def topk_contributors(spark, sf_dir):
-    """L2, Q8: the terms of a forecast with the largest effect."""
-    from pyspark.sql import Window
-
-    terms = {"usual": F.col("u1"), "anomaly": F.col("a") * (F.col("x0") - F.col("u0")), "season": F.col("u1") - F.col("u0")}
-    s = scored(spark, sf_dir).filter("slot % 86400 = 0")
-    parts = s.select("station_id", "slot", "step", F.inline(F.array(*(F.struct(F.lit(n).alias("part"), x.alias("effect")) for n, x in terms.items()))))
-    place = F.row_number().over(Window.partitionBy("station_id", "slot", "step").orderBy(F.desc(F.abs("effect")), "part"))
-    return parts.withColumn("place", place.cast("long")).filter("place <= 2").withColumn("effect", half_up(F.col("effect"), 4))
+    """L2, Q8: the terms that move a forecast away from its baseline, four at most; terms and baseline add up to the forecast."""
+    terms = forecast.seasonal_terms(F.col("a"))
+    s = scored(spark, sf_dir)
+    parts = s.select("station_id", "slot", "step", F.col("x0").alias("baseline"), F.col("f").alias("value"), F.inline(F.array(*(F.struct(F.lit(n).alias("part"), x.alias("effect")) for n, x in terms.items()))))
+    return forecast.largest_terms(parts, ["station_id", "slot", "step"]).withColumns({c: half_up(F.col(c), 4) for c in ("baseline", "value", "effect")})
 
 
 @query(f"""WITH {GRID_SQL}, p AS (SELECT station_id, slot, 1 / (1 + exp(-(-2 + 0.03 * (rh - 40)))) AS p, (coalesce(rain, 0) > 0.1)::INTEGER AS y FROM dense WHERE rh IS NOT NULL),

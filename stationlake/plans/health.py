@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import half_up
@@ -11,6 +12,23 @@ from .registry import query, r4
 
 KEYS = ["station_id"]
 CHANNELS = ["temp", "rh", "press", "wind", "gust", "rain"]
+FLAT_AIR = ["temp", "temp_b", "temp_c"]
+
+
+def flat_sql(source: str, lengths: dict, air: list) -> str:
+    """R08 over a table with station_id and slot."""
+    parts = []
+    for channel, least in lengths.items():
+        others = [t for t in air if t != channel] if channel in air else []
+        spread = "greatest(0, " + ", ".join(f"max({t}) OVER r - min({t}) OVER r" for t in others) + ") > 0.5" if others else ("false" if channel in air else "true")
+        calm = " AND wind <> 0" if channel == "wind" else ""
+        parts.append(f"""SELECT station_id, slot, 'R08' AS rule, '{channel}' AS channel, 'suspect' AS flag FROM (
+            SELECT station_id, slot, count(*) OVER r AS slots, {spread} AS moved FROM (SELECT *, sum(b) OVER (PARTITION BY station_id ORDER BY slot) AS run FROM (
+                SELECT *, CASE WHEN {channel} = lag({channel}) OVER (PARTITION BY station_id ORDER BY slot){calm} THEN 0 ELSE 1 END AS b FROM {source}))
+            WINDOW r AS (PARTITION BY station_id, run)) WHERE slots >= {least} AND moved""")
+    return " UNION ALL ".join(parts)
+
+
 #: Stretched, so that the hard limits have something to find.
 RAW_SQL = f"""{GRID_SQL},
     raw AS (SELECT station_id, slot, temp * 1.5 AS temp, rh * 1.2 AS rh, 850 + (press - 850) * 20 AS press, wind * 6 AS wind, gust * 5.5 AS gust, rain * 4 AS rain, n FROM dense),
@@ -21,7 +39,8 @@ RAW_SQL = f"""{GRID_SQL},
         CASE WHEN gust < 0 OR gust > 75 THEN 'R04/gust/bad' END, CASE WHEN rain < 0 OR rain > 10 THEN 'R05/rain/bad' END,
         CASE WHEN abs(temp - lag(temp) OVER (PARTITION BY station_id ORDER BY slot)) > 5 THEN 'R07/temp/suspect' END,
         CASE WHEN gust < wind THEN 'R10/gust/suspect' END, CASE WHEN n IS NULL THEN 'R14/all/info' END]) AS hit FROM raw),
-    long AS (SELECT station_id, slot, split_part(hit, '/', 1) AS rule, split_part(hit, '/', 2) AS channel, split_part(hit, '/', 3) AS flag FROM hits WHERE hit IS NOT NULL)"""
+    long AS (SELECT station_id, slot, split_part(hit, '/', 1) AS rule, split_part(hit, '/', 2) AS channel, split_part(hit, '/', 3) AS flag FROM hits WHERE hit IS NOT NULL
+        UNION ALL {flat_sql("raw", quality.FLAT_SLOTS, ["temp"])})"""
 DAYS_SQL = f"""{RAW_SQL},
     measured AS (UNPIVOT (SELECT station_id, (slot + 10800) // 86400 AS day, count(*) AS slots, count(temp) AS temp, count(rh) AS rh, count(press) AS press,
         count(wind) AS wind, count(gust) AS gust, count(rain) AS rain FROM raw GROUP BY 1, 2) ON temp, rh, press, wind, gust, rain INTO NAME channel VALUE measured),
@@ -47,14 +66,25 @@ def rule_hits_long(spark, sf_dir):
     return quality.rule_hits(raw(spark, sf_dir), KEYS)
 
 
-@query(f"""WITH {GRID_SQL}, v AS (SELECT station_id, slot, floor(temp / 2) AS temp FROM grid WHERE temp IS NOT NULL),
-    b AS (SELECT *, CASE WHEN temp = lag(temp) OVER w THEN 0 ELSE 1 END AS b FROM v WINDOW w AS (PARTITION BY station_id ORDER BY slot)),
-    r AS (SELECT *, sum(b) OVER (PARTITION BY station_id ORDER BY slot) AS run FROM b)
-    SELECT station_id, any_value(temp)::DOUBLE AS value, min(slot) AS start, count(*) AS slots FROM r GROUP BY station_id, run HAVING count(*) >= 3""")
+#: Three-hour slots of coarse values, so that some don't move.
+COARSE_SQL = f"""{READINGS_SQL}, coarse AS (SELECT station_id, t - t % 10800 AS slot, floor(avg(temp) / 15) AS temp, floor(max(temp) / 15) AS temp_b, floor(avg(temp) / 2) AS temp_c, floor(avg(rh) / 60) AS rh,
+        floor(avg(press) / 851.5) AS press, floor(avg(wind) / 6) AS wind FROM readings GROUP BY 1, 2)"""
+FLAT = {"temp": 8, "temp_b": 8, "temp_c": 8, "rh": 8, "press": 12, "wind": 12}
+
+
+@query(f"WITH {COARSE_SQL} {flat_sql('coarse', FLAT, FLAT_AIR)}")
 def stuck_runs(spark, sf_dir):
-    """A value that doesn't move."""
-    g = series.slot_grid(readings(spark, sf_dir), KEYS).filter("temp is not null").withColumn("temp", F.floor(F.col("temp") / 2).cast("double"))
-    return quality.stuck(g, KEYS, "temp", least=3)
+    """Values that don't move, thermometers only while another one does."""
+    whole = lambda x, by: F.floor(x / by).cast("double")
+    g = readings(spark, sf_dir).groupBy("station_id", (F.col("t") - F.col("t") % 10800).alias("slot")).agg(
+        whole(F.avg("temp"), 15).alias("temp"),
+        whole(F.max("temp"), 15).alias("temp_b"),
+        whole(F.avg("temp"), 2).alias("temp_c"),
+        whole(F.avg("rh"), 60).alias("rh"),
+        whole(F.avg("press"), 851.5).alias("press"),
+        whole(F.avg("wind"), 6).alias("wind"),
+    )
+    return quality.stuck_hits(g, KEYS, FLAT, FLAT_AIR)
 
 
 @query(f"""WITH {DAYS_SQL}, s AS (SELECT station_id, t AS e, lag(t) OVER (PARTITION BY station_id ORDER BY t) AS b FROM readings),
@@ -87,25 +117,42 @@ def rule_counts(spark, sf_dir):
     )
 
 
-@query(f"""WITH {GRID_SQL}, l AS (SELECT *, max(slot) OVER (PARTITION BY station_id) AS anchor FROM dense),
-    f AS (SELECT station_id, anchor, max(slot) FILTER (temp IS NOT NULL) AS fresh,
-        count(*) FILTER (slot > anchor - 86400 AND n IS NULL) / 96.0 AS filled,
-        (max(CASE WHEN slot = anchor AND temp IS NULL THEN 1 ELSE 0 END) + max(CASE WHEN slot = anchor AND rh IS NULL THEN 1 ELSE 0 END) + max(CASE WHEN slot = anchor AND wind IS NULL THEN 1 ELSE 0 END))::BIGINT AS critical FROM l GROUP BY 1, 2)
-    SELECT station_id, (anchor - fresh) // 60 AS fresh_minutes, critical, {r4('filled')} AS filled_share,
-        CASE WHEN (anchor - fresh) // 60 > 180 OR critical >= 3 THEN 'POOR' WHEN (anchor - fresh) // 60 > 60 OR critical >= 1 OR filled > 0.25 THEN 'DEGRADED' ELSE 'GOOD' END AS quality FROM f""")
-def data_quality(spark, sf_dir):
-    """Q3: how good the latest data are."""
+QUALITY_SQL = f"""{GRID_SQL}, kept AS (SELECT station_id, slot, temp IS NULL AS no_temp, rh IS NULL AS no_rh, wind IS NULL AS no_wind, coalesce(last_value(temp IGNORE NULLS) OVER w, 20) AS temp, coalesce(last_value(rh IGNORE NULLS) OVER w, 60) AS rh,
+        row_number() OVER (PARTITION BY station_id ORDER BY slot DESC) AS back, max(slot) OVER () + 1800 AS now FROM dense WINDOW w AS (PARTITION BY station_id ORDER BY slot)),
+    latest AS (SELECT station_id, max(floor((now - slot) / 60 + 0.5)::BIGINT) FILTER (back = 1) AS fresh_minutes, max(no_temp::BIGINT + no_rh::BIGINT + no_wind::BIGINT) FILTER (back = 1) AS critical,
+        avg((no_temp OR no_rh OR no_wind)::BIGINT) FILTER (back <= 24) AS filled_share, max(temp * 1.4) FILTER (back = 1) AS temp, max(rh * 1.1) FILTER (back = 1) AS rh,
+        max(greatest(temp, temp + (station_id - 1) * 1.1::double, temp - 0.2::double) - least(temp, temp + (station_id - 1) * 1.1::double, temp - 0.2::double)) FILTER (back = 1) AS spread FROM kept GROUP BY 1),
+    quality AS (SELECT *, CASE WHEN fresh_minutes > 180 OR spread > 3 OR critical >= 3 THEN 'POOR' WHEN fresh_minutes > 60 OR spread > 2 OR critical >= 1 OR filled_share > 0.25 THEN 'DEGRADED' ELSE 'GOOD' END AS quality,
+        list_filter([CASE WHEN fresh_minutes > 180 THEN 'stale_data' END, CASE WHEN fresh_minutes > 60 AND fresh_minutes <= 180 THEN 'observation_age_elevated' END, CASE WHEN critical > 0 THEN 'missing_fields' END,
+            CASE WHEN filled_share > 0.25 THEN 'gaps_filled_recently' END, CASE WHEN spread > 2 THEN 'temp_sensor_disagreement' END, CASE WHEN NOT rh BETWEEN 0 AND 100 THEN 'humidity_out_of_range' END,
+            CASE WHEN NOT temp BETWEEN -10 AND 50 THEN 'temp_out_of_range' END], lambda x: x IS NOT NULL) AS flags FROM latest)"""
+
+
+def latest_quality(spark, sf_dir):
     g = series.dense(series.slot_grid(readings(spark, sf_dir), KEYS), KEYS)
-    g = g.join(F.broadcast(g.groupBy("station_id").agg(F.max("slot").alias("anchor"))), "station_id")
-    last = F.col("slot") == F.col("anchor")
-    missing = lambda c: F.max(F.when(last & F.col(c).isNull(), 1).otherwise(0))
-    s = g.groupBy("station_id", "anchor").agg(
-        F.max(F.when(F.col("temp").isNotNull(), F.col("slot"))).alias("fresh"),
-        (F.count_if((F.col("slot") > F.col("anchor") - 86400) & F.col("n").isNull()) / 96).alias("filled_share"),
-        (missing("temp") + missing("rh") + missing("wind")).cast("long").alias("critical"),
+    g = series.carry(g, KEYS, {"temp": 20.0, "rh": 60.0, "wind": 1.0})
+    back = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("slot")))
+    now = g.agg((F.max("slot") + 1800).alias("now"))
+    recent = g.withColumn("back", back).filter("back <= 24").crossJoin(F.broadcast(now))  # one row
+    latest = lambda x: F.max(F.when(F.col("back") == 1, x))
+    t = F.col("temp")
+    air = [t, t + (F.col("station_id") - 1) * 1.1, t - 0.2]
+    s = recent.groupBy("station_id").agg(
+        latest(F.floor((F.col("now") - F.col("slot")) / 60 + 0.5)).alias("fresh_minutes"),
+        latest(F.size("imputed").cast("long")).alias("critical"),
+        F.avg((F.size("imputed") > 0).cast("int")).alias("filled_share"),
+        latest(t * 1.4).alias("temp"),
+        latest(F.col("rh") * 1.1).alias("rh"),
+        latest(F.greatest(*air) - F.least(*air)).alias("spread"),
     )
-    s = s.withColumns({"fresh_minutes": F.floor((F.col("anchor") - F.col("fresh")) / 60), "spread": F.lit(0.0)})
-    return quality.freshness_quality(s).select("station_id", "fresh_minutes", "critical", half_up(F.col("filled_share"), 4).alias("filled_share"), "quality")
+    return quality.freshness_quality(s)
+
+
+@query(f"WITH {QUALITY_SQL} SELECT station_id, fresh_minutes, critical, {r4('filled_share')} AS filled_share, {r4('spread')} AS spread, quality, array_to_string(flags, ',') AS flags FROM quality")
+def data_quality(spark, sf_dir):
+    """Q3, P10: how good the latest data are, and why."""
+    rounded = [half_up(F.col(c), 4).alias(c) for c in ("filled_share", "spread")]
+    return latest_quality(spark, sf_dir).select("station_id", "fresh_minutes", "critical", *rounded, "quality", F.array_join("flags", ",").alias("flags"))
 
 
 @query(f"""WITH {READINGS_SQL}, g AS (SELECT station_id, t // 10800 AS w, avg(temp) AS a, min(temp) AS b, max(temp) AS c FROM readings GROUP BY 1, 2),

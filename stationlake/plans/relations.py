@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import half_up
-from ..operators import joins, store
+from ..operators import joins, service, store
 from ..sources.testdata import READINGS_SQL, readings, table
 from .registry import query, r4
 
@@ -177,8 +177,12 @@ def county_anomaly(spark, sf_dir):
     return means.select("n_name", half_up(F.col("m"), 4).alias("mean"), half_up(anomaly, 4).alias("anomaly"))
 
 
-@query("""SELECT user_id, minute, count(*) AS hits, count(*) FILTER (k <= 2) AS admitted FROM (SELECT user_id, epoch_us(ts) // 86400000000 AS minute, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 86400000000 ORDER BY ts, event_id) AS k FROM events) GROUP BY 1, 2""".replace("minute", "day"))
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) // 1000000 AS t FROM events), n AS (SELECT max(t) - 86400 AS now FROM e), r AS (SELECT user_id FROM e, n WHERE t >= now - 3600 AND t <= now),
+    o AS (SELECT user_id, count(*) AS own FROM r GROUP BY 1), x AS (SELECT DISTINCT user_id, coalesce(own, 0) AS own_last_hour, (SELECT count(*) FROM r) AS all_last_hour FROM e LEFT JOIN o USING (user_id))
+    SELECT *, CASE WHEN all_last_hour >= 100 THEN 'global' WHEN own_last_hour >= 1 THEN 'address' ELSE 'ok' END AS cap FROM x""")
 def email_cap(spark, sf_dir):
-    """How many of a user's requests of a day are within the cap."""
-    e = table(spark, sf_dir, "events").withColumn("day", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400))
-    return e.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("hits")).withColumn("admitted", F.least("hits", F.lit(2).cast("long")))
+    """Mails of the last hour to each user and to all, and the cap that stops one more."""
+    e = table(spark, sf_dir, "events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
+    now = e.agg(F.max("t")).first()[0]
+    until = F.lit((now or 0) - 86400)
+    return service.mail_caps(e.filter(F.col("t") <= until), e.select("user_id").distinct(), "user_id", until, per_user=1, overall=100)

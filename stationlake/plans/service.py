@@ -106,12 +106,13 @@ def plan_impact(spark, sf_dir):
     return met.filter(besttime.worse_than_planned(F.col("band"), F.col("planned"))).select("o_orderkey", "band", (F.col("least") < F.col("rank")).alias("cooler"))
 
 
-@query("""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS subject, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey END AS owner, c_custkey % 5 <> 0 AS verified FROM customer)
-    SELECT c_custkey, CASE WHEN subject IS NOT NULL THEN 'sign_in' WHEN owner IS NULL THEN CASE WHEN verified THEN 'create' ELSE 'refuse' END WHEN verified THEN 'link' ELSE 'refuse' END AS action FROM c""")
+@query("""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS subject, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey END AS owner, c_custkey % 5 <> 0 AS verified,
+        c_custkey % 7 = 0 AS taken, c_custkey % 2 = 0 AS proven FROM customer)
+    SELECT c_custkey, CASE WHEN subject IS NOT NULL THEN 'sign_in' WHEN NOT verified THEN 'refuse_unverified' WHEN owner IS NULL THEN 'create' WHEN taken THEN 'refuse_conflict' WHEN proven THEN 'link' ELSE 'claim' END AS action FROM c""")
 def account_link(spark, sf_dir):
     """Q30: what a sign-in by an outside account does."""
     k = F.col("c_custkey")
-    action = service.link_account(F.when(k % 3 == 0, k), F.when(k % 4 != 0, k), k % 5 != 0)
+    action = service.link_account(F.when(k % 3 == 0, k), F.when(k % 4 != 0, k), k % 5 != 0, F.when(k % 7 == 0, k), k % 2 == 0)
     return table(spark, sf_dir, "customer").select(k, action.alias("action"))
 
 

@@ -129,14 +129,12 @@ def trailing_day(spark, sf_dir):
     return since.groupBy("station_id").agg(F.max("temp").alias("t_max"), F.min("temp").alias("t_min"), hours)
 
 
-@query(f"""WITH {GRID_SQL}, m AS (SELECT station_id, slot, temp, slot - lag(slot) OVER ({W}) AS d FROM grid WHERE temp IS NOT NULL)
-    SELECT station_id, floor(count(*) FILTER (temp > 20) * min(d) FILTER (d > 0) / 3600.0 * 10 + 0.5) / 10 AS hours FROM m GROUP BY 1""")
+@query(f"""WITH {GRID_SQL}, e AS (SELECT station_id, max(slot) AS last FROM grid GROUP BY 1),
+    m AS (SELECT station_id, slot, temp, slot - lag(slot) OVER ({W}) AS d FROM grid JOIN e USING (station_id) WHERE slot > last - 259200 AND temp IS NOT NULL)
+    SELECT station_id, floor(count(*) FILTER (temp >= 20) * min(d) FILTER (d > 0) / 3600.0 * 10 + 0.5) / 10 AS hours FROM m GROUP BY 1""")
 def hours_above(spark, sf_dir):
-    """Measured hours above a threshold, each slot worth the least spacing."""
-    g = series.slot_grid(readings(spark, sf_dir), KEYS).filter("temp is not null")
-    spaced = g.withColumn("d", F.col("slot") - F.lag("slot").over(series.over(KEYS)))
-    least = F.min(F.when(F.col("d") > 0, F.col("d")))
-    return spaced.groupBy("station_id").agg(half_up(F.count_if(F.col("temp") > 20) * least / 3600.0, 1).alias("hours"))
+    """Measured hours of the last three days at a threshold or above, each slot worth the least spacing."""
+    return daily.hours_above(series.slot_grid(readings(spark, sf_dir), KEYS), KEYS, "temp", 20.0, hours=72)
 
 
 @query(f"""WITH {DAY_SQL}, l AS (SELECT station_id, max_by(mm, day) FILTER (mm IS NOT NULL) AS x FROM days GROUP BY 1)
@@ -153,13 +151,13 @@ def midrank_pct(spark, sf_dir):
 @query(f"""WITH {READINGS_SQL}, r AS (SELECT station_id, (t - 21600) // 86400 AS rain_day, t, rain FROM readings),
     prior AS (SELECT station_id, rain_day - 1 AS rain_day, list_sort(list(rain) FILTER (rain IS NOT NULL)) AS p FROM r GROUP BY 1, 2),
     own AS (SELECT station_id, rain_day, sum(rain) AS total, count(DISTINCT t // 900) AS slots FROM r GROUP BY 1, 2)
-    SELECT station_id, rain_day, {r4('coalesce(p[len(p) // 2 + 1], CASE WHEN slots >= 48 THEN total END)')} AS mm FROM own LEFT JOIN prior USING (station_id, rain_day)""")
+    SELECT station_id, rain_day, {r4('coalesce(p[len(p) // 2 + 1], CASE WHEN slots >= 77 THEN total END)')} AS mm FROM own LEFT JOIN prior USING (station_id, rain_day)""")
 def rain_day_totals(spark, sf_dir):
     """A rain day's total as the next day reports it, by upper median; else its own sum if enough slots were read."""
     r = readings(spark, sf_dir).withColumn("rain_day", F.floor((F.col("t") - 21600) / 86400))
     prior = r.groupBy("station_id", (F.col("rain_day") - 1).alias("rain_day")).agg(upper_median(F.collect_list("rain")).alias("told"))
     own = r.groupBy("station_id", "rain_day").agg(F.sum("rain").alias("total"), F.count_distinct(F.floor(F.col("t") / 900)).alias("slots"))
-    mm = F.coalesce("told", F.when(F.col("slots") >= 48, F.col("total")))
+    mm = F.coalesce("told", F.when(F.col("slots") >= 77, F.col("total")))
     return own.join(prior, ["station_id", "rain_day"], "left").select("station_id", "rain_day", half_up(mm, 4).alias("mm"))
 
 
@@ -182,25 +180,29 @@ def rain_totals(spark, sf_dir):
     )
 
 
-@query(f"""WITH {DAY_SQL}, l AS (SELECT station_id, max(day) AS today, max(day) FILTER (mm IS NULL OR mm < 12) AS stop_wet, max(day) FILTER (mm IS NULL OR mm >= 12) AS stop_dry,
-        min(day) AS first FROM days GROUP BY 1)
-    SELECT station_id, today - coalesce(stop_wet, first - 1) AS wet_days, today - coalesce(stop_dry, first - 1) AS dry_days FROM l""")
+GATED_SQL = f"""{DAY_SQL}, spine AS (SELECT station_id, unnest(generate_series(min(day), max(day))) AS day FROM days GROUP BY 1),
+    gated AS (SELECT station_id, day, CASE WHEN rain_hours >= 10 THEN mm END AS mm FROM spine LEFT JOIN days USING (station_id, day))"""
+
+
+def gated(spark, sf_dir):
+    return daily.gated(days(spark, sf_dir), KEYS, least_hours=10)
+
+
+@query(f"""WITH {GATED_SQL}, l AS (SELECT station_id, max(day) FILTER (mm IS NOT NULL) AS latest, min(day) AS first FROM gated GROUP BY 1),
+    s AS (SELECT station_id, any_value(latest) AS latest, any_value(first) AS first, max(day) FILTER (mm IS NULL OR mm < 30) AS stop_wet, max(day) FILTER (mm IS NULL OR mm >= 30) AS stop_dry
+        FROM gated JOIN l USING (station_id) WHERE latest IS NULL OR day <= latest GROUP BY 1)
+    SELECT station_id, coalesce(latest - coalesce(stop_wet, first - 1), 0) AS wet_days, coalesce(latest - coalesce(stop_dry, first - 1), 0) AS dry_days FROM s""")
 def spell_length(spark, sf_dir):
-    """Days in a row up to the latest that were wet, or dry; a day without a value ends both."""
-    return daily.spells(days(spark, sf_dir), KEYS, threshold=12.0)
+    """Days in a row up to the latest read one that were wet, or dry; an unread day in between ends both."""
+    return daily.spells(gated(spark, sf_dir), KEYS, threshold=30.0)
 
 
-@query(f"""WITH {DAY_SQL}, s AS (SELECT station_id, day, sum(mm) OVER w AS mm3, count(mm) OVER w AS k FROM days WINDOW w AS (PARTITION BY station_id ORDER BY day ROWS 2 PRECEDING)),
-    t AS (SELECT station_id, max(day) AS today FROM days GROUP BY 1)
-    SELECT station_id, {r4('max(mm3)')} AS mm, max_by(day, (mm3, -day)) AS last_day FROM s JOIN t USING (station_id) WHERE k = 3 AND day > today - 8 GROUP BY 1""")
+@query(f"""WITH {GATED_SQL}, s AS (SELECT station_id, day, sum(coalesce(mm, 0)) OVER w AS mm3, day - min(day) OVER (PARTITION BY station_id) >= 2 AS whole, max(day) OVER (PARTITION BY station_id) AS today
+        FROM gated WINDOW w AS (PARTITION BY station_id ORDER BY day ROWS 2 PRECEDING))
+    SELECT station_id, floor(greatest(0, coalesce(max(mm3) FILTER (whole AND day > today - 8), 0)) * 10 + 0.500001) / 10 AS mm FROM s GROUP BY 1""")
 def best_3day(spark, sf_dir):
-    """The wettest three days in a row among the last ten."""
-    w = Window.partitionBy("station_id").orderBy("day").rowsBetween(-2, 0)
-    d = days(spark, sf_dir)
-    today = d.groupBy("station_id").agg(F.max("day").alias("today"))
-    s = d.withColumns({"mm3": F.sum("mm").over(w), "k": F.count("mm").over(w)}).join(F.broadcast(today), "station_id")
-    s = s.filter("k = 3 and day > today - 8")
-    return s.groupBy("station_id").agg(half_up(F.max("mm3"), 4).alias("mm"), F.max_by("day", F.struct("mm3", -F.col("day"))).alias("last_day"))
+    """The wettest three days in a row among the last ten; an unread day counts as none."""
+    return daily.best_wetting(gated(spark, sf_dir), KEYS)
 
 
 @query(f"""WITH {DAY_SQL}, e AS (SELECT station_id, day, least(150, greatest(0, mm)) AS mm FROM (SELECT station_id, (t + 10800) // 86400 AS day, rain * 60 AS mm FROM readings WHERE rain > 0))
