@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions.agro import et0_hargreaves
 from .functions.heat import risk_band, shade_wbgt, stull_wet_bulb
 from .functions.rounding import half_up
-from .operators import besttime, daily, farm, forecast, quality, series
+from .operators import besttime, daily, display, farm, forecast, outlook, quality, series
 
 KEYS = ["station_id"]
 DEFAULTS = {"temp": 20.0, "rh": 60.0}
@@ -80,3 +80,24 @@ def depletion(readings: DataFrame, keys: list[str] = KEYS, coefficient: float =
     et0 = F.coalesce(et0_hargreaves(F.col("t_max"), F.col("t_min"), doy), F.lit(0.0))
     rain = F.when(F.col("mm") > 2, 0.8 * F.col("mm")).otherwise(0.0)
     return farm.clamped_balance(d.select(*keys, "day", (coefficient * et0 - rain).alias("net")), keys, "net", F.lit(capacity))
+
+
+def clean(raw: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """From raw records to a series without holes that names what wasn't measured; ``raw`` also has ``event_id``, which orders repeats."""
+    return outlook.clean_grid(raw, keys, {"temp": 20.0, "rh": 60.0, "press": 848.0, "wind": 1.0, "rain": 0.0})
+
+
+def rainfall(readings: DataFrame, keys: list[str] = KEYS, least_hours: int = 20) -> DataFrame:
+    """Rain of today, a week and thirty days, its rank and spells; told only if every day is known."""
+    return outlook.rainfall_context(daily.gated(daily.business_days(readings, keys), keys, least_hours), keys)
+
+
+def activities(readings: DataFrame, planned: DataFrame, now: int, hours: int = 9) -> DataFrame:
+    """Planned activities held against the exposure of the hours from ``now`` on."""
+    ahead = exposure(readings).filter(F.col("slot").between(now, now + hours * 3600))
+    return outlook.assess(planned, ahead.select("station_id", "slot", F.col("wbgt").alias("value")), now)
+
+
+def longest_silence(readings: DataFrame, keys: list[str] = KEYS, seconds: int = 3600) -> DataFrame:
+    """Each station's longest silence above ``seconds``."""
+    return display.longest_gap(series.gaps(readings, keys, F.lit(seconds)), keys)

@@ -28,11 +28,15 @@ def candidates(forecast: DataFrame, keys: list[str], duration: int, offset: floa
     return whole.withColumn("rank", risk_rank(risk_band(F.col("peak"), offset))).drop("points")
 
 
+def order() -> Column:
+    """One order of windows: band, peak in steps of 0.05, width in steps of 0.1, mean, start."""
+    return F.struct("rank", F.floor(F.col("peak") / 0.05 + 1e-6), F.floor(F.col("width") / 0.1 + 1e-6), F.floor(F.col("mean") * 1e6 + 0.5), "start")
+
+
 def best_quantised(found: DataFrame, keys: list[str]) -> DataFrame:
     """The best window of each key by one order: band, peak in steps of 0.05, width in steps of 0.1, mean, start. Unlike tolerances
     this is transitive, so Spark can take it as a minimum with partial results."""
-    order = F.struct("rank", F.floor(F.col("peak") / 0.05 + 1e-6), F.floor(F.col("width") / 0.1 + 1e-6), F.floor(F.col("mean") * 1e6 + 0.5), "start")
-    return found.groupBy(*keys).agg(F.min_by(F.struct("start", "end", "rank", "peak"), order).alias("_b")).select(*keys, "_b.*")
+    return found.groupBy(*keys).agg(F.min_by(F.struct("start", "end", "rank", "peak"), order()).alias("_b")).select(*keys, "_b.*")
 
 
 def _compare(a: dict, b: dict) -> float:

@@ -56,6 +56,16 @@ def irrigation_advice(depletion: Column, raw: Column, etc: Column, rain_ahead: C
     )
 
 
+def day_inputs(days: DataFrame, regional: DataFrame, applied: DataFrame, keys: list[str], least_hours: int = 20) -> DataFrame:
+    """Each day's extremes and where they come from, the station where it measured enough hours, else the regional model (r_max, r_min), and
+    the water applied."""
+    rows = days.join(regional, [*keys, "day"], "left").join(applied, [*keys, "day"], "left")
+    own = F.col("temp_hours") >= least_hours
+    source = F.when(own, "station").when(F.col("r_max").isNotNull() & F.col("r_min").isNotNull(), "regional_model")
+    pick = lambda mine, other: F.when(own, F.col(mine)).otherwise(F.col(other)).alias(mine)
+    return rows.select(*keys, "day", source.alias("source"), pick("t_max", "r_max"), pick("t_min", "r_min"), F.coalesce("applied", F.lit(0.0)).alias("applied"))
+
+
 def confidence(station_rain: Column, station_et0: Column, whole: Column) -> Column:
     return F.when(station_rain & station_et0 & whole, "HIGH").when(station_rain | station_et0, "MODERATE").otherwise("LOW")
 

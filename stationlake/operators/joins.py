@@ -21,12 +21,18 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int,
     return near.groupBy("_id", *columns).agg(best.alias(pick)).drop("_id")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, pick: list[str]) -> DataFrame:
-    """``left`` with the latest ``right`` row at or before it: one union, one sort within keys, no pairs."""
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, pick: list[str], period: int = 86400) -> DataFrame:
+    """``left`` with the latest ``right`` row at or before it: one union and one sort within a key and ``period``, no pairs. What a period starts
+    with is the last row of those before it, found among one row a period."""
     a = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(F.struct(*pick).alias("s")).schema["s"].dataType).alias("_right"))
     b = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), F.struct(*pick).alias("_right"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_right", F.last("_right", ignorenulls=True).over(w)).filter("_side = 1")
+    both = a.unionByName(b).withColumn("_p", F.floor(F.col("_t") / period))
+    ends = both.groupBy(*keys, "_p").agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col("_t"))).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "_p", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    w = Window.partitionBy(*keys, "_p").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_right", F.last("_right", ignorenulls=True).over(w)).filter("_side = 1").join(ends, [*keys, "_p"], "left")
+    both = both.withColumn("_right", F.coalesce("_right", "_before"))
     return both.select("_left.*", *(F.col(f"_right.{c}").alias(c) for c in pick))
 
 

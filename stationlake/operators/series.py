@@ -65,11 +65,19 @@ def interpolate(series: DataFrame, keys: Keys, channel: str, longest: int = 2, t
     return s.withColumn("interpolated", filled.isNotNull()).withColumn(channel, F.coalesce(x, filled)).drop("_n", "_at", "_p", "_pn", "_q", "_qn")
 
 
+def spaced(readings: DataFrame, keys: Keys, time: str = "t", period: int = 86400) -> DataFrame:
+    """(keys, start, end) for each two neighbouring readings. Neighbours are found within a period of a key, so that no task sorts a whole series;
+    between periods they are the last and the first of each, one row a period."""
+    rows = readings.select(*keys, F.col(time).alias("end"), F.floor(F.col(time) / period).alias("_p"))
+    inside = rows.withColumn("start", F.lag("end").over(over([*keys, "_p"], "end"))).filter("start is not null")
+    ends = rows.groupBy(*keys, "_p").agg(F.min("end").alias("end"), F.max("end").alias("_last"))
+    across = ends.withColumn("start", F.lag("_last").over(over(keys, "_p"))).filter("start is not null")
+    return inside.select(*keys, "start", "end").union(across.select(*keys, "start", "end"))
+
+
 def gaps(readings: DataFrame, keys: Keys, longest: Column, time: str = "t") -> DataFrame:
     """Silences longer than ``longest``: (keys, start, end, seconds) between neighbouring readings."""
-    w = over(keys, time)
-    spaced = readings.select(*keys, F.col(time).alias("end"), F.lag(time).over(w).alias("start"))
-    return spaced.withColumn("seconds", F.col("end") - F.col("start")).filter(F.col("seconds") > longest)
+    return spaced(readings, keys, time).withColumn("seconds", F.col("end") - F.col("start")).filter(F.col("seconds") > longest)
 
 
 def charge_gaps(gap_rows: DataFrame, keys: Keys, step: int = 900) -> DataFrame:

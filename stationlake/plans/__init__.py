@@ -1,4 +1,4 @@
 """The registered queries."""
 
-from . import decisions, expressions, farm, forecasts, health, ingest, models, relations, sensors, service, streams, windows  # noqa: F401
+from . import decisions, display, expressions, farm, forecasts, health, ingest, models, outlook, relations, sensors, service, streams, windows  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import api
+from ..functions.heat import risk_band, risk_rank
 from ..functions.rounding import half_up
 from ..operators import alerts, besttime, counters, spatial
 from ..sources.testdata import GRID_SQL, READINGS_SQL, readings, table
 from .expressions import STULL_SQL, band_sql
+from .health import CENTROIDS
 from .registry import query, r4
 
 KEYS = ["station_id"]
@@ -56,19 +58,22 @@ def best_window_tolerant(spark, sf_dir):
     return besttime.best_with_tolerances(windows(spark, sf_dir), ["station_id", "day"])
 
 
-RULES_SQL = """rules AS (SELECT o_orderkey AS rule_id, o_custkey % 4 AS station_id, CASE o_orderkey % 5 WHEN 0 THEN 'exposure_tier' WHEN 1 THEN 'state_transition' WHEN 2 THEN 'rain' WHEN 3 THEN 'data_quality' ELSE 'other' END AS kind,
+RULES_SQL = """rules AS (SELECT o_orderkey AS rule_id, o_custkey % 4 AS station_id, CASE o_orderkey % 5 WHEN 0 THEN 'exposure_tier' WHEN 1 THEN 'state_transition' WHEN 2 THEN 'rain' WHEN 3 THEN 'data_quality' ELSE 'best_time' END AS kind, o_custkey AS owner, CASE o_orderkey % 3 WHEN 0 THEN 'general' WHEN 1 THEN 'sport' ELSE 'farm' END AS activity,
         (o_custkey % 5 - 2)::double AS offset_c, CASE WHEN o_orderkey % 3 = 0 THEN 1706486400 - (o_orderkey % 40) * 3600 END AS last FROM orders)"""
 
 
 @query(f"""WITH {FILLED_SQL}, {RULES_SQL},
     day AS (SELECT station_id, max(wbgt) FILTER ((slot + 10800) // 86400 = 19751 AND slot >= 1706485500) AS peak, max(wbgt) FILTER ((slot + 10800) // 86400 = 19750 AND slot >= 1706399100) AS peak_before,
         avg(imputed) > 0.9 AS poor FROM wbgt GROUP BY 1),
-    x AS (SELECT rule_id, kind, offset_c, last, peak, peak_before, poor, station_id = 2 AS is_hot, station_id / 4.0::double AS rain_p, coalesce((last + 10800) // 86400 = 19750, false) AS before,
+    x AS (SELECT rule_id, kind, offset_c, last, peak, peak_before, poor, owner, activity, station_id = 2 AS is_hot, station_id / 4.0::double AS rain_p, coalesce((last + 10800) // 86400 = 19750, false) AS before,
         coalesce((last + 10800) // 86400 = 19751, false) AS already FROM rules JOIN day USING (station_id)),
     b AS (SELECT *, CASE WHEN peak - offset_c < 18 THEN 0 WHEN peak - offset_c < 21 THEN 1 WHEN peak - offset_c < 24 THEN 2 WHEN peak IS NOT NULL THEN 3 END AS now_rank,
-        CASE WHEN peak_before - offset_c < 18 THEN 0 WHEN peak_before - offset_c < 21 THEN 1 WHEN peak_before - offset_c < 24 THEN 2 WHEN peak_before IS NOT NULL THEN 3 END AS old_rank FROM x)
+        CASE WHEN peak_before - offset_c < 18 THEN 0 WHEN peak_before - offset_c < 21 THEN 1 WHEN peak_before - offset_c < 24 THEN 2 WHEN peak_before IS NOT NULL THEN 3 END AS old_rank FROM x),
+    plans AS (SELECT owner, CASE rule_id % 2 WHEN 0 THEN 'sport' ELSE 'farm' END AS activity, now_rank > rule_id % 4 AS risen FROM b),
+    i AS (SELECT owner, activity, count(*) AS n FROM plans WHERE risen GROUP BY 1, 2)
     SELECT rule_id, kind, CASE WHEN already THEN false WHEN kind = 'exposure_tier' THEN coalesce(NOT poor AND now_rank >= 2 AND CASE WHEN old_rank IS NOT NULL THEN now_rank > old_rank ELSE NOT before END, false)
-        WHEN kind = 'state_transition' THEN coalesce(NOT poor AND NOT is_hot AND peak >= 27 AND CASE WHEN peak_before IS NOT NULL THEN peak_before < 27 ELSE NOT before END, false)
+        WHEN kind = 'state_transition' THEN coalesce(NOT poor AND NOT is_hot AND peak >= 18.8 AND CASE WHEN peak_before IS NOT NULL THEN peak_before < 18.8 ELSE NOT before END, false)
+        WHEN kind = 'best_time' THEN NOT poor AND coalesce((SELECT sum(n) FROM i WHERE i.owner = b.owner AND (b.activity = 'general' OR i.activity = b.activity)), 0) > 0
         WHEN kind = 'rain' THEN rain_p >= 0.5 WHEN kind = 'data_quality' THEN poor ELSE false END AS fired FROM b""")
 def alert_rules(spark, sf_dir):
     """Q14, Q15, Q37: alert rules of all owners judged at one instant, with the day before and once-a-day suppression."""
@@ -79,15 +84,23 @@ def alert_rules(spark, sf_dir):
     today = alerts.day_peaks(f, KEYS, now, light).drop("peak_at")
     before = alerts.day_peaks(f, KEYS, now - 86400, light).select("station_id", F.col("peak").alias("peak_before"))
     stations = status.join(today, KEYS, "left").join(before, KEYS, "left").withColumns({"is_hot": F.col("station_id") == 2, "rain_p": F.col("station_id") / 4})
-    kinds = F.array(*map(F.lit, ("exposure_tier", "state_transition", "rain", "data_quality", "other")))
+    kinds = F.array(*map(F.lit, ("exposure_tier", "state_transition", "rain", "data_quality", "best_time")))
     rules = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("rule_id"),
         (F.col("o_custkey") % 4).alias("station_id"),
         F.get(kinds, (F.col("o_orderkey") % 5).cast("int")).alias("kind"),
         (F.col("o_custkey") % 5 - 2).cast("double").alias("offset_c"),
         F.when(F.col("o_orderkey") % 3 == 0, 1706486400 - F.col("o_orderkey") % 40 * 3600).alias("last"),
+        F.col("o_custkey").alias("owner"),
+        F.get(F.array(*map(F.lit, ("general", "sport", "farm"))), (F.col("o_orderkey") % 3).cast("int")).alias("activity"),
     )
-    return alerts.evaluate(rules, F.broadcast(stations), now).select("rule_id", "kind", "fired")
+    # every order is a saved plan, too, made for one of four bands
+    plans = rules.join(F.broadcast(today), KEYS)
+    risen = plans.filter(risk_rank(risk_band(F.col("peak"), F.col("offset_c"))) > F.col("rule_id") % 4)
+    impacts = risen.select("owner", F.when(F.col("rule_id") % 2 == 0, "sport").otherwise("farm").alias("activity"))
+    _, hot = alerts.hot_state(CENTROIDS, "level", 14.0, 4.0)
+    watched = alerts.watched_impacts(rules, impacts)
+    return alerts.evaluate(watched, F.broadcast(stations), now, hot).select("rule_id", "kind", "fired")
 
 
 def areas(spark):

@@ -54,17 +54,21 @@ def seasonal_forecast(spark, sf_dir):
     return rows.select("station_id", "slot", "step", (F.col("slot") + F.col("step") * 900).alias("target"), "value")
 
 
-@query(f"""WITH {BASE_SQL}, blocks AS (SELECT step, (slot + step * 900) % 86400 // 10800 AS block, quantile_cont(abs(e), 0.8) AS band FROM scored GROUP BY 1, 2),
-    pooled AS (SELECT step, quantile_cont(abs(e), 0.8) AS band FROM scored GROUP BY 1)
+def error_counts(rows, *keys):
+    """Errors counted by their size in hundredths: what percentiles are taken of doesn't grow with the rows."""
+    return rows.groupBy(*keys, half_up(F.abs("e"), 2).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {BASE_SQL}, blocks AS (SELECT step, (slot + step * 900) % 86400 // 10800 AS block, quantile_cont(floor(abs(e) * 100 + 0.5) / 100, 0.8) AS band FROM scored GROUP BY 1, 2),
+    pooled AS (SELECT step, quantile_cont(floor(abs(e) * 100 + 0.5) / 100, 0.8) AS band FROM scored GROUP BY 1)
     SELECT step, block, {r4('coalesce(blocks.band, pooled.band)')} AS band FROM (SELECT DISTINCT step FROM known) s CROSS JOIN generate_series(0, 7) b(block)
     LEFT JOIN blocks USING (step, block) LEFT JOIN pooled USING (step)""")
 def bands_by_block(spark, sf_dir):
     """80 % bands by three-hour block of the target, the pooled one where a block is empty."""
-    s = scored(spark, sf_dir)
-    block = F.floor((F.col("slot") + F.col("step") * 900) % 86400 / 10800)
-    band = F.percentile(F.abs("e"), F.lit(0.8))
-    by = s.groupBy("step", block.alias("block")).agg(band.alias("band"))
-    pooled = s.groupBy("step").agg(band.alias("pooled"))
+    counts = error_counts(scored(spark, sf_dir), "step", F.floor((F.col("slot") + F.col("step") * 900) % 86400 / 10800).alias("block"))
+    band = F.percentile("size", F.lit(0.8), F.col("n"))
+    by = counts.groupBy("step", "block").agg(band.alias("band"))
+    pooled = counts.groupBy("step").agg(band.alias("pooled"))
     every = pooled.select("step", "pooled", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("block"))
     return every.join(F.broadcast(by), ["step", "block"], "left").select("step", "block", half_up(F.coalesce("band", "pooled"), 4).alias("band"))
 
@@ -85,13 +89,15 @@ def grouping_sets_scores(spark, sf_dir):
     return scored(spark, sf_dir).groupingSets(sets, "step", "week", "station_id").agg(*forecast.tallies(F.col("e"), F.lit(5.0)))
 
 
-@query(f"""WITH {BASE_SQL}, b AS (SELECT step, week, quantile_cont(abs(e), 0.8) AS band FROM (SELECT w.week, s.step, s.e FROM scored s JOIN (SELECT DISTINCT week FROM scored) w ON s.week < w.week) GROUP BY 1, 2)
+@query(f"""WITH {BASE_SQL}, b AS (SELECT step, week, quantile_cont(floor(abs(e) * 100 + 0.5) / 100, 0.8) AS band FROM (SELECT w.week, s.step, s.e FROM scored s JOIN (SELECT DISTINCT week FROM scored) w ON s.week < w.week) GROUP BY 1, 2)
     SELECT step, week, {r4('band')} AS band, {r4('avg((abs(e) <= band)::INTEGER)')} AS covered FROM scored JOIN b USING (step, week) GROUP BY step, week, band""")
 def bands_from_earlier(spark, sf_dir):
     """Each week's band from the errors of all weeks before it."""
     s = scored(spark, sf_dir)
     weeks = s.select(F.col("week").alias("of")).distinct()
-    earlier = s.join(F.broadcast(weeks), F.col("week") < F.col("of")).groupBy("step", F.col("of").alias("week")).agg(F.percentile(F.abs("e"), F.lit(0.8)).alias("band"))
+    # counts of sizes meet the later weeks, not the errors themselves
+    counts = error_counts(s, "step", "week").join(F.broadcast(weeks), F.col("week") < F.col("of"))
+    earlier = counts.groupBy("step", F.col("of").alias("week")).agg(F.percentile("size", F.lit(0.8), F.col("n")).alias("band"))
     inside = F.avg((F.abs("e") <= F.col("band")).cast("double"))
     joined = s.join(F.broadcast(earlier), ["step", "week"])
     return joined.groupBy("step", "week").agg(half_up(F.max("band"), 4).alias("band"), half_up(inside, 4).alias("covered"))

@@ -201,9 +201,9 @@ def interp_short_gaps(spark, sf_dir):
     SELECT station_id, list_sort(list(d) FILTER (d IS NOT NULL))[count(d) // 2 + 1] AS cadence FROM s GROUP BY 1""")
 def cadence_upper_median(spark, sf_dir):
     """The usual spacing of readings."""
-    spaced = readings(spark, sf_dir).withColumn("d", F.col("t") - F.lag("t").over(Window.partitionBy("station_id").orderBy("t")))
+    spaced = series.spaced(readings(spark, sf_dir), KEYS).withColumn("d", F.col("end") - F.col("start"))
     # spacings are few different whole seconds: count them first, so that no list grows with the readings
-    counted = spaced.filter("d is not null").groupBy("station_id", "d").count()
+    counted = spaced.groupBy("station_id", "d").count()
     w = Window.partitionBy("station_id")
     ahead = F.sum("count").over(w.orderBy("d").rowsBetween(Window.unboundedPreceding, -1))
     ranked = counted.withColumn("below", F.coalesce(ahead, F.lit(0))).withColumn("half", F.floor(F.sum("count").over(w) / 2))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -59,7 +61,7 @@ def stream_counter(spark, sf_dir):
 
     r = batch(spark, sf_dir).filter("rain is not null").groupBy("station_id", "t").agg(F.sum("rain").alias("rain"))
     total = F.floor(F.sum("rain").over(Window.partitionBy("station_id").orderBy("t")) * 1000 + 0.500001) / 1000
-    where = f"{jobs.shared_dir(spark)}/stationlake-streams/counter-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-    r.select("station_id", "t", total.alias("total"), F.lit(None).cast("double").alias("prior")).write.mode("overwrite").parquet(where)
+    where = f"{jobs.shared_dir(spark)}/stationlake-streams/counter-{uuid.uuid4().hex}"
+    r.select("station_id", "t", total.alias("total"), F.lit(None).cast("double").alias("prior")).write.parquet(where)
     stream = jobs.counter_totals(jobs.source(spark, where, "*.parquet", lambda rows: rows), KEYS)
     return jobs.run_to_end(stream, KEYS).withColumn("mm", half_up(F.col("mm"), 4))

@@ -71,3 +71,10 @@ def append(rows: DataFrame, path: str) -> None:
 def as_json(rows: DataFrame) -> DataFrame:
     """One JSON document a row, nulls included."""
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def write_artefact(rows: DataFrame, path: str, name: str = "steps") -> None:
+    """One JSON document with a short table as an array: fitted models of so many steps, scores of so many horizons, a report of so many
+    stations. The table has to be bounded by its meaning, as the document is written by one task."""
+    document = rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias(name))
+    document.select(F.to_json(F.struct(name), {"ignoreNullFields": "false"})).coalesce(1).write.mode("overwrite").text(path)

@@ -6,7 +6,6 @@ then has, so that a batch can check it. State, offsets and output lie in the fol
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,15 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.counters import fold
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is set (tests in one JVM) a temporary one is made."""
-    found = spark.conf.get("spark.checkpoint.dir", "")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="stationlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+from ..storage import shared_dir
 
 
 def run_to_end(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
