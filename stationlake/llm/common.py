@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import delete, shared_dir
+
 #: Session setting that lets Spark delete the shuffle files of a finished SQL execution.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -17,18 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is set, a temporary one is made if all runs on this machine;
-    on a cluster that is an error, as executors would write to disks that nobody else reads."""
-    found = spark.conf.get("spark.checkpoint.dir", "")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir isn't set: name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="stationlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 #: Folders that were written and not yet deleted, of this application.
 _written: set[str] = set()
 
@@ -61,12 +50,7 @@ def release(*tables: DataFrame) -> None:
         path = getattr(df, "_settled_at", None)
         if path in _written:
             _written.discard(path)
-            _delete(df.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete(df.sparkSession, path)
 
 
 def _release_all() -> None:
@@ -74,7 +58,7 @@ def _release_all() -> None:
     if spark is None or spark.sparkContext._jsc is None:
         return
     while _written:
-        _delete(spark, _written.pop())
+        delete(spark, _written.pop())
 
 
 def remainder_of_id(col: str, modulus: int) -> Column:
