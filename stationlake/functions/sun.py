@@ -57,6 +57,16 @@ def hourly_mean(hour_start: Column, slices: int = 12, **place: float) -> Column:
     return total / slices
 
 
+def hourly(hour_start: Column, slices: int = 60, **place: float) -> tuple[Column, Column, Column]:
+    """(mean of the cosine while the sun is up, over the whole hour; over the hour's sunlit part, 0 where it has none; distance at half past)."""
+    cosines = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda k: position(hour_start + (2 * k + 1) * 1800.0 / slices, **place)[0])
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("lit"))
+    add = lambda a, x: F.struct((a["total"] + F.greatest(F.lit(0.0), x)).alias("total"), (a["lit"] + (x > 0).cast("int")).alias("lit"))
+    sums = F.aggregate(cosines, start, add)
+    sunlit = F.when(sums["lit"] > 0, sums["total"] / sums["lit"]).otherwise(0.0)
+    return sums["total"] / slices, sunlit, position(hour_start + 1800, **place)[1]
+
+
 #: Upper edges of colour scales, and the colours, one more.
 SCALES = {
     "temperature": ((14, 18, 22, 26, 30), ("#ECA47F", "#E28755", "#D56927", "#C15000", "#A53E00", "#822F00")),

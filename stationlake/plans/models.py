@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import liljegren, text
+from ..functions import liljegren, statements, text
+from ..functions.heat import risk_band
 from ..functions.rounding import half_up
 from ..operators import fitting
-from ..sources.testdata import table
+from ..sources.testdata import GRID_SQL, table
 from .expressions import air
 from .forecasts import BASE_SQL, pairs
 from .registry import query, r4
@@ -77,3 +78,23 @@ def number_extraction(spark, sf_dir):
     found = table(spark, sf_dir, "documents").select("doc_id", text.numbers(F.col("text")).alias("found"))
     good = F.filter("found", lambda x: text.grounded(x, facts))
     return found.select("doc_id", F.size("found").alias("n"), F.array_join("found", " ").alias("numbers"), F.size(good).alias("grounded"))
+
+
+BAND_SQL = "CASE WHEN temp >= 24 THEN 'VERY_HIGH' WHEN temp >= 21 THEN 'HIGH' WHEN temp >= 18 THEN 'ELEVATED' ELSE 'LOW' END"
+
+
+@query(f"""WITH {GRID_SQL} SELECT station_id, slot, CASE slot // 900 % 5 WHEN 1 THEN 'number' WHEN 2 THEN 'time' WHEN 3 THEN CASE WHEN {BAND_SQL} = 'LOW' THEN NULL ELSE 'band' END END AS objection
+    FROM grid WHERE temp IS NOT NULL AND rh IS NOT NULL""")
+def statement_check(spark, sf_dir):
+    """Sentences on slots, of which some misstate the temperature, the time or the band, held against the readings."""
+    rows = grid(spark, sf_dir).filter("temp is not null and rh is not null").withColumn("k", F.floor(F.col("slot") / 900) % 5)
+    at = F.col("slot") + F.when(F.col("k") == 2, 3600).otherwise(0)
+    clock = F.when(F.col("k") == 4, F.date_format(F.timestamp_seconds(at), "h:mm a")).otherwise(F.date_format(F.timestamp_seconds(at), "HH:mm"))
+    temp = F.format_string("%.1f", half_up(F.col("temp"), 1) + F.when(F.col("k") == 1, 2.0).otherwise(0.0))
+    band = risk_band(F.col("temp"))
+    claimed = F.when(F.col("k") == 3, F.lit("low")).otherwise(F.replace(band, F.lit("_"), F.lit(" ")))
+    sentence = F.concat(F.lit("At "), clock, F.lit(" it was "), temp, F.lit("°C with "), F.format_string("%.0f", half_up(F.col("rh"), 0)), F.lit("% humidity; the heat risk is "), claimed)
+    none = F.array().cast("array<double>")
+    minute = (F.col("slot") % 86400 / 60).cast("int")
+    why = statements.objection(sentence, F.array("temp"), F.array("rh"), none, none, F.array(minute), F.array(band), F.lit("GOOD"))
+    return rows.select("station_id", "slot", why.alias("objection"))

@@ -82,6 +82,20 @@ def solar_position(spark, sf_dir):
     return rows.select("event_id", half_up(F.col("cosine"), 4).alias("cosine"), half_up(F.col("au"), 4).alias("au"), half_up(light, 4).alias("light"))
 
 
+SLICES_SQL = """instants AS (SELECT h * 100 + k AS event_id, h + (2 * k + 1) * 30 AS s FROM (SELECT DISTINCT epoch_us(ts) // 3600000000 * 3600 AS h FROM events) CROSS JOIN (SELECT unnest(range(60)) AS k)
+    UNION ALL SELECT DISTINCT epoch_us(ts) // 3600000000 * 360000 + 60, epoch_us(ts) // 3600000000 * 3600 + 1800 FROM events), c AS"""
+
+
+@query(f"""WITH {SLICES_SQL}{SUN_SQL[SUN_SQL.index(", c AS") + len(", c AS"):]},
+    g AS (SELECT event_id // 100 AS hour, sum(greatest(cosine, 0)) FILTER (event_id % 100 < 60) AS total, count(*) FILTER (event_id % 100 < 60 AND cosine > 0) AS lit, max(au) FILTER (event_id % 100 = 60) AS au FROM z GROUP BY 1)
+    SELECT hour, {r4('total / 60')} AS cosine, {r4('CASE WHEN lit > 0 THEN total / lit ELSE 0 END')} AS sunlit, {r4('au')} AS au FROM g""")
+def hourly_sun(spark, sf_dir):
+    """the sun over each hour that has readings, over the whole of it and over its sunlit part."""
+    hours = table(spark, sf_dir, "events").select((F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) * 3600).alias("hour")).distinct()
+    mean, sunlit, au = sun.hourly(F.col("hour"))
+    return hours.select("hour", half_up(mean, 4).alias("cosine"), half_up(sunlit, 4).alias("sunlit"), half_up(au, 4).alias("au"))
+
+
 @query("""SELECT event_id, CASE WHEN value IS NULL THEN 'grey' WHEN value / 10 < 14 THEN '#ECA47F' WHEN value / 10 < 18 THEN '#E28755' WHEN value / 10 < 22 THEN '#D56927' WHEN value / 10 < 26 THEN '#C15000' WHEN value / 10 < 30 THEN '#A53E00' ELSE '#822F00' END AS thermal,
     CASE WHEN value IS NULL THEN 'grey' WHEN value / 20 < 0.5 THEN '#EAF4FA' WHEN value / 20 < 2 THEN '#93C5FD' WHEN value / 20 < 6 THEN '#3786B5' WHEN value / 20 < 12 THEN '#1E5A8A' ELSE '#0F3A5C' END AS wet FROM events""")
 def scale_colours(spark, sf_dir):

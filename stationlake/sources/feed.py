@@ -3,7 +3,8 @@
     spark.dataSource.register(FeedSource)
     spark.read.format("station_feed").option("fetch", "package.module:function").option("start", 0).option("end", 86400).load()
 
-``fetch(start, end)`` returns a list of (t, channel, value). A stretch that fails is read again as any task is.
+``fetch(start, end)`` returns a list of (t, channel, value). A stretch that fails is read again as any task is, and at last fails the job; with
+``skip_failed`` true it is tried once and then gives one row, its start on the channel ``failed_stretch``, so that what is missing can be told.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+FAILED = "failed_stretch"
+
+
 class Stretch(InputPartition):
     def __init__(self, start: int, end: int):
         self.start, self.end = start, end
@@ -26,13 +30,21 @@ class FeedReader(DataSourceReader):
         self.fetch = options["fetch"]
         self.start, self.end = int(options["start"]), int(options["end"])
         self.width = int(options.get("width", 28 * 86400))
+        self.skip = str(options.get("skip_failed", "false")).lower() == "true"
 
     def partitions(self) -> list[Stretch]:
         return [Stretch(a, min(a + self.width, self.end)) for a in range(self.start, self.end, self.width)]
 
     def read(self, partition: Stretch) -> Iterator[tuple]:
         module, name = self.fetch.split(":")
-        for t, channel, value in getattr(import_module(module), name)(partition.start, partition.end):
+        fetch = getattr(import_module(module), name)
+        try:
+            rows = fetch(partition.start, partition.end)
+        except Exception:
+            if not self.skip:
+                raise
+            rows = [(partition.start, FAILED, None)]
+        for t, channel, value in rows:
             if partition.start <= t < partition.end:
                 yield t, channel, value
 

@@ -4,3 +4,9 @@
 def fetch(start: int, end: int) -> list[tuple[int, str, float]]:
     times = range(start // 100 * 100 - 100, end + 200, 100)
     return [(t, "temp", t / 10) for t in times] + [(t, "rain", 1.0) for t in times if t % 200 == 0]
+
+
+def failing(start: int, end: int) -> list[tuple[int, str, float]]:
+    if start == 300:
+        raise OSError("no answer")
+    return fetch(start, end)

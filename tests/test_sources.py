@@ -61,3 +61,14 @@ def test_feed(spark):
     assert df.rdd.getNumPartitions() == 4
     got = feed.pivoted(df, ["temp", "rain"]).orderBy("t").collect()
     assert [(r["t"], r["temp"], r["rain"]) for r in got] == [(t, t / 10, 1.0 if t % 200 == 0 else None) for t in range(0, 1000, 100)]
+
+
+def test_feed_without_a_failed_stretch(spark):
+    spark.sparkContext.addPyFile(str(Path(__file__).with_name("feed_stub.py")))
+    spark.dataSource.register(feed.FeedSource)
+    options = {"fetch": "feed_stub:failing", "start": 0, "end": 1000, "width": 300}
+    rows = spark.read.format("station_feed").options(**options, skip_failed="true").load().collect()
+    assert [(r["t"], r["value"]) for r in rows if r["channel"] == feed.FAILED] == [(300, None)]
+    assert sorted(r["t"] for r in rows if r["channel"] == "temp") == [0, 100, 200, 600, 700, 800, 900]
+    with pytest.raises(Exception, match="no answer"):
+        spark.read.format("station_feed").options(**options).load().collect()
