@@ -74,6 +74,13 @@ def sun_minutes(day_of_year: Column, latitude: float = LATITUDE, longitude: floa
     return {"sunrise": noon - 4 * hour_angle, "noon": noon, "sunset": noon + 4 * hour_angle}
 
 
+def is_daylight(epoch: Column, offset: int = 10800, **place: float) -> Column:
+    """Whether an instant (epoch seconds) lies between sunrise and sunset of its local day, ``offset`` seconds ahead of UTC."""
+    day = F.floor((epoch + offset) / 86400)
+    sun = sun_minutes(F.dayofyear(F.date_from_unix_date(day.cast("int"))), **place)
+    return ((epoch - day * 86400) / 60).between(sun["sunrise"], sun["sunset"])
+
+
 def solar_irradiance(counts: Column, cos_zenith: Column, dark: float, a: float, b: float) -> Column:
     """W/m2 from infrared counts; zero with the sun down, null without counts."""
     net = F.greatest(counts - dark, F.lit(0.0))

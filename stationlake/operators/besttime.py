@@ -8,22 +8,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.agro import is_daylight
 from ..functions.heat import risk_band, risk_rank
 
 CANDIDATE = "start long, end long, rank int, peak double, mean double, width double"
 
 
-def candidates(forecast: DataFrame, keys: list[str], duration: int, offset: float = 0.0, step: int = 900, daylight: tuple[int, int] | None = None) -> DataFrame:
+def candidates(forecast: DataFrame, keys: list[str], duration: int, offset: float = 0.0, step: int = 900, daylight: tuple[int, int] | str | None = None) -> DataFrame:
     """(keys, start, end, rank, peak, mean, width) of each window that forecast points tile without a hole. ``forecast`` has (keys, slot,
     value, width), ``slot`` a multiple of ``step``. A point is dealt to the windows that it belongs to, duration / step of them, so the
-    work grows with the points alone. ``daylight``: seconds after midnight that both ends must lie within."""
+    work grows with the points alone. ``daylight``: seconds after midnight that both ends must lie within, or ``sun`` for sunrise to sunset."""
     n = -(-duration // step)
     dealt = forecast.select(*keys, "slot", "value", "width", F.explode(F.sequence(F.col("slot") - (n - 1) * step, F.col("slot"), F.lit(step))).alias("start"))
     windows = dealt.groupBy(*keys, "start").agg(
         F.count("value").alias("points"), F.max("value").alias("peak"), F.avg("value").alias("mean"), F.avg("width").alias("width")
     )
     whole = windows.filter(F.col("points") == n).withColumn("end", F.col("start") + duration)
-    if daylight:
+    if daylight == "sun":
+        whole = whole.filter(is_daylight(F.col("start")) & is_daylight(F.col("end")))
+    elif daylight:
         whole = whole.filter((F.col("start") % 86400).between(*daylight) & (F.col("end") % 86400).between(*daylight))
     return whole.withColumn("rank", risk_rank(risk_band(F.col("peak"), offset))).drop("points")
 

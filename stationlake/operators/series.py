@@ -129,3 +129,32 @@ def rolling_usual(series: DataFrame, keys: Keys, value: str, days: int = 30, lea
     """``usual``: the mean of the same slot on the ``days`` days before; null with fewer than ``least`` of them."""
     same_slot = Window.partitionBy(*keys, F.col(time) % 86400).orderBy(time).rangeBetween(-days * 86400, -86400)
     return series.withColumn("usual", F.when(F.count(value).over(same_slot) >= least, F.avg(value).over(same_slot)))
+
+
+def live_window(read: DataFrame, keys: list[str], now: Column, hours: int = 24, grace: int = 4, gap: int = 3600, step: int = 900) -> DataFrame:
+    """(keys, from, to, hours, silent_minutes, missing_minutes, read_slots, of_slots) of the slots that were read, at the time ``now``. A reading stands for its slot.
+    Silence counts from a slot after the last one, once it is longer than ``grace`` minutes; ``missing_minutes`` adds the silences within the
+    record that are longer than ``gap`` seconds, less the slot that the reading before them stands for."""
+    before = F.lag("slot").over(over(keys))
+    hole = F.col("slot") - before
+    rows = read.withColumns({"_now": now, "_hole": F.when(hole > gap, hole - step).otherwise(0)})
+    begin = F.floor((F.col("_now") - hours * 3600) / step) * step
+    out = rows.groupBy(*keys).agg(
+        F.min("slot").alias("from"),
+        F.max("slot").alias("to"),
+        F.max("_now").alias("_now"),
+        F.sum("_hole").alias("_holes"),
+        F.count(F.when(F.col("slot") >= begin, 1)).alias("read_slots"),
+    )
+    overdue = (F.col("_now") - F.col("to") - step) / 60
+    silent = F.when(overdue > grace, F.floor(overdue + 0.5)).otherwise(0).cast("long")
+    return out.select(
+        *keys,
+        "from",
+        "to",
+        F.greatest(F.lit(1), F.floor((F.col("to") - F.col("from") + step) / 3600 + 0.5)).cast("long").alias("hours"),
+        silent.alias("silent_minutes"),
+        (F.floor(F.col("_holes") / 60 + 0.5) + silent).cast("long").alias("missing_minutes"),
+        "read_slots",
+        F.lit(hours * 3600 // step).cast("long").alias("of_slots"),
+    )

@@ -36,3 +36,16 @@ def next_state(now: DataFrame, pairs: DataFrame, by: list[str], fallback: list[s
 
     joined = now.join(F.broadcast(modal(by, "_full")), by, "left").join(F.broadcast(modal(fallback, "_short")), fallback, "left")
     return joined.withColumn("next", F.coalesce("_full", "_short")).drop("_full", "_short")
+
+
+def waits(parts: DataFrame, keys: list[str], block: int = 10800, least: int = 20) -> DataFrame:
+    """(state, block, next, n, share, hours): for each state and block of the day with ``least`` slots, the state that mostly follows, its share of the
+    slots, and the median of the hours until it comes. ``parts`` has (keys, state, start); a run that nothing follows isn't counted."""
+    w = Window.partitionBy(*keys).orderBy("start")
+    runs = parts.withColumns({"next": F.lead("state").over(w), "until": F.lead("start").over(w)}).filter("next is not null")
+    slots = runs.select("state", "next", "until", F.explode(F.sequence(F.col("start"), F.col("until") - 900, F.lit(900))).alias("slot"))
+    counts = slots.groupBy("state", F.floor(F.col("slot") % 86400 / block).alias("block"), "next", ((F.col("until") - F.col("slot")) / 3600).alias("hours")).count()
+    each = counts.groupBy("state", "block", "next").agg(F.sum("count").alias("n"), F.percentile("hours", F.lit(0.5), F.col("count")).alias("hours"))
+    best = F.max_by(F.struct("next", "n", "hours"), F.struct("n", -F.col("next"))).alias("b")
+    total = each.groupBy("state", "block").agg(best, F.sum("n").alias("all")).filter(F.col("all") >= least)
+    return total.select("state", "block", "b.next", F.col("all").alias("n"), (F.col("b.n") / F.col("all")).alias("share"), "b.hours")

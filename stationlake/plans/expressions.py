@@ -85,6 +85,16 @@ def sun_times(spark, sf_dir):
     return air(spark, sf_dir).select("event_id", *(half_up(c, 4).alias(n) for n, c in agro.sun_minutes(F.col("doy")).items()))
 
 
+AIR_DAYS_SQL = "air AS (SELECT event_id, dayofyear(ts + INTERVAL 3 HOUR) AS doy, (epoch_us(ts) // 1000000 + 10800) % 86400 / 60.0::double - 180 AS minute FROM events)"
+
+
+@query(f"WITH {AIR_DAYS_SQL}, {SUN_SQL} SELECT h.event_id AS event_id, minute BETWEEN noon - 4 * ha AND noon + 4 * ha AS daylight FROM h JOIN air USING (event_id)")
+def daylight(spark, sf_dir):
+    """Whether a reading falls between sunrise and sunset of its day."""
+    t = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").select("event_id", agro.is_daylight(t).alias("daylight"))
+
+
 @query("""WITH s AS (SELECT event_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE value / 5 END AS rain, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id % 50) / 100.0::double END AS soil FROM events)
     SELECT event_id, CASE WHEN rain IS NULL THEN NULL WHEN rain >= 30 THEN CASE WHEN soil >= 0.25 THEN 'HIGH' WHEN soil < 0.25 THEN 'ELEVATED' END WHEN rain >= 15 THEN 'ELEVATED'
         WHEN rain >= 5 THEN CASE WHEN soil >= 0.25 THEN 'ELEVATED' WHEN soil < 0.25 THEN 'LOW' END ELSE 'LOW' END AS flood FROM s""")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.heat import risk_band
 from ..functions.rounding import half_up
-from ..operators import besttime, service
-from ..sources.testdata import table
+from ..operators import besttime, series, service
+from ..sources.testdata import GRID_SQL, readings, table
 from .decisions import FILLED_SQL, WINDOWS_SQL, wbgt, windows
 from .expressions import band_sql
 from .registry import query, r4
@@ -156,6 +156,18 @@ def live_coverage(spark, sf_dir):
     return out.select("station_id", "slots", "heard", half_up(F.col("heard") / F.col("slots"), 4).alias("coverage"), F.floor((F.col("until") - F.col("last")) / 60).alias("silent_minutes"))
 
 
+@query(f"""WITH {GRID_SQL}, w AS (SELECT station_id, slot, slot - lag(slot) OVER (PARTITION BY station_id ORDER BY slot) AS hole, 7200 * station_id AS ahead FROM grid),
+    n AS (SELECT *, max(slot) OVER (PARTITION BY station_id) + ahead AS now FROM w),
+    a AS (SELECT station_id, min(slot) AS lo, max(slot) AS hi, max(now) AS now, coalesce(sum(hole - 900) FILTER (hole > 3600), 0) AS holes, count(*) FILTER (slot >= (now - 86400) // 900 * 900) AS heard FROM n GROUP BY 1),
+    s AS (SELECT *, CASE WHEN now - hi - 900 > 240 THEN round((now - hi - 900) / 60) ELSE 0 END::BIGINT AS silent FROM a)
+    SELECT station_id, lo AS "from", hi AS "to", greatest(1, floor((hi - lo + 900) / 3600.0 + 0.5))::BIGINT AS hours, silent AS silent_minutes, (floor(holes / 60.0 + 0.5) + silent)::BIGINT AS missing_minutes, heard AS read_slots, 96::BIGINT AS of_slots FROM s""")
+def live_window(spark, sf_dir):
+    """Q26: the latest day of a record as seen some hours later: what was read, how long it has been silent, what is missing."""
+    read = series.slot_grid(readings(spark, sf_dir), ["station_id"]).select("station_id", "slot")
+    last = F.max("slot").over(Window.partitionBy("station_id"))
+    return series.live_window(read, ["station_id"], last + 7200 * F.col("station_id"))
+
+
 @query("""WITH r AS (SELECT user_id % 4 AS station_id, epoch_us(ts) // 1000000 AS t, value FROM events), x AS (SELECT station_id, (t + 10800) // 86400 AS day, value / 10 AS temp, value / 12 AS wet, value / 11 AS firmware, (t + 10800) // 3600 % 24 AS hour FROM r)
     SELECT station_id, count(*) AS n, floor(avg(abs(temp - wet)) * 10000 + 0.500001) / 10000 AS mean_abs, floor(max(abs(temp - wet)) * 10000 + 0.500001) / 10000 AS largest,
         floor(100 * avg((firmware < wet + 1)::INTEGER) * 10 + 0.500001) / 10 AS below_pct, floor(100 * avg((firmware < wet + 0.5)::INTEGER) FILTER (hour >= 19 OR hour < 6) * 10 + 0.500001) / 10 AS far_night_pct FROM x GROUP BY 1""")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stationlake.functions import random as numbers
-from stationlake.operators import alerts, daily, display, forecast, outlook, quality, series, service
+from stationlake.operators import alerts, besttime, daily, display, forecast, outlook, quality, series, service, states
 from stationlake.sources import archive, synthetic
 from stationlake.storage import shared_dir
 
@@ -218,3 +218,25 @@ def test_shared_folder_is_demanded_on_clusters():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session)
+
+
+def test_live_window(spark):
+    read = spark.createDataFrame([("a", 0), ("a", 900), ("a", 9000), ("b", 0)], "station_id string, slot long")
+    found = {r["station_id"]: r for r in series.live_window(read, ["station_id"], F.lit(9000 + 900 + 600)).collect()}
+    assert (found["a"]["silent_minutes"], found["a"]["missing_minutes"], found["a"]["read_slots"], found["a"]["of_slots"]) == (10, 130, 3, 96)
+    assert (found["b"]["hours"], found["b"]["silent_minutes"]) == (1, 160)
+    ahead = series.live_window(read, ["station_id"], F.lit(9000 + 900 + 240)).filter("station_id = 'a'").first()
+    assert ahead["silent_minutes"] == 0 and ahead["missing_minutes"] == 120
+
+
+def test_waits(spark):
+    parts = spark.createDataFrame([("a", 1, 0), ("a", 2, 3600), ("a", 1, 7200), ("a", 2, 9000)], "k string, state int, start long")
+    found = {r["state"]: r for r in states.waits(parts, ["k"], least=1).collect()}
+    assert (found[1]["next"], found[1]["n"], found[1]["share"], found[1]["hours"]) == (2, 6, 1.0, 0.5)
+    assert (found[2]["next"], found[2]["n"], found[2]["hours"]) == (1, 4, 0.625)
+
+
+def test_windows_by_the_sun(spark):
+    points = spark.range(0, 96).select(F.lit("a").alias("k"), (F.col("id") * 900 - 10800).alias("slot"), F.lit(20.0).alias("value"), F.lit(1.0).alias("width"))
+    starts = [r["start"] for r in besttime.candidates(points, ["k"], 3600, daylight="sun").collect()]
+    assert (min(starts), max(starts)) == (12600, 52200)  # on 1 January the sun is up from about 6:27 to 18:36, three hours ahead of UTC
