@@ -252,7 +252,7 @@ def next_state(spark, sf_dir):
     x AS (SELECT state, next, until, unnest(generate_series(start, until - 900, 900)) AS slot FROM p WHERE next IS NOT NULL),
     c AS (SELECT state, slot % 86400 // 10800 AS block, next, count(*) AS n, quantile_cont((until - slot) / 3600.0::double, 0.5) AS hours FROM x GROUP BY 1, 2, 3)
     SELECT state, block, max_by(next, (n, -next)) AS next, sum(n)::BIGINT AS n, {r4('max(n) / sum(n)')} AS share, {r4('max_by(hours, (n, -next))')} AS hours FROM c GROUP BY 1, 2 HAVING sum(n) >= 20""")
-def state_waits(spark, sf_dir):
+def waits_by_block(spark, sf_dir):
     """M9: what mostly follows a state at a time of day, and after how long."""
     return states.waits(state_parts(spark, sf_dir), KEYS).withColumns({"share": half_up(F.col("share"), 4), "hours": half_up(F.col("hours"), 4)})
 

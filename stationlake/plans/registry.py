@@ -13,6 +13,8 @@ ORACLES: dict[str, str] = {}
 def query(sql: str | None = None, name: str | None = None):
     def register(f):
         key = name or f.__name__
+        if key in QUERIES:
+            raise ValueError(f"two queries are named {key}")
         QUERIES[key] = f
         if sql is not None:
             ORACLES[key] = sql
