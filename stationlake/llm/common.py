@@ -71,3 +71,18 @@ def slices(batches, rows: int = 512):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+#: SQL for DuckDB: the table of the CRC-32 of IEEE 802.3, as a CTE made by its rule.
+CRC_TABLE_SQL = """crc_table AS (
+        SELECT list(list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]),
+            lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) ORDER BY i) AS crc_of FROM range(256) AS bytes(i))"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL for DuckDB: crc32 of a text's UTF-8 bytes, where ``crc_table`` is joined."""
+    code = f"hex(encode({text}))"
+    digit = "strpos('0123456789ABCDEF', substr({code}, {at}, 1)) - 1"
+    byte = f"(({digit.format(code=code, at='p')}) * 16 + {digit.format(code=code, at='p + 1')})::UBIGINT"
+    step = "xor(a >> 8, crc_of[1 + (xor(a, c) & 255)::INTEGER])"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, len({code}), 2), lambda p: {byte})), lambda a, c: {step}), 4294967295::UBIGINT)"
