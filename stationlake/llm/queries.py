@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_template, language_id, language_model, license_scan, mtree, ngram_join, packing, resampling, rp_forest, secret_scan
+from . import bpe, conversation_repair, html_template, language_id, language_model, license_scan, mtree, ngram_join, packing, resampling, rp_forest, secret_scan
 from .common import remainder_of_id, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -77,6 +77,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(damaged, copies=F.col("copies"), texts=False).withColumnRenamed("digest", "repaired_sha256")
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -93,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_html_template": op9_html_template,
         "op10_packing": op10_packing,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_resampling": op12_resampling,
     }
 
@@ -108,4 +114,9 @@ def oracle_sql() -> dict[str, str]:
     SELECT query_id, (row_number() OVER (PARTITION BY query_id, vec ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
     FROM scored QUALIFY rank <= 10
     """
-    return {"op3_mtree": exact_top_k, "op2_license_scan": license_scan.oracle(), "op12_resampling": resampling.oracle()}
+    return {
+        "op2_license_scan": license_scan.oracle(),
+        "op3_mtree": exact_top_k,
+        "op11_conversation_repair": conversation_repair.oracle(),
+        "op12_resampling": resampling.oracle(),
+    }
