@@ -26,7 +26,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: this cuts the lineage, survives lost executors,
     and frees the shuffle files that were needed to make it. What isn't released earlier is deleted when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stationlake/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -36,14 +36,20 @@ def settle(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
-    if not _written:
-        atexit.register(_release_all)
-    _written.add(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._settled_at = path
     return back
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/stationlake/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_release_all)
+    _written.add(path)
+    return path
+
+
 def release(*tables: DataFrame) -> None:
     """Delete settled tables that nothing reads any more."""
     for df in tables:

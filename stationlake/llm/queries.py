@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation_repair, html_template, language_id, language_model, license_scan, mtree, ngram_join, packing, resampling, rp_forest, secret_scan
+from . import bpe, conversation_repair, html_template, language_id, language_model, license_scan, mtree, ngram_join, packing, resampling, rp_forest, secret_scan, warc
 from .common import remainder_of_id, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -86,6 +86,11 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_model": op1_language_model,
@@ -100,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_packing": op10_packing,
         "op11_conversation_repair": op11_conversation_repair,
         "op12_resampling": op12_resampling,
+        "op13_warc": op13_warc,
     }
 
 
@@ -119,4 +125,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_mtree": exact_top_k,
         "op11_conversation_repair": conversation_repair.oracle(),
         "op12_resampling": resampling.oracle(),
+        "op13_warc": warc.oracle(),
     }
