@@ -117,41 +117,6 @@ def peak_point(spark, sf_dir):
     return hours_ahead(spark, sf_dir).groupBy("station_id").agg(half_up(F.max("value"), 4).alias("peak"), best.alias("peak_at"))
 
 
-FEATURES = ["x0", "change", "clock"]
-#: Model table of the query below: what fits give, here in round figures.
-MODELS = [
-    (kind, step, place, 0.9 - step / 100, 17.0 + step / 50, [3.0 - step / 20, 0.4, -0.8, 0.2, 0.9, 0.5], [17.0, 0.0, 0.1, 17.0, 17.0, 0.0], [4.0, 3.0, 0.7, 2.0, 2.0, 3.0], 2.0 + step / 30, 2.5 + step / 20)
-    for kind in ("no_change", "seasonal", "ridge", "ridge_seasonal")
-    for place, step in enumerate((4, 12, 24, 36))
-]
-MODEL_FIELDS = "kind string, step int, place int, a double, intercept double, coef array<double>, mean array<double>, std array<double>, band double, persistence double"
-MODEL_SQL = "models(kind, step, place, a, intercept, coef, mean, std, band, persistence) AS (VALUES " + ", ".join(
-    "(" + ", ".join(repr(v) if isinstance(v, str) else "[" + ", ".join(f"{x}::double" for x in v) + "]" if isinstance(v, list) else f"{v}::double" if isinstance(v, float) else str(v) for v in m) + ")" for m in MODELS
-) + ")"
-
-
-def _effect(j: int, x: str) -> str:
-    return f"coef[{j}] * ({x} - mean[{j}]) / std[{j}]"
-
-
-@query(f"""WITH {USUAL_SQL} {MODEL_SQL},
-    f AS (SELECT station_id, slot, temp AS x0, usual AS u0, temp - lag(temp, 4) OVER w AS change, cos(2 * pi() * (slot % 86400) / 86400.0) AS clock,
-        [{', '.join(f'lead(usual, {s}) OVER w' for s in (4, 12, 24, 36))}] AS u1s FROM usual WINDOW w AS (PARTITION BY station_id ORDER BY slot)),
-    b AS (SELECT f.*, m.*, u1s[place + 1] AS u1 FROM f CROSS JOIN models m WHERE slot % 7200 = 0),
-    v AS (SELECT *, CASE kind WHEN 'seasonal' THEN u1 + a * (x0 - u0) WHEN 'ridge' THEN intercept + {_effect(1, 'x0')} + {_effect(2, 'change')} + {_effect(3, 'clock')}
-        WHEN 'ridge_seasonal' THEN intercept + {_effect(1, 'x0')} + {_effect(2, 'change')} + {_effect(3, 'clock')} + {_effect(4, 'u0')} + {_effect(5, 'u1')} + {_effect(6, '(x0 - u0)')} END AS y FROM b)
-    SELECT station_id, slot, kind, step, y IS NOT NULL AS ran, {r4('coalesce(y, x0)')} AS value, {r4('CASE WHEN y IS NULL THEN persistence ELSE band END')} AS width FROM v""")
-def forecast_kinds(spark, sf_dir):
-    """Q7: the four kinds of model side by side; one whose inputs are missing tells no change, with the band of that."""
-    g = series.rolling_usual(series.carry(grid(spark, sf_dir), KEYS, {"temp": 20.0}), KEYS, "temp", least=5)
-    w = series.over(KEYS)
-    clock = F.cos(F.col("slot") % 86400 * (2 * 3.141592653589793 / 86400))
-    u1 = F.array(*(F.lead("usual", s).over(w) for s in (4, 12, 24, 36)))
-    rows = g.select("station_id", "slot", F.col("temp").alias("x0"), F.col("usual").alias("u0"), (F.col("temp") - F.lag("temp", 4).over(w)).alias("change"), clock.alias("clock"), u1.alias("u1_by_step"))
-    found = outlook.predict(rows.filter("slot % 7200 = 0"), spark.createDataFrame(MODELS, MODEL_FIELDS), FEATURES)
-    return found.select("station_id", "slot", "kind", "step", "ran", half_up(F.col("value"), 4).alias("value"), half_up(F.col("width"), 4).alias("width"))
-
-
 @query(f"""WITH {GRID_SQL}, c AS (SELECT station_id, slot, rh, rh - lag(rh, 4) OVER (PARTITION BY station_id ORDER BY slot) AS change FROM dense),
     m AS (SELECT month(make_timestamp(slot * 1000000)) AS month, slot % 86400 // 3600 AS hour, avg((coalesce(rain, 0) > 0.1)::INTEGER) AS rate FROM dense GROUP BY 1, 2),
     base AS (SELECT avg((coalesce(rain, 0) > 0.1)::INTEGER) AS b FROM dense),

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.heat import shade_wbgt, stull_wet_bulb
 from ..functions.rounding import half_up
-from ..operators import forecast, regression, series
+from ..operators import outlook, regression, series
 from ..sources.testdata import GRID_SQL
+from .forecasts import error_counts
 from .registry import query, r4
 from .windows import grid
 
@@ -66,7 +67,7 @@ MODEL_SQL = f"""WITH RECURSIVE {GRID_SQL},
             b AS (PARTITION BY station_id, slot % 86400 ORDER BY slot RANGE BETWEEN 2592000 PRECEDING AND 86400 PRECEDING)),
     far AS (SELECT o.station_id, o.slot, o.week, step, t.week AS target_week, o.x, o.v0, o.u AS u0, t.v0 AS y, t.u AS u1
         FROM feat o CROSS JOIN (SELECT unnest(range(1, {STEPS + 1})) AS step) JOIN feat t ON t.station_id = o.station_id AND t.slot = o.slot + step * 900 WHERE o.usable AND t.n IS NOT NULL),
-    weeks AS (SELECT DISTINCT week FROM feat WHERE usable),
+    weeks AS (SELECT week FROM feat WHERE usable UNION SELECT max(week) + 1 FROM feat WHERE usable),
     scale AS (SELECT weeks.week, j, avg(x[j]) AS mu, CASE WHEN stddev_pop(x[j]) < 1e-9 THEN 1 ELSE stddev_pop(x[j]) END AS sd FROM weeks JOIN feat ON feat.usable AND feat.week < weeks.week, (SELECT unnest(range(1, {_K + 1})) AS j) GROUP BY 1, 2),
     vec AS (SELECT 'ridge' AS kind, step, target_week, list_concat([1.0::DOUBLE], x, [y]) AS v FROM far
         UNION ALL SELECT 'ridge_seasonal', step, target_week, list_concat([1.0::DOUBLE], x, [u0, u1, v0 - u0, y]) FROM far WHERE u0 IS NOT NULL AND u1 IS NOT NULL),
@@ -111,10 +112,46 @@ def ridge_rolling(spark, sf_dir):
     SELECT solved.kind, solved.step, solved.week, input, {r4('level')} AS level, {r4('coef[j]')} AS coef, {r4('mus[j]')} AS mean, {r4('sds[j]')} AS std
     FROM solved JOIN scales ON scales.week = solved.week AND scales.step = solved.step AND scales.kind = solved.kind JOIN names ON j <= len(coef)""")
 def ridge_coefficients(spark, sf_dir):
-    """M2, M3: the coefficients behind ``ridge_rolling`` on standardised inputs, with the scale of each."""
+    """M2, M3: the coefficients behind ``ridge_rolling`` on standardised inputs, with the scale of each; the last week's are for the week to come."""
     rows = origins(spark, sf_dir)
     names = F.array(*map(F.lit, INPUTS + list(regression.SEASONAL)))
-    fitted = models(rows).filter("kind <> 'seasonal'").join(rows.select("period").distinct(), "period")
+    fitted = models(rows).filter("kind <> 'seasonal'")
     each = F.inline(F.transform("coef", lambda c, i: F.struct(F.element_at(names, i + 1).alias("input"), c.alias("coef"), F.col("mean")[i].alias("mean"), F.col("std")[i].alias("std"))))
     figures = [half_up(F.col(c), 4).alias(c) for c in ("level", "coef", "mean", "std")]
     return fitted.select("kind", "step", F.col("period").alias("week"), F.col("intercept").alias("level"), each).select("kind", "step", "week", "input", *figures)
+
+
+KINDS = ("no_change", "seasonal", "ridge", "ridge_seasonal")
+AHEAD = (4, 12, 24, 36)
+
+
+def production_models(rows, fitted):
+    """A row a kind and step: the model of all weeks, and the bands that hold four fifths of the errors which models of earlier weeks made."""
+    near = rows.withColumn("ahead", F.filter("ahead", lambda a: a["step"].isin(*AHEAD)))
+    errors = regression.predicted(near, fitted.filter(F.col("step").isin(*AHEAD)), []).withColumn("e", F.col("value") - F.col("y"))
+    bands = error_counts(errors, "kind", "step").groupBy("kind", "step").agg(F.percentile("size", F.lit(0.8), F.col("n")).alias("band"))
+    still = bands.filter("kind = 'no_change'").select("step", F.col("band").alias("persistence"))
+    last = rows.agg((F.max("period") + 1).alias("period"))
+    final = fitted.join(F.broadcast(last), "period").select("kind", "step", F.col("coef")[0].alias("a"), "intercept", "coef", "mean", "std")
+    place = F.array_position(F.array(*map(F.lit, AHEAD)), F.col("step")).cast("int") - 1
+    return bands.join(still, "step").join(final, ["kind", "step"], "left").withColumn("place", place)
+
+
+@query(f"""{MODEL_SQL}, errors AS (SELECT kind, step, quantile_cont(floor(abs(value - y) * 100 + 0.5) / 100, 0.8) AS band FROM said WHERE step IN {AHEAD} GROUP BY 1, 2),
+    final AS (SELECT * FROM solved JOIN scales USING (week, kind, step) WHERE week = (SELECT max(week) FROM weeks)), rest AS (SELECT * FROM left_over WHERE week = (SELECT max(week) FROM weeks)),
+    asked AS (SELECT *, {', '.join(f'lead(u, {s}) OVER w AS u_{s}' for s in AHEAD)} FROM feat WINDOW w AS (PARTITION BY station_id ORDER BY slot)),
+    row AS (SELECT station_id, slot, x, v0, u AS u0, unnest([{', '.join(f"{{'step': {s}, 'u1': u_{s}}}" for s in AHEAD)}]) AS t FROM asked WHERE slot % 7200 = 0),
+    both_ AS (SELECT row.*, e.kind, e.step, e.band, p.band AS persistence, a, level, coef, mus, sds, CASE e.kind WHEN 'ridge' THEN x ELSE list_concat(x, [u0, t.u1, v0 - u0]) END AS z
+        FROM row JOIN errors e ON e.step = t.step JOIN errors p ON p.step = e.step AND p.kind = 'no_change' LEFT JOIN final ON final.kind = e.kind AND final.step = e.step LEFT JOIN rest ON rest.step = e.step),
+    v AS (SELECT *, CASE WHEN kind = 'seasonal' THEN t.u1 + a * (v0 - u0) WHEN kind <> 'no_change' AND len(list_filter(z, lambda q: q IS NULL)) = 0 THEN level + list_sum(list_transform(z, lambda q, i: coef[i] * (q - mus[i]) / sds[i])) END AS said_value FROM both_)
+    SELECT station_id, slot, kind, step, said_value IS NOT NULL AS ran, {r4('coalesce(said_value, v0)')} AS value, {r4('CASE WHEN said_value IS NULL THEN persistence ELSE band END')} AS width FROM v""")
+def forecast_kinds(spark, sf_dir):
+    """The four kinds of model, as fitted, side by side; one whose inputs are missing tells no change, with the band of that."""
+    rows = origins(spark, sf_dir)
+    w = series.over(KEYS)
+    g = full_series(spark, sf_dir)
+    usual = F.array(*(F.lead("usual", s).over(w) for s in AHEAD))
+    inputs = {f"x_{c}": e for c, e in regression.feature_columns(KEYS).items()}
+    asked = g.select("station_id", "slot", F.col("wbgt").alias("x0"), F.col("usual").alias("u0"), usual.alias("u1_by_step"), *(e.alias(c) for c, e in inputs.items()))
+    found = outlook.predict(asked.filter("slot % 7200 = 0"), production_models(rows, models(rows)), list(inputs))
+    return found.select("station_id", "slot", "kind", "step", "ran", half_up(F.col("value"), 4).alias("value"), half_up(F.col("width"), 4).alias("width"))
