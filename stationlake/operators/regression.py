@@ -15,6 +15,13 @@ from pyspark.sql import functions as F
 
 from .series import over
 
+#: The inputs of the heat forecast in the order of its coefficients.
+INPUTS = (
+    *("temp", "rh", "press", "wind", "gust", "vis", "ir", "wet_bulb", "wbgt"),
+    *("temp_1h", "rh_1h", "wbgt_1h", "temp_d1h", "rh_d1h", "press_d1h", "ir_d1h"),
+    *("temp_mean", "temp_std", "wbgt_mean", "wbgt_std", "rh_mean"),
+    *("hour_sin", "hour_cos", "doy_sin", "doy_cos"),
+)
 #: Inputs that models with seasonal terms have besides: what is usual now and at the target, and how far now departs from it.
 SEASONAL = ("usual_now", "usual_target", "departure")
 MODELS = "kind string, step int, period long, n long, mean array<double>, std array<double>, intercept double, coef array<double>, raw_intercept double, raw_coef array<double>"
@@ -22,7 +29,7 @@ _SUMS = "kind string, step int, period long, sums array<double>"
 
 
 def feature_columns(keys: list[str], time: str = "slot") -> dict[str, Column]:
-    """The inputs of the heat forecast, in the order of its coefficients, of a series with temp, rh, press, wind, gust, vis, ir, wet_bulb and wbgt:
+    """``INPUTS`` of a series with temp, rh, press, wind, gust, vis, ir, wet_bulb and wbgt:
     present values, values and changes of an hour, rolling means and deviations, and the clock and the season as circles."""
     w = over(keys, time)
     hour = w.rowsBetween(-3, 0)
@@ -32,25 +39,12 @@ def feature_columns(keys: list[str], time: str = "slot") -> dict[str, Column]:
     turn = 2 * 3.141592653589793
     day = (F.col(time) + 10800) % 86400 / 86400 * turn
     year = F.dayofyear(F.timestamp_seconds(time)) / 365.25 * turn
-    present = ("temp", "rh", "press", "wind", "gust", "vis", "ir", "wet_bulb", "wbgt")
-    return {c: F.col(c) for c in present} | {
-        "temp_1h": lag("temp"),
-        "rh_1h": lag("rh"),
-        "wbgt_1h": lag("wbgt"),
-        "temp_d1h": change("temp"),
-        "rh_d1h": change("rh"),
-        "press_d1h": change("press"),
-        "ir_d1h": change("ir"),
-        "temp_mean": F.avg("temp").over(hour),
-        "temp_std": spread("temp"),
-        "wbgt_mean": F.avg("wbgt").over(hour),
-        "wbgt_std": spread("wbgt"),
-        "rh_mean": F.avg("rh").over(hour),
-        "hour_sin": F.sin(day),
-        "hour_cos": F.cos(day),
-        "doy_sin": F.sin(year),
-        "doy_cos": F.cos(year),
-    }
+    of = {"hour_sin": F.sin(day), "hour_cos": F.cos(day), "doy_sin": F.sin(year), "doy_cos": F.cos(year)}
+    for c in INPUTS:
+        channel, _, kind = c.rpartition("_")
+        if c not in of:
+            of[c] = {"1h": lag, "d1h": change, "mean": lambda x: F.avg(x).over(hour), "std": spread}[kind](channel) if kind in ("1h", "d1h", "mean", "std") else F.col(c)
+    return {c: of[c] for c in INPUTS}
 
 
 def origins(series: DataFrame, keys: list[str], inputs: dict[str, Column], value: str, usual: str, measured: Column, steps: int, period: Column, time: str = "slot") -> DataFrame:
@@ -126,7 +120,7 @@ def period_sums(rows: DataFrame, centre: list[float], most_rows: int = 1000) ->
                 yield from emit()
         yield from emit()
 
-    def add_up(key, group: pd.DataFrame) -> pd.DataFrame:
+    def add_up(key, group):
         return pd.DataFrame([(*key, np.sum(np.stack(group["sums"].to_numpy()), axis=0))], columns=["kind", "step", "period", "sums"])
 
     parts = rows.select("x", F.col("v0").cast("double"), F.col("u0").cast("double"), "period", "ahead").mapInArrow(tasks, _SUMS)
@@ -172,7 +166,7 @@ def models(sums: DataFrame, centre: list[float], steps: int, penalty: float = 1.
     each = F.explode(F.when(scale, F.sequence(F.lit(1), F.lit(steps))).otherwise(F.array("step")))
     names = [f.strip().split(" ")[0] for f in MODELS.split(", ")]
 
-    def solve(key, group: pd.DataFrame) -> pd.DataFrame:
+    def solve(key, group):
         of = {kind: (g["period"].to_numpy(), np.stack(g["sums"].to_numpy())) for kind, g in group.groupby("kind")}
         if "scale" not in of:
             return pd.DataFrame([], columns=names)

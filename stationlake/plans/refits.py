@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.heat import shade_wbgt, stull_wet_bulb
 from ..functions.rounding import half_up
-from ..operators import outlook, regression, series
+from ..operators import outlook, rainfit, regression, series
 from ..sources.testdata import GRID_SQL
 from .forecasts import error_counts
 from .registry import query, r4
@@ -16,7 +17,7 @@ KEYS = ["station_id"]
 STEPS = 36
 WEEK = 604800
 DEFAULTS = {"temp": 20.0, "rh": 60.0, "press": 848.0, "wind": 1.0, "gust": 2.0}
-INPUTS = list(regression.feature_columns(KEYS))
+INPUTS = list(regression.INPUTS)
 #: Taken off the inputs before they are multiplied.
 CENTRE = [{"temp": 20.0, "rh": 60.0, "press": 848.0, "vis": 300.0, "ir": 800.0, "wet_bulb": 15.0, "wbgt": 16.0}.get(c.removesuffix("_1h").removesuffix("_mean"), 0.0) for c in INPUTS]
 
@@ -155,3 +156,113 @@ def forecast_kinds(spark, sf_dir):
     asked = g.select("station_id", "slot", F.col("wbgt").alias("x0"), F.col("usual").alias("u0"), usual.alias("u1_by_step"), *(e.alias(c) for c, e in inputs.items()))
     found = outlook.predict(asked.filter("slot % 7200 = 0"), production_models(rows, models(rows)), list(inputs))
     return found.select("station_id", "slot", "kind", "step", "ran", half_up(F.col("value"), 4).alias("value"), half_up(F.col("width"), 4).alias("width"))
+
+
+WET = 1.5
+LEAST_KNOWN = 12
+
+
+def rain_samples(spark, sf_dir):
+    """Origins of the rain model: five slots read in a row, and half of the slots around known. Test series have rain in few slots, so more than a tip has to fall."""
+    g = series.carry(grid(spark, sf_dir), KEYS, {c: DEFAULTS[c] for c in ("temp", "rh", "press")}).withColumn("rain", F.coalesce("rain", F.lit(0.0)))
+    read = F.col("n").isNotNull()
+    usable = F.count("n").over(series.over(KEYS).rowsBetween(-4, 0)) == 5
+    return rainfit.samples(g, KEYS, usable, read, LEAST_KNOWN, WET, lambda t: F.floor(t / WEEK))
+
+
+_RAIN_INPUTS = [
+    "rh", "rh - lag(rh, 4) OVER w", "press - lag(press, 4) OVER w", "press - lag(press, 12) OVER w", "temp - lag(temp, 4) OVER w", "temp - lag(temp, 12) OVER w",
+    *(f"{f}(2 * pi() * ((slot + 10800) % 86400) / 86400.0)" for f in ("sin", "cos")),
+    *(f"{f}(2 * pi() * dayofyear(make_timestamp(slot * 1000000)) / 365.25)" for f in ("sin", "cos")),
+    *(f"ln(1 + sum(rain) OVER (w ROWS {n - 1} PRECEDING))" for n in (4, 12)),
+]
+_PICK = {"weather": "list_concat(x[1:8], x[11:12])", "weather_and_season": "x"}
+#: Newton's steps on every candidate and week; a step's system is solved by eliminating one column after the other.
+RAIN_SQL = f"""WITH RECURSIVE {GRID_SQL},
+    carried AS (SELECT station_id, slot, n, coalesce(rain, 0) AS rain, {', '.join(_filled(c) for c in ('temp', 'rh', 'press'))} FROM dense WINDOW w AS (PARTITION BY station_id ORDER BY slot)),
+    asked AS (SELECT station_id, slot, slot // {WEEK} AS week, (slot + 10800) // {WEEK} AS ends, rain, [{', '.join(f'({c})::DOUBLE' for c in _RAIN_INPUTS)}] AS x, count(n) OVER (w ROWS 4 PRECEDING) = 5 AS usable,
+            count(n) OVER (w ROWS BETWEEN 11 PRECEDING AND 12 FOLLOWING) AS known, sum(rain) OVER f AS ahead, count(*) OVER f AS coming, count(*) OVER (w ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS gone
+        FROM carried WINDOW w AS (PARTITION BY station_id ORDER BY slot), f AS (PARTITION BY station_id ORDER BY slot ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING)),
+    s AS (SELECT *, (ahead >= {WET})::INTEGER AS y FROM asked WHERE usable AND known >= {LEAST_KNOWN} AND coming = 12 AND gone = 12),
+    weeks AS (SELECT week FROM s UNION SELECT max(week) + 1 FROM s),
+    picked AS (SELECT 'weather' AS candidate, ends, {_PICK['weather']} AS x, y FROM s UNION ALL SELECT 'weather_and_season', ends, {_PICK['weather_and_season']}, y FROM s),
+    train AS (SELECT week, candidate, x, y, row_number() OVER () AS r FROM weeks JOIN picked ON ends < week),
+    rates AS (SELECT week, candidate, count(*) AS n, avg(y) AS rate FROM train GROUP BY 1, 2 HAVING sum(y) BETWEEN 1 AND count(*) - 1),
+    scale AS (SELECT week, candidate, list(mu ORDER BY j) AS mu, list(sd ORDER BY j) AS sd FROM (
+        SELECT week, candidate, j, avg(v) AS mu, CASE WHEN stddev_pop(v) < 1e-9 THEN 1 ELSE stddev_pop(v) END AS sd FROM (SELECT week, candidate, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS j FROM train) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    design AS (SELECT week, candidate, list_concat([1.0::DOUBLE], list_transform(x, lambda v, i: (v - mu[i]) / sd[i])) AS z, y FROM train JOIN scale USING (week, candidate) JOIN rates USING (week, candidate)),
+    newton AS (
+        SELECT week, candidate, 0 AS it, list_transform(range(len(any_value(z))), lambda i: 0.0::DOUBLE) AS w FROM design GROUP BY 1, 2
+        UNION ALL
+        SELECT week, candidate, it + 1, list_transform(w, lambda v, i: v + solved[i][len(w) + 1]) FROM (
+            SELECT week, candidate, it, w, list_reduce(list_prepend(m, list_transform(m, lambda q: m)), lambda a, b, k: list_transform(a, lambda r, i: CASE WHEN i = k - 1 THEN list_transform(r, lambda v: v / a[k - 1][k - 1]) ELSE list_transform(r, lambda v, c: v - r[k - 1] * a[k - 1][c] / a[k - 1][k - 1]) END)) AS solved FROM (
+                SELECT week, candidate, it, any_value(w) AS w, list(list_concat(line, [g - CASE WHEN i > 1 THEN w[i] ELSE 0 END]) ORDER BY i) AS m FROM (
+                    SELECT week, candidate, it, i, any_value(w) AS w, list(h ORDER BY j) AS line, any_value(g) AS g FROM (
+                        SELECT week, candidate, it, i, j, any_value(w) AS w, sum(p * (1 - p) * z[i] * z[j]) + CASE WHEN i = j AND i > 1 THEN 1 ELSE 0 END AS h, sum((y - p) * z[i]) AS g FROM (
+                            SELECT d.week, d.candidate, it, w, z, y, 1 / (1 + exp(-list_dot_product(z, w))) AS p, unnest(range(1, len(z) + 1)) AS i FROM newton n JOIN design d ON d.week = n.week AND d.candidate = n.candidate WHERE it < 12),
+                        (SELECT unnest(range(1, 14)) AS j) WHERE j <= len(z) GROUP BY week, candidate, it, i, j)
+                    GROUP BY week, candidate, it, i)
+                GROUP BY week, candidate, it))),
+    fitted AS (SELECT week, candidate, n, rate, mu, sd, w FROM newton JOIN scale USING (week, candidate) JOIN rates USING (week, candidate) WHERE it = 12),
+    said AS (SELECT s.week, s.station_id, s.slot, candidate, s.y, rate, 1 / (1 + exp(-(w[1] + list_sum(list_transform(CASE candidate WHEN 'weather' THEN {_PICK['weather']} ELSE x END, lambda v, i: (v - mu[i]) / sd[i] * w[i + 1]))))) AS p FROM s JOIN fitted USING (week)),
+    judged AS (SELECT s.week, s.slot, y, CASE WHEN rain > 0 THEN 0.85::DOUBLE ELSE least(0.92::DOUBLE, 0.05::DOUBLE + CASE WHEN x[3] < -0.5 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN x[3] < -1.2 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN x[1] > 80 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN x[1] > 90 THEN 0.1::DOUBLE ELSE 0 END) END AS old,
+        avg(y) OVER (PARTITION BY s.week) AS own, rate FROM s JOIN (SELECT DISTINCT week, rate FROM fitted) USING (week))"""
+
+
+def _rain(spark, sf_dir):
+    rows = rain_samples(spark, sf_dir)
+    return rows, rainfit.fit_by_period(rows)
+
+
+@query(f"""{RAIN_SQL} SELECT candidate, week, n, {r4('rate')} AS rate, j::INTEGER AS place, {r4('w[j + 1]')} AS coef FROM fitted, (SELECT unnest(range(0, 13)) AS j) WHERE j < len(w)""")
+def rain_models(spark, sf_dir):
+    """M4: logistic regressions of both sets of inputs for each week, on all weeks before it; place 0 is the intercept."""
+    _, fitted = _rain(spark, sf_dir)
+    each = F.posexplode(F.concat(F.array("intercept"), "coef")).alias("place", "coef")
+    return fitted.select("candidate", F.col("period").alias("week"), "n", half_up(F.col("rate"), 4).alias("rate"), each).withColumn("coef", half_up(F.col("coef"), 4))
+
+
+_SQ = "avg(pow({p} - y, 2))"
+
+
+@query(f"""{RAIN_SQL}, models AS (SELECT week, candidate AS model, p, y FROM said UNION ALL SELECT week, unnest(['old_rule', 'own_rate', 'base_rate']), unnest([old, own, rate]), y FROM judged)
+    SELECT model, week, count(*) AS n, {r4(_SQ.format(p='p'))} AS brier, {r4('1 - ' + _SQ.format(p='p') + ' / nullif(any_value(ref), 0)')} AS skill, count(*) FILTER (p >= 0.5 AND y = 1) AS hits, count(*) FILTER (p >= 0.5 AND y = 0) AS false_alarms
+    FROM models JOIN (SELECT week, {_SQ.format(p='own')} AS ref FROM judged GROUP BY 1) USING (week) GROUP BY 1, 2""")
+def rain_refit_scores(spark, sf_dir):
+    """M8: each week forecast by models of the weeks before, by the old rule, by its own frequency and by that of the weeks before: Brier score, skill over the week's own
+    frequency, and what a threshold of one half gives."""
+    rows, fitted = _rain(spark, sf_dir)
+    found = rain_forecasts(rows, fitted)
+    error = F.avg(F.pow(F.col("p") - F.col("y"), 2))
+    by = found.groupBy("model", "week").agg(
+        F.count(F.lit(1)).alias("n"), error.alias("b"), F.count_if((F.col("p") >= 0.5) & (F.col("y") == 1)).alias("hits"), F.count_if((F.col("p") >= 0.5) & (F.col("y") == 0)).alias("false_alarms")
+    )
+    ref = by.filter("model = 'own_rate'").select("week", F.col("b").alias("ref"))
+    skill = 1 - F.col("b") / F.nullif(F.col("ref"), F.lit(0.0))
+    return by.join(ref, "week").select("model", "week", "n", half_up(F.col("b"), 4).alias("brier"), half_up(skill, 4).alias("skill"), "hits", "false_alarms")
+
+
+def rain_forecasts(rows, fitted):
+    """(model, week, p, y) of both candidates and of what they have to beat."""
+    own = Window.partitionBy("period")
+    known = fitted.groupBy("period").agg(F.first("rate").alias("rate"))
+    judged = rows.withColumns({"own": F.avg("y").over(own), "old": rainfit.old_rule()}).join(known, "period")
+    others = F.inline(F.array(*(F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("p")) for m, c in (("old_rule", "old"), ("own_rate", "own"), ("base_rate", "rate")))))
+    models_ = rainfit.chances(rows, fitted, ["period", "y"]).select(F.col("candidate").alias("model"), F.col("period").alias("week"), "p", "y")
+    return models_.unionByName(judged.select(F.col("period").alias("week"), "y", others))
+
+
+@query(f"""{RAIN_SQL}, b AS (SELECT candidate, {_SQ.format(p='p')} AS brier FROM said GROUP BY 1), r AS (SELECT *, floor(brier * 100000 + 0.5) / 100000 AS rounded FROM b),
+    c AS (SELECT candidate, brier FROM r WHERE rounded <= (SELECT min(rounded) FROM r) + 0.0001 ORDER BY candidate LIMIT 1), o AS (SELECT {_SQ.format(p='own')} AS own, {_SQ.format(p='rate')} AS base, {_SQ.format(p='old')} AS old FROM judged)
+    SELECT candidate AS chosen, CASE WHEN brier < own THEN 'logistic' ELSE 'climatology' END AS kind, {r4('brier')} AS brier, {r4('own')} AS brier_own_rate, {r4('base')} AS brier_base_rate, {r4('old')} AS brier_old_rule, {r4('1 - brier / own')} AS skill_own, {r4('1 - brier / base')} AS skill_base FROM c, o""")
+def rain_model_choice(spark, sf_dir):
+    """M7, M8: the candidate of the lowest pooled Brier score, the simpler of two that are near, and whether it beats each week's own frequency."""
+    rows, fitted = _rain(spark, sf_dir)
+    pooled = rain_forecasts(rows, fitted).groupBy("model").agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"))
+    chosen = rainfit.choose(pooled.filter(F.col("model").isin(*rainfit.CANDIDATES)).withColumnRenamed("model", "candidate"), list(rainfit.CANDIDATES))
+    of = lambda m: F.max(F.when(F.col("model") == m, F.col("brier")))
+    others = pooled.agg(of("own_rate").alias("own"), of("base_rate").alias("base"), of("old_rule").alias("old"))
+    b = F.col("chosen_brier")
+    figures = {"brier": b, "brier_own_rate": F.col("own"), "brier_base_rate": F.col("base"), "brier_old_rule": F.col("old"), "skill_own": 1 - b / F.col("own"), "skill_base": 1 - b / F.col("base")}
+    kind = F.when(b < F.col("own"), "logistic").otherwise("climatology").alias("kind")
+    return chosen.crossJoin(F.broadcast(others)).select("chosen", kind, *(half_up(c, 4).alias(n) for n, c in figures.items()))
