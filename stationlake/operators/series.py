@@ -80,6 +80,15 @@ def gaps(readings: DataFrame, keys: Keys, longest: Column, time: str = "t") -> D
     return spaced(readings, keys, time).withColumn("seconds", F.col("end") - F.col("start")).filter(F.col("seconds") > longest)
 
 
+def cadence(readings: DataFrame, keys: Keys, time: str = "t") -> DataFrame:
+    """(keys, cadence): the usual spacing of readings, their upper median. Spacings are few different whole seconds, so they are counted first and no list grows with the readings."""
+    counted = spaced(readings, keys, time).groupBy(*keys, (F.col("end") - F.col("start")).alias("cadence")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys)
+    ahead = F.sum("_n").over(w.orderBy("cadence").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = counted.withColumns({"_below": F.coalesce(ahead, F.lit(0)), "_half": F.floor(F.sum("_n").over(w) / 2)})
+    return ranked.filter("_below <= _half and _half < _below + _n").select(*keys, "cadence")
+
+
 def charge_gaps(gap_rows: DataFrame, keys: Keys, step: int = 900) -> DataFrame:
     """Each gap split over the slots it covers: (keys, slot, gap_seconds)."""
     first, last = F.col("start") - F.col("start") % step, F.col("end") - F.pmod(F.col("end"), F.lit(step))

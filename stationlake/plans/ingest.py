@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import half_up, upper_median
@@ -201,14 +200,7 @@ def interp_short_gaps(spark, sf_dir):
     SELECT station_id, list_sort(list(d) FILTER (d IS NOT NULL))[count(d) // 2 + 1] AS cadence FROM s GROUP BY 1""")
 def cadence_upper_median(spark, sf_dir):
     """The usual spacing of readings."""
-    spaced = series.spaced(readings(spark, sf_dir), KEYS).withColumn("d", F.col("end") - F.col("start"))
-    # spacings are few different whole seconds: count them first, so that no list grows with the readings
-    counted = spaced.groupBy("station_id", "d").count()
-    w = Window.partitionBy("station_id")
-    ahead = F.sum("count").over(w.orderBy("d").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counted.withColumn("below", F.coalesce(ahead, F.lit(0))).withColumn("half", F.floor(F.sum("count").over(w) / 2))
-    at = ranked.filter("below <= half and half < below + count")
-    return at.select("station_id", F.col("d").alias("cadence"))
+    return series.cadence(readings(spark, sf_dir), KEYS)
 
 
 @query(f"""WITH {READINGS_SQL}, s AS (SELECT station_id, t AS "end", lag(t) OVER (PARTITION BY station_id ORDER BY t) AS start FROM readings)

@@ -116,3 +116,24 @@ def test_irrigation_decisions(spark, depletion, raw, rain, dries, known, want):
     advice = farm.irrigation_advice(d(depletion), d(raw), d(5.0), d(rain), F.lit(dries), F.lit(known))
     got = spark.range(1).select(advice.alias("a")).select("a.*").first()
     assert tuple(got) == want
+
+
+def test_counter_days_equal_the_fold(spark):
+    """Three counters of uneven days: restarts late, missed, twice and never, dips, silent days, unknown totals."""
+    import random
+
+    draw, table = random.Random(4), []
+    for counter in range(12):
+        t, total, rows = 1_700_000_000, 0.0, []
+        for _ in range(150):
+            t += draw.choice([900, 3600, 20_000, 40_000, 90_000, 200_000])
+            total = draw.choice([0.0, total - 0.05, total - 0.3, total, total + 0.2, total + 3.0, total / 2])
+            rows.append((t, draw.choice([total, total, total, None, float("nan")]), draw.choice([None, total, total + 1])))
+        table += [(counter, *r) for r in rows]
+    df = spark.createDataFrame(table, "station_id int, t long, total double, prior double").repartition(3)
+    found = {(r["station_id"], r["t"]): r["mm"] for r in counters.counter_rain(df, ["station_id"]).collect()}
+    for counter in range(12):
+        own = [r[1:] for r in table if r[0] == counter]
+        want = [mm for mm, _ in counters.fold(own)]
+        assert [found[counter, r[0]] for r in own] == want
+    assert counters.counter_rain(df.limit(0), ["station_id"]).count() == 0
