@@ -10,20 +10,20 @@ from .clean import beyond
 from .series import over, runs
 
 #: The slots after which an unmoved value is stuck.
-FLAT_SLOTS = {"temp": 8, "rh": 8, "press": 12, "wind": 12}
+FLAT_SLOTS = {"temp": 8, "temp_b": 8, "temp_c": 8, "rh": 8, "press": 12, "wind": 12}
 #: The rule number of each channel's hard limits.
 LIMIT_RULES = {"temp": "R01", "rh": "R02", "press": "R03", "wind": "R04", "gust": "R04", "rain": "R05"}
 
 
 def rule_hits(series: DataFrame, keys: list[str], time: str = "slot", step_limit: float = 5.0) -> DataFrame:
     """Limits (R01 to R05), steps over ``step_limit`` between neighbours (R07), stuck values (R08), gust below wind (R10), no reading
-    (R14). All rules but R08 are judged in one pass over the series; the hits come out of an array."""
+    (R14). A thermometer can only be called stuck where ``series`` has another one. All rules but R08 are judged in one pass over the series; the hits come out of an array."""
     w = over(keys, time)
     series = series.withColumn("_jump", F.abs(F.col("temp") - F.lag("temp").over(w)) > step_limit)
     tests: list[tuple[str, str, str, Column]] = [(r, c, "bad", beyond(c)) for c, r in LIMIT_RULES.items()]
     tests += [("R07", "temp", "suspect", F.col("_jump")), ("R10", "gust", "suspect", F.col("gust") < F.col("wind")), ("R14", "all", "info", F.col("n").isNull())]
     hits = F.array(*(F.when(t, F.struct(F.lit(r).alias("rule"), F.lit(c).alias("channel"), F.lit(f).alias("flag"))) for r, c, f, t in tests))
-    flat = stuck_hits(series, keys, FLAT_SLOTS, ["temp"], time)
+    flat = stuck_hits(series, keys, {c: n for c, n in FLAT_SLOTS.items() if c in series.columns}, [t for t in THERMOMETERS if t in series.columns], time)
     return series.select(*keys, time, F.inline(F.array_compact(hits))).unionByName(flat)
 
 

@@ -29,9 +29,10 @@ def flat_sql(source: str, lengths: dict, air: list) -> str:
     return " UNION ALL ".join(parts)
 
 
-#: Stretched, so that the hard limits have something to find.
+#: Stretched, so that the hard limits have something to find; in the first hours of each day one station's thermometer is stuck, and its second one isn't.
+_STUCK_SQL = "station_id = 3 AND slot % 86400 < 14400"
 RAW_SQL = f"""{GRID_SQL},
-    raw AS (SELECT station_id, slot, temp * 1.5 AS temp, rh * 1.2 AS rh, 850 + (press - 850) * 20 AS press, wind * 6 AS wind, gust * 5.5 AS gust, rain * 4 AS rain, n FROM dense),
+    raw AS (SELECT station_id, slot, CASE WHEN {_STUCK_SQL} THEN 21.5::DOUBLE ELSE temp * 1.5 END AS temp, CASE WHEN {_STUCK_SQL} THEN 21 + 0.3::DOUBLE * (slot // 900 % 4) END AS temp_b, rh * 1.2 AS rh, 850 + (press - 850) * 20 AS press, wind * 6 AS wind, gust * 5.5 AS gust, rain * 4 AS rain, n FROM dense),
     hits AS (
     SELECT station_id, slot, unnest([
         CASE WHEN temp < -5 OR temp > 45 THEN 'R01/temp/bad' END, CASE WHEN rh <= 0 OR rh > 100 THEN 'R02/rh/bad' END,
@@ -40,7 +41,7 @@ RAW_SQL = f"""{GRID_SQL},
         CASE WHEN abs(temp - lag(temp) OVER (PARTITION BY station_id ORDER BY slot)) > 5 THEN 'R07/temp/suspect' END,
         CASE WHEN gust < wind THEN 'R10/gust/suspect' END, CASE WHEN n IS NULL THEN 'R14/all/info' END]) AS hit FROM raw),
     long AS (SELECT station_id, slot, split_part(hit, '/', 1) AS rule, split_part(hit, '/', 2) AS channel, split_part(hit, '/', 3) AS flag FROM hits WHERE hit IS NOT NULL
-        UNION ALL {flat_sql("raw", quality.FLAT_SLOTS, ["temp"])})"""
+        UNION ALL {flat_sql("raw", {c: n for c, n in quality.FLAT_SLOTS.items() if c != "temp_c"}, ["temp", "temp_b"])})"""
 DAYS_SQL = f"""{RAW_SQL},
     measured AS (UNPIVOT (SELECT station_id, (slot + 10800) // 86400 AS day, count(*) AS slots, count(temp) AS temp, count(rh) AS rh, count(press) AS press,
         count(wind) AS wind, count(gust) AS gust, count(rain) AS rain FROM raw GROUP BY 1, 2) ON temp, rh, press, wind, gust, rain INTO NAME channel VALUE measured),
@@ -56,7 +57,9 @@ def business_day():
 
 def raw(spark, sf_dir):
     g = series.dense(series.slot_grid(readings(spark, sf_dir), KEYS), KEYS)
-    scaled = {"temp": F.col("temp") * 1.5, "rh": F.col("rh") * 1.2, "press": 850 + (F.col("press") - 850) * 20, "wind": F.col("wind") * 6, "gust": F.col("gust") * 5.5, "rain": F.col("rain") * 4}
+    stuck = (F.col("station_id") == 3) & (F.col("slot") % 86400 < 14400)
+    thermometers = {"temp": F.when(stuck, 21.5).otherwise(F.col("temp") * 1.5), "temp_b": F.when(stuck, 21 + 0.3 * (F.floor(F.col("slot") / 900) % 4))}
+    scaled = thermometers | {"rh": F.col("rh") * 1.2, "press": 850 + (F.col("press") - 850) * 20, "wind": F.col("wind") * 6, "gust": F.col("gust") * 5.5, "rain": F.col("rain") * 4}
     return g.withColumns(scaled)
 
 

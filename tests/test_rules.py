@@ -240,3 +240,20 @@ def test_windows_by_the_sun(spark):
     points = spark.range(0, 96).select(F.lit("a").alias("k"), (F.col("id") * 900 - 10800).alias("slot"), F.lit(20.0).alias("value"), F.lit(1.0).alias("width"))
     starts = [r["start"] for r in besttime.candidates(points, ["k"], 3600, daylight="sun").collect()]
     assert (min(starts), max(starts)) == (12600, 52200)  # on 1 January the sun is up from about 6:27 to 18:36, three hours ahead of UTC
+
+
+def test_a_stuck_thermometer_by_the_others(spark):
+    """Through ``rule_hits``: stuck while another moves, not in a calm night, not where there is no other one."""
+    from stationlake.operators import quality
+
+    def row(i, **patch):
+        base = {"temp": 18 + i % 7, "temp_b": 17.7 + i % 7, "temp_c": 17.8 + i % 7, "rh": 50 + i % 9, "press": 850 + i % 5, "wind": 1 + i % 5, "gust": 7, "rain": 0}
+        return tuple(float(v) for v in (base | patch).values())
+
+    flat = [row(i, temp=21.5) if 40 <= i < 50 else row(i) for i in range(96)]
+    calm = [row(i, temp=15, temp_b=14.7 + i % 4 / 10, temp_c=14.8 + i % 2 / 10) if 8 <= i < 20 else row(i) for i in range(96)]
+    names = "temp double, temp_b double, temp_c double, rh double, press double, wind double, gust double, rain double"
+    df = spark.createDataFrame([(s, i * 900, 1, *r) for s, rows in ((1, flat), (2, calm)) for i, r in enumerate(rows)], f"station_id int, slot long, n int, {names}")
+    hits = quality.rule_hits(df, ["station_id"]).filter("rule = 'R08'").collect()
+    assert {(h["station_id"], h["channel"]) for h in hits} == {(1, "temp")} and len(hits) == 10
+    assert quality.rule_hits(df.drop("temp_b", "temp_c"), ["station_id"]).filter("rule = 'R08'").count() == 0
