@@ -31,6 +31,12 @@ def ahead(series: DataFrame, keys: list[str], usual: DataFrame, fits: DataFrame,
     then_usual = usual.select(*keys, F.col("time_of_day").alias("_then"), F.col("usual").alias("u1"))
     rows = rows.withColumns({"_now": F.col("now") % 86400, "_then": F.col("target") % 86400, "block": F.floor(F.col("target") % 86400 / 10800)})
     rows = rows.join(now_usual, [*keys, "_now"], "left").join(then_usual, [*keys, "_then"], "left")
+    return project(rows, fits, bands).select(*keys, "step", "target", "kind", "value", "lower", "upper")
+
+
+def project(rows: DataFrame, fits: DataFrame, bands: DataFrame) -> DataFrame:
+    """Adds kind, value, lower and upper to rows with a step, its target's block, and x0, u0 and u1: the value now, what is usual now and at the target. ``fits`` and ``bands`` have a
+    row a step, or a step and block."""
     rows = rows.join(F.broadcast(fits), "step", "left").join(F.broadcast(bands), ["step", "block"], "left")
     runs = F.col("u0").isNotNull() & F.col("u1").isNotNull()
     still = F.col("step") == 0
@@ -40,7 +46,7 @@ def ahead(series: DataFrame, keys: list[str], usual: DataFrame, fits: DataFrame,
     rows = rows.withColumns({"value": point, "_w": width})
     side = lambda sign: F.when(still, F.col("value")).otherwise(half_up(F.col("value") + sign * F.col("_w"), 1))
     kind = F.when(runs, "seasonal").otherwise("no_change")
-    return rows.select(*keys, "step", "target", kind.alias("kind"), "value", side(-1).alias("lower"), side(1).alias("upper"))
+    return rows.withColumns({"kind": kind, "lower": side(-1), "upper": side(1)}).drop("_w")
 
 
 def widen(forecast: DataFrame, degraded: Column, factor: float = 1.5) -> DataFrame:
