@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import half_up
 from ..sources.testdata import READINGS_SQL, station_rows
-from ..streaming import jobs
-from .registry import query, r4
+from ..streaming import jobs, stateful
+from .health import SMOOTH_SQL, labelled
+from .registry import ORACLES, query, r4
 
 KEYS = ["station_id"]
 
@@ -65,3 +66,37 @@ def stream_counter(spark, sf_dir):
     r.select("station_id", "t", total.alias("total"), F.lit(None).cast("double").alias("prior")).write.parquet(where)
     stream = jobs.counter_totals(jobs.source(spark, where, "*.parquet", lambda rows: rows), KEYS)
     return jobs.run_to_end(stream, KEYS).withColumn("mm", half_up(F.col("mm"), 4))
+
+
+def stored(df, name):
+    """A folder that the cluster shares with ``df`` in it, to be read as a stream."""
+    where = f"{jobs.shared_dir(df.sparkSession)}/stationlake-streams/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return where
+
+
+@query(f"WITH {READINGS_SQL} SELECT station_id, min(t) AS t, (t + 10800) // 86400 AS day FROM readings WHERE temp > 30 GROUP BY 1, 3")
+def stream_fired_today(spark, sf_dir):
+    """A rule that fires once a local day: its latch is kept from batch to batch."""
+    hot = readings(spark, sf_dir).select("station_id", "t", (F.col("temp") > 30).alias("wanted"))
+    return stateful.on_time(stateful.to_end(stateful.fired_today(hot, KEYS), ["station_id", "t"]))
+
+
+@query(f"WITH {SMOOTH_SQL} SELECT * FROM smooth")
+def stream_dwell(spark, sf_dir):
+    """W14 online: labels that count once they lasted; the SQL is that of the batch."""
+    where = stored(labelled(spark, sf_dir).select("station_id", F.col("slot").alias("t"), F.col("label").cast("long").alias("label")), "labels")
+    stream = jobs.source(spark, where, "*.parquet", lambda rows: rows)
+    done = stateful.on_time(stateful.to_end(stateful.dwelling(stream, KEYS), ["station_id", "t"]))
+    return done.filter("state is not null").select("station_id", F.col("t").alias("slot"), F.col("state").cast("int").alias("state"))
+
+
+@query(ORACLES["rate_limit"])
+def stream_rate_limit(spark, sf_dir):
+    """Q29 online: a sliding limit whose kept times are the state."""
+    def requests(events):
+        return events.select("event_id", (F.col("user_id") % 50).alias("client"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
+
+    stream = jobs.source(spark, sf_dir, "events.parquet", requests)
+    done = stateful.on_time(stateful.to_end(stateful.limited(stream, ["client"], 3, 43200), ["client", "event_id"]))
+    return done.select("event_id", "client", "admitted")
