@@ -8,11 +8,13 @@ a class is valid if it has at least two tokens, stands in enough pages, its toke
 occur, and each of its occurrences lies within the same slot of the same other class. So valid classes nest
 and make the host's template; what stands between two neighbouring tokens of a class is one of its slots.
 
-Text that is itself a template token is fixed, not content. The varying text is in slots. Names decide what slots are: a slot whose
-varying text stands almost all in asides (menus, adverts, comments and the like, told by elements and by whole names in class
+Text that is itself a template token is fixed. It isn't content at the edges of an article or of the page's content, where hosts put notices; between varying blocks
+of the same article it is the article's (headings that every page has). The varying text is in slots. A slot whose
+varying text is mostly links, or stands almost all in asides (menus, adverts, comments and the like, told by elements and by whole names in class
 and id) is an aside as a whole, also where a page's names don't tell; one whose text stands mostly in article elements is a
-content slot. A page's content is the varying text of its articles, else that of the content slots, else that of all slots that aren't asides.
-Names don't make an aside of what holds most of a page's text.
+content slot. A page's content is the text of its articles, else that of the content slots, else that of all slots that aren't asides.
+Names don't make an aside of what holds most of a page's text, nor of figures and formulas; within an article an aside element, or a name that may as well stand for a part of the text
+(related, banner, contents and the like), makes one only where most of what it holds is links.
 
 Defined results: a null or empty page, or one without content, has empty text; hosts with too few distinct pages for a template
 go by elements and names alone, and ``slots`` is 0; copies of a page count once for the template, and repeated rows give repeated rows;
@@ -51,7 +53,11 @@ INLINE = set(
     "sub sup time tt u var wbr img".split()
 )
 #: Elements that are never content.
-ASIDE = {"nav", "footer", "aside", "head", "svg", "button", "select", "option", "dialog", "menu", "object", "canvas", "math"}
+ASIDE = {"nav", "footer", "aside", "head", "svg", "button", "select", "option", "dialog", "menu"}
+#: Elements that names don't tell of.
+SHOWN = {"figure", "figcaption", "picture", "math", "table"}
+#: Words of names that within an article need links to tell of an aside.
+UNSURE = set("banner breadcrumb breadcrumbs disclaimer notice notices pagination promo promoted recommended related search sidebar sidenav toc topbar widget widgets announcement menu nav navbar navigation".split())
 #: Words in class or id of what is never content.
 ASIDE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
@@ -95,20 +101,25 @@ CLOSING, TEXT = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 class Page:
-    """``tokens``, the hashes of tags and blocks in page order, and ``blocks`` as (text, its place among the tokens, aside, content)."""
+    """``tokens``, the hashes of tags and blocks in page order, and ``blocks`` as (text, its place among the tokens, aside, article), the number of the article that it is in, or 0; ``links`` has
+    the characters of each block that are links."""
 
     def __init__(self, source: str | None):
         self.tokens: list[int] = []
-        self.blocks: list[tuple[str, int, bool, bool]] = []
-        # name, hash of the path, in an element that is never content, last container whose names (or being a form) tell of an aside, content
-        self._open: list[tuple[str, int, bool, int, bool]] = [("", 0, False, -1, False)]
+        self.blocks: list[tuple[str, int, bool, int]] = []
+        self.links: list[int] = []
+        # name, hash of the path, in an element that is never content, last container whose names (or being a form) tell of an aside, number of the article
+        self._open: list[tuple[str, int, bool, int, int]] = [("", 0, False, -1, 0)]
         #: Where the elements of a name stand among the open ones.
         self._places: dict[str, list[int]] = defaultdict(list)
-        self._read_blocks: list[tuple[str, int, bool, int, bool]] = []
+        self._read_blocks: list[tuple[str, int, bool, int, int]] = []
         #: Of each container that names tell of: the one around it, and whether it is one for remarks.
         self._around: list[int] = []
         self._remarks: list[bool] = []
+        self._unsure: list[bool] = []
+        self._articles = 0
         self._text: list[str] = []
+        self._in_link, self._linked = False, 0
         if source:
             self._read(source)
             self._judge()
@@ -129,12 +140,28 @@ class Page:
                 void[k] = 2 * held[k] > total and not self._remarks[k]
                 if self._around[k] >= 0:
                     held[self._around[k]] += held[k]
+        if any(self._unsure):
+            self._weigh(void)
         aside = []
         for k in range(count):
             aside.append(not void[k] or self._around[k] >= 0 and aside[self._around[k]])
         for text, at, never, named, inside in self._read_blocks:
             away = never or named >= 0 and aside[named]
-            self.blocks.append((text, at, away, inside and not away))
+            self.blocks.append((text, at, away, 0 if away else inside))
+
+    def _weigh(self, void: list[bool]):
+        """Containers that names leave unsure are asides if most of their text is links."""
+        held, linked = [0] * len(void), [0] * len(void)
+        for (text, _, _, named, _), links in zip(self._read_blocks, self.links, strict=True):
+            if named >= 0:
+                held[named] += len(text)
+                linked[named] += links
+        for k in range(len(void) - 1, -1, -1):
+            if self._unsure[k]:
+                void[k] = void[k] or 2 * linked[k] < held[k]
+            if self._around[k] >= 0:
+                held[self._around[k]] += held[k]
+                linked[self._around[k]] += linked[k]
 
     def _flush(self):
         if self._text:
@@ -143,7 +170,9 @@ class Page:
             if text:
                 _, path, *rest = self._open[-1]
                 self._read_blocks.append((text, len(self.tokens), *rest))
+                self.links.append(min(len(text), self._linked))
                 self.tokens.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), path ^ TEXT))
+        self._linked = 0
 
     def _close(self, index: int):
         while len(self._open) > index:
@@ -157,6 +186,8 @@ class Page:
             if m.start() < at:
                 continue
             self._text.append(source[at : m.start()])
+            if self._in_link:
+                self._linked += m.start() - at
             at = m.end()
             closing, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
             if not name:
@@ -170,6 +201,8 @@ class Page:
                 self._tag(name, attributes, raw=True)
                 continue
             if name in INLINE:
+                if name == "a":
+                    self._in_link = not closing
                 continue
             self._flush()
             if closing:
@@ -194,14 +227,18 @@ class Page:
         if raw or name in VOID or attributes.rstrip().endswith("/") and name not in ENDS_P:
             return
         body = name in ("html", "body")
-        never = never or name in ASIDE or name == "header" and not content
-        if name in CONTENT:
+        inset = name == "aside" and content > 0
+        never = never or name in ASIDE and not inset or name == "header" and not content
+        if name in CONTENT or name in SHOWN:
             known &= REMARKS
-        if name == "form" or known and not body and name not in HEADINGS:
+        if name == "form" or inset or known and not body and name not in HEADINGS:
             self._around.append(named)
             self._remarks.append(bool(known & REMARKS))
+            self._unsure.append(content > 0 and name != "form" and known <= UNSURE)
             named = len(self._around) - 1
-        content = content or (name in CONTENT or bool(words & CONTENT_WORDS) and not body) and not never
+        if not content and not never and (name in CONTENT or bool(words & CONTENT_WORDS) and not body):
+            self._articles += 1
+            content = self._articles
         self._places[name].append(len(self._open))
         self._open.append((name, path, never, named, content))
 
@@ -346,13 +383,13 @@ class Templates:
 def judged(pages: DataFrame) -> DataFrame:
     """Partial sums, from rows of (digest, host, html, tokens, classes): for each host and class whether its order and the slot
     around it are the same everywhere, as least and greatest hash; for each slot the characters of varying text, of
-    those in asides, and in content."""
+    those in asides, in content, and in links outside content."""
 
     def run(batches):
         templates = Templates(("tokens", "classes"))
         for batch in slices(batches, 2048):
             classes: dict[tuple, list[int]] = {}
-            slots: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
+            slots: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
             hosts = batch.column("host").to_pylist()
             for row, (host, source) in enumerate(zip(hosts, batch.column("html").to_pylist(), strict=True)):
                 class_of, sizes = templates.of(batch, host, row)
@@ -365,14 +402,15 @@ def judged(pages: DataFrame) -> DataFrame:
                     s[:] = min(s[0], order), max(s[1], order), min(s[2], around), max(s[3], around)
                     if not order or not around:
                         s[:2] = 0, 1
-                for (text, at, aside, content), slot in zip(page.blocks, structure.slots, strict=True):
+                for (text, at, aside, article), links, slot in zip(page.blocks, page.links, structure.slots, strict=True):
                     if page.tokens[at] not in class_of:
                         s = slots[host, slot]
                         s[0] += len(text)
                         s[1] += len(text) * aside
-                        s[2] += len(text) * content
+                        s[2] += len(text) * (article > 0)
+                        s[3] += links * (not article)
             out = [(host, CLASS, c, *s) for (host, c), s in classes.items()]
-            out += [(host, SLOT, slot, *s, 0) for (host, slot), s in slots.items()]
+            out += [(host, SLOT, slot, *s) for (host, slot), s in slots.items()]
             columns = [*zip(*out, strict=True)] or [()] * 7
             types = (pa.string(), pa.int32(), *[pa.int64()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "kind", "name", "a", "b", "c", "d"])
@@ -413,12 +451,14 @@ def deduce_templates(
         F.transform(F.filter("all", lambda m: m["kind"] == BLOCK), lambda m: m["token"]).alias("fixed"),
     )
     slots = sums.filter(F.col("kind") == SLOT).groupBy("host", F.col("name").alias("slot")).agg(
-        F.sum("a").alias("chars"), F.sum("b").alias("aside"), F.sum("c").alias("content")
+        F.sum("a").alias("chars"), F.sum("b").alias("aside"), F.sum("c").alias("content"), F.sum("d").alias("links")
     )
     role = lambda held: F.filter(F.collect_list(F.when(held, F.col("slot"))), lambda x: x.isNotNull())
+    # most of what isn't content is links, and little is content
+    away = (F.col("aside") >= 0.9 * F.col("chars")) | ((2 * F.col("links") >= F.col("chars")) & (4 * F.col("content") < F.col("chars")))
     roles = slots.groupBy("host").agg(
-        role(F.col("aside") >= 0.9 * F.col("chars")).alias("dead"),
-        role((F.col("aside") < 0.9 * F.col("chars")) & (2 * F.col("content") >= F.col("chars") - F.col("aside"))).alias("live"),
+        role(away).alias("dead"),
+        role(~away & (2 * F.col("content") >= F.col("chars") - F.col("aside"))).alias("live"),
     )
     templates = settle(members.join(roles, "host", "left"), "page-templates")
     release(stats, classes, first, sums)
@@ -469,11 +509,19 @@ def content(page: Page, class_of: dict, sizes: dict, fixed: set[int], dead: set[
     """The page's content, and in how many slots of the template it has text."""
     slots = Structure(page, class_of, sizes).slots if class_of else [0] * len(page.blocks)
     used = len(set(slots)) if class_of else 0
-    own = [(text, page.tokens[at] in fixed, inside, slot) for (text, at, aside, inside), slot in zip(page.blocks, slots, strict=True) if not aside]
+    own = [(text, page.tokens[at] in fixed, article, slot) for (text, at, aside, article), slot in zip(page.blocks, slots, strict=True) if not aside]
     chosen = [b for b in own if b[2]]
     if not chosen:
         own = [b for b in own if b[1] or b[3] not in dead] or own
-        chosen = [b for b in own if b[3] in live] or own
+        chosen = [b for b in own if b[3] in live] or [(text, still, -1, slot) for text, still, _, slot in own]
     # near copies make the whole text fixed; it is content all the same
-    varying = [text for text, still, _, _ in chosen if not still] or [text for text, *_ in chosen]
-    return "\n".join(varying), used
+    return "\n".join(_within(chosen) or [text for text, *_ in chosen]), used
+
+
+def _within(blocks: list[tuple[str, bool, int, int]]) -> list[str]:
+    """The texts from the first to the last varying block of each article; outside articles and content slots (article -1) the varying ones alone."""
+    ends: dict[int, list[int]] = {}
+    for k, (_, still, article, _) in enumerate(blocks):
+        if not still:
+            ends.setdefault(article, [k, k])[1] = k
+    return [text for k, (text, still, article, _) in enumerate(blocks) if not still or article >= 0 and article in ends and ends[article][0] < k < ends[article][1]]

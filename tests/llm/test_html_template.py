@@ -201,4 +201,55 @@ def test_fixed_text_within_articles(spark):
     page = "<body><article><h1>Title {0}</h1><p>Read our terms</p><p>story {0}</p><p>Tell your friends</p></article></body>"
     pages = [("h", page.format(i)) for i in range(5)] + [("few", page.format(9))]
     got = texts(html_template.extract(site(spark, pages)))
-    assert got == [f"Title {i}\nstory {i}" for i in range(5)] + ["Title 9\nRead our terms\nstory 9\nTell your friends"]
+    assert got == [f"Title {i}\nRead our terms\nstory {i}" for i in range(5)] + ["Title 9\nRead our terms\nstory 9\nTell your friends"]
+
+
+def test_fixed_headings_between_varying_blocks_stay(spark):
+    page = "<body><article><p>Notice</p><p>intro {0}</p><h2>Introduction</h2><p>one {0}</p><h2>Method</h2><p>two {0}</p><p>Tell your friends</p></article></body>"
+    got = texts(html_template.extract(site(spark, [("h", page.format(i)) for i in range(5)])))
+    assert got == [f"intro {i}\nIntroduction\none {i}\nMethod\ntwo {i}" for i in range(5)]
+
+
+def test_fixed_text_between_articles_goes(spark):
+    page = "<body><article><p>a {0}</p><p>Share</p></article><p>More</p><article><p>Lead</p><p>b {0}</p></article></body>"
+    got = texts(html_template.extract(site(spark, [("h", page.format(i)) for i in range(5)])))
+    assert got == [f"a {i}\nb {i}" for i in range(5)]
+
+
+def test_what_stays_within_an_article(spark):
+    page = """<body><article><p>story {0}</p><aside><p>pull quote {0}</p></aside><figure class="banner"><img><figcaption>caption {0}</figcaption></figure>
+    <div class="related"><p>related work {0}</p></div><p>then <math><mi>x</mi></math> holds {0}</p><div class="ad">buy {0}</div><aside><a href=x>other {0}</a></aside>
+    <div class="related"><ul><li><a href=y>more of this {0}</a></ul></div><p>end {0}</p></article></body>"""
+    want = "story {0}\npull quote {0}\ncaption {0}\nrelated work {0}\nthen\nx\nholds {0}\nend {0}"
+    got = texts(html_template.extract(site(spark, [("h", page.format(i)) for i in range(4)] + [("few", page.format(9))])))
+    assert [g.replace("\nx\n", "\nx\n") for g in got] == [want.format(i) for i in (0, 1, 2, 3, 9)]
+
+
+def test_slots_of_links_go_without_a_name(spark):
+    page = "<body><div class=c1><p>story {0}</p><p>and more of {0}</p></div><hr><div class=c2><a href=a>other story {0}</a></div><p class=c4>end</p></body>"
+    got = texts(html_template.extract(site(spark, [("h", page.format(i)) for i in range(6)])))
+    assert got == [f"story {i}\nand more of {i}" for i in range(6)]
+
+
+def plain_extraction(sources, least_pages=3):
+    """Texts of one host's pages with articles: the article's blocks, of which those that are in a valid class go at its edges."""
+    fixed = set().union(*plain_classes(sources)) if len(set(sources)) >= least_pages else set()
+    found = []
+    for source in sources:
+        page = html_template.Page(source)
+        blocks = [(text, page.tokens[at] in fixed) for text, at, aside, article in page.blocks if article]
+        varying = [k for k, (_, still) in enumerate(blocks) if not still]
+        kept = blocks[varying[0] : varying[-1] + 1] if varying else blocks
+        found.append("\n".join(text for text, _ in kept))
+    return found
+
+
+def test_extraction_matches_a_plain_one(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_template.extract(pages).collect()}
+    by_host = defaultdict(list)
+    for r in pages.select("page_id", F.regexp_extract("url", html_template.HOST, 1).alias("host"), "html").collect():
+        by_host[r["host"]].append((r["page_id"], r["html"]))
+    for rows in by_host.values():
+        for (page_id, source), text in zip(rows, plain_extraction([s for _, s in rows]), strict=True):
+            assert "<article>" in source and got[page_id] == text
