@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import agro, heat
+from ..functions import agro, heat, sql
 from ..functions.rounding import half_up
 from ..sources.testdata import table
-from .registry import query, r4
+from .registry import ORACLES, query, r4
 
 AIR_SQL = """air AS (SELECT event_id, 10 + least(value, 200.0) / 8 AS temp, least(99.0, 5 + value / 3) AS rh, event_id % 366 + 1 AS doy FROM events)"""
 STULL_SQL = "temp * atan(0.151977::double * sqrt(rh + 8.313659::double)) + atan(temp + rh) - atan(rh - 1.676331::double) + 0.00391838::double * pow(rh, 1.5::double) * atan(0.023101::double * rh) - 4.686035::double"
@@ -123,3 +123,15 @@ def farm_expressions(spark, sf_dir):
         agro.floor_to_five(mm).alias("steps"),
         heat.uncertainty(mm / 50).alias("uncertainty"),
     )
+
+
+@query(ORACLES["heat_expressions"])
+def heat_sql(spark, sf_dir):
+    """``heat_expressions`` once more, by SQL functions of the session; the SQL is that of the Columns."""
+    sql.register(spark)
+    four = "floor(({}) * 10000 + 0.500001D) / 10000"
+    return spark.sql(
+        f"SELECT event_id, {four.format('stull_wet_bulb(temp, rh)')} AS wet_bulb, {four.format('shade_wbgt_rh(temp, rh)')} AS wbgt, {four.format('dew_point(temp, rh)')} AS dew_point, "
+        "risk_band(shade_wbgt_rh(temp, rh), -1.5D) AS band FROM {air}",
+        air=air(spark, sf_dir),
+    )
