@@ -62,3 +62,21 @@ def summary(samples: DataFrame, keys: list[str], value: str = "value", weight: s
         F.count(v).alias("valid"),
         F.count(F.lit(1)).alias("samples"),
     )
+
+
+def interior_points(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lng, lat) of the sample that is nearest to the mean of an area's samples, the first from south and west of equals. Unlike a mean of corners it lies in the area,
+    also where that is concave, has holes or several parts."""
+    means = samples.groupBy(*keys).agg(F.avg("lng").alias("_x"), F.avg("lat").alias("_y"))
+    apart = F.hypot(F.col("lat") - F.col("_y"), F.col("lng") - F.col("_x"))
+    near = F.min_by(F.struct("lng", "lat"), F.struct(F.round(apart, 12), "lat", "lng")).alias("p")
+    return samples.join(means, keys).groupBy(*keys).agg(near).select(*keys, "p.*")
+
+
+def area_outlook(samples: DataFrame, values: DataFrame, keys: list[str], time: str = "t", threshold: float = 21.0) -> DataFrame:
+    """The figures of ``summary`` for each area and time: ``samples`` has the keys, place and weight, ``values`` place, time and value. A sample without a value at a time that any has counts as
+    missing, and against the coverage."""
+    times = values.filter(F.col(time).isNotNull()).select(time).distinct()
+    every = samples.select(*keys, "place", "weight").join(times)  # a forecast's few hours
+    met = every.join(values.select("place", time, "value"), ["place", time], "left")
+    return summary(met, [*keys, time], threshold=threshold)

@@ -10,3 +10,10 @@ def failing(start: int, end: int) -> list[tuple[int, str, float]]:
     if start == 300:
         raise OSError("no answer")
     return fetch(start, end)
+
+
+def places(asked, start, end):
+    """Two hours of each place; a batch with ``bad`` in it fails, ``none`` has nothing."""
+    if any(p[0] == "bad" for p in asked):
+        raise OSError("no answer")
+    return [[(t, f"asked:{len(asked)}:{start}:{end}", lat + t) for t in (0, 3600, 7200)] if name != "none" else None for name, lat, _ in asked]
