@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import half_up
@@ -45,8 +46,6 @@ def seasonal_factor_by_step(spark, sf_dir):
     QUALIFY row_number() OVER (PARTITION BY station_id, step ORDER BY slot DESC) <= 10""".replace("* 10 + 0.500001) / 10 AS value", "* 10000 + 0.500001) / 10000 AS value"))
 def seasonal_forecast(spark, sf_dir):
     """Q7: forecasts from the latest origins."""
-    from pyspark.sql import Window
-
     p = pairs(spark, sf_dir)
     fit = p.groupBy("step").agg(forecast.slope().alias("a"))
     rows = p.join(F.broadcast(fit), "step").withColumn("value", half_up(forecast.seasonal(F.col("a")), 4))
@@ -94,10 +93,13 @@ def grouping_sets_scores(spark, sf_dir):
 def bands_from_earlier(spark, sf_dir):
     """Each week's band from the errors of all weeks before it."""
     s = scored(spark, sf_dir)
-    weeks = s.select(F.col("week").alias("of")).distinct()
-    # counts of sizes meet the later weeks, not the errors themselves
-    counts = error_counts(s, "step", "week").join(F.broadcast(weeks), F.col("week") < F.col("of"))
-    earlier = counts.groupBy("step", F.col("of").alias("week")).agg(F.percentile("size", F.lit(0.8), F.col("n")).alias("band"))
+    # a histogram a step, summed up from week to week: sizes times weeks, whatever the number of errors
+    counts = error_counts(s, "step", "week")
+    weeks = s.select("week").distinct()
+    every = counts.select("step", "size").distinct().join(F.broadcast(weeks))
+    before = Window.partitionBy("step", "size").orderBy("week").rowsBetween(Window.unboundedPreceding, -1)
+    upto = every.join(counts, ["step", "size", "week"], "left").withColumn("n", F.sum("n").over(before)).filter("n > 0")
+    earlier = upto.groupBy("step", "week").agg(F.percentile("size", F.lit(0.8), F.col("n")).alias("band"))
     inside = F.avg((F.abs("e") <= F.col("band")).cast("double"))
     joined = s.join(F.broadcast(earlier), ["step", "week"])
     return joined.groupBy("step", "week").agg(half_up(F.max("band"), 4).alias("band"), half_up(inside, 4).alias("covered"))

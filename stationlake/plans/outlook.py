@@ -11,7 +11,7 @@ from ..operators import besttime, farm, forecast, outlook, quality, series
 from ..sources.testdata import GRID_SQL, READINGS_SQL, readings, table
 from .decisions import FILLED_SQL, WINDOWS_SQL, wbgt, windows
 from .expressions import band_sql
-from .forecasts import BASE_SQL, month_hour_table
+from .forecasts import BASE_SQL, error_counts, month_hour_table
 from .health import QUALITY_SQL, RAW_SQL, latest_quality, raw
 from .registry import query, r4
 from .windows import DAY_SQL, GATED_SQL, days, grid
@@ -34,8 +34,8 @@ FIT_SQL = f"""{USUAL_SQL} steps AS (SELECT unnest(generate_series(1, {STEPS})) A
         WHERE o.temp IS NOT NULL AND o.usual IS NOT NULL AND t.usual IS NOT NULL),
     fits AS (SELECT step, sum((x0 - u0) * (x1 - u1)) / sum((x0 - u0) * (x0 - u0)) AS a, count(*) AS n_train FROM far WHERE slot < {CALIBRATION} GROUP BY 1),
     held AS (SELECT f.*, u1 + a * (x0 - u0) AS f, u1 + a * (x0 - u0) - x1 AS e, (slot + step * 900) % 86400 // 10800 AS block FROM far f JOIN fits USING (step) WHERE slot >= {CALIBRATION}),
-    pooled AS (SELECT step, quantile_cont(abs(e), 0.8) AS band, quantile_cont(abs(x0 - x1), 0.8) AS persistence FROM held WHERE slot < {TEST} GROUP BY 1),
-    blocks AS (SELECT step, block, quantile_cont(abs(e), 0.8) AS band FROM held WHERE slot < {TEST} GROUP BY 1, 2),
+    pooled AS (SELECT step, quantile_cont(floor(abs(e) * 100 + 0.5) / 100, 0.8) AS band, quantile_cont(floor(abs(x0 - x1) * 100 + 0.5) / 100, 0.8) AS persistence FROM held WHERE slot < {TEST} GROUP BY 1),
+    blocks AS (SELECT step, block, quantile_cont(floor(abs(e) * 100 + 0.5) / 100, 0.8) AS band FROM held WHERE slot < {TEST} GROUP BY 1, 2),
     bands AS (SELECT step, block, coalesce(blocks.band, pooled.band) AS band, persistence FROM pooled CROSS JOIN generate_series(0, 7) b(block) LEFT JOIN blocks USING (step, block))"""
 
 
@@ -51,9 +51,11 @@ def fitted(spark, sf_dir):
     held = far.filter(F.col("slot") >= CALIBRATION).join(F.broadcast(fits), "step").withColumn("f", forecast.seasonal(F.col("a")))
     held = held.withColumns({"e": F.col("f") - F.col("x1"), "block": F.floor((F.col("slot") + F.col("step") * 900) % 86400 / 10800)})
     calm = held.filter(F.col("slot") < TEST)
-    share = F.lit(0.8)
-    pooled = calm.groupBy("step").agg(F.percentile(F.abs("e"), share).alias("all"), F.percentile(F.abs(F.col("x0") - F.col("x1")), share).alias("persistence"))
-    blocks = calm.groupBy("step", "block").agg(F.percentile(F.abs("e"), share).alias("band"))
+    band = F.percentile("size", F.lit(0.8), F.col("n"))
+    counts = error_counts(calm, "step", "block")
+    still = error_counts(calm.withColumn("e", F.col("x0") - F.col("x1")), "step").groupBy("step").agg(band.alias("persistence"))
+    pooled = counts.groupBy("step").agg(band.alias("all")).join(still, "step")
+    blocks = counts.groupBy("step", "block").agg(band.alias("band"))
     every = pooled.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
     bands = every.join(F.broadcast(blocks), ["step", "block"], "left").select("step", "block", F.coalesce("band", "all").alias("band"), "persistence")
     return g, fits, held, bands
@@ -68,7 +70,8 @@ def final_fit(spark, sf_dir):
     """One fit for each of 36 steps before the test dates, bands from held-out weeks, scores on the test dates, and how often the
     risk band was the same, or told too low."""
     _, fits, held, bands = fitted(spark, sf_dir)
-    pooled = held.filter(F.col("slot") < TEST).groupBy("step").agg(F.percentile(F.abs("e"), F.lit(0.8)).alias("pooled"))
+    counts = error_counts(held.filter(F.col("slot") < TEST), "step")
+    pooled = counts.groupBy("step").agg(F.percentile("size", F.lit(0.8), F.col("n")).alias("pooled"))
     test = held.filter(F.col("slot") >= TEST).join(F.broadcast(pooled), "step")
     said, was = risk_rank(risk_band(F.col("f"))), risk_rank(risk_band(F.col("x1")))
     share = lambda c: F.avg(c.cast("int"))
@@ -86,6 +89,30 @@ def final_fit(spark, sf_dir):
     )
 
 
+HEALTH_SQL = f"""WITH {QUALITY_SQL}, {RAW_SQL[len(GRID_SQL) :].lstrip(", ")},
+    ends AS (SELECT station_id, max(slot) AS last FROM raw GROUP BY 1),
+    m AS (UNPIVOT (SELECT station_id, count(*) AS slots, count(temp) AS temp, count(rh) AS rh, count(press) AS press, count(wind) AS wind, count(gust) AS gust, count(rain) AS rain FROM raw JOIN ends USING (station_id) WHERE slot > last - 86400 GROUP BY 1)
+        ON temp, rh, press, wind, gust, rain INTO NAME channel VALUE measured),
+    g AS (SELECT station_id, channel, count(DISTINCT slot) FILTER (flag = 'bad') AS bad, count(DISTINCT slot) FILTER (flag = 'suspect') AS suspect FROM long JOIN ends USING (station_id) WHERE slot > last - 86400 GROUP BY 1, 2),
+    f AS (SELECT m.station_id, list_sort(list(m.channel)) AS failing FROM m LEFT JOIN g ON g.station_id = m.station_id AND g.channel = m.channel
+        WHERE m.channel <> 'rain' AND (measured = 0 OR coalesce(bad, 0) > 0.05 * slots OR coalesce(suspect, 0) = slots) GROUP BY 1),
+    e AS (SELECT q.station_id, fresh_minutes, CASE WHEN quality = 'GOOD' AND failing IS NOT NULL THEN 'DEGRADED' ELSE quality END AS quality, failing FROM quality q LEFT JOIN f USING (station_id))
+    SELECT station_id, CASE WHEN fresh_minutes >= 540 THEN 'POOR' ELSE quality END AS quality,
+        array_to_string(list_concat(list_transform(coalesce(failing, []), lambda c: 'station_health_bad:' || c), CASE WHEN fresh_minutes >= 540 AND quality <> 'POOR' THEN ['forecast_horizon_elapsed'] ELSE [] END), ',') AS health_flags,
+        CASE WHEN fresh_minutes < 540 AND quality = 'DEGRADED' THEN 1.5 ELSE 1 END::DOUBLE AS band_factor FROM e"""
+
+
+@query(HEALTH_SQL)
+def health_escalation(spark, sf_dir):
+    """Sensors that failed over the last day lower the data's quality, and with it widen the bands."""
+    r = raw(spark, sf_dir)
+    ends = F.broadcast(r.groupBy("station_id").agg(F.max("slot").alias("last")))
+    recent = lambda df: df.join(ends, KEYS).filter("slot > last - 86400").drop("last")
+    judged = quality.channel_days(recent(r), recent(quality.rule_hits(r, KEYS)), KEYS, ["temp", "rh", "press", "wind", "gust", "rain"], F.lit(0)).withColumn("verdict", quality.verdict())
+    found = outlook.escalate(latest_quality(spark, sf_dir), judged, KEYS)
+    return found.select("station_id", "quality", F.array_join("health_flags", ",").alias("health_flags"), "band_factor")
+
+
 AHEAD_SQL = f"""{FIT_SQL}, latest AS (SELECT station_id, max_by(temp, slot) AS x0, max(slot) AS now FROM filled GROUP BY 1),
     clock AS (SELECT f.station_id, slot % 86400 AS tod, CASE WHEN count(temp) >= 20 THEN avg(temp) END AS usual FROM filled f JOIN latest l ON l.station_id = f.station_id WHERE slot > now - 2592000 GROUP BY 1, 2),
     row AS (SELECT l.*, step, now + step * 900 AS target FROM latest l CROSS JOIN generate_series(0, {STEPS}) s(step)),
@@ -93,13 +120,16 @@ AHEAD_SQL = f"""{FIT_SQL}, latest AS (SELECT station_id, max_by(temp, slot) AS x
         LEFT JOIN clock d ON d.station_id = row.station_id AND d.tod = target % 86400 LEFT JOIN fits USING (step) LEFT JOIN bands b ON b.step = row.step AND b.block = target % 86400 // 10800),
     point AS (SELECT *, CASE WHEN step = 0 THEN x0 WHEN ok THEN {r1('u1 + a * (x0 - u0)')} ELSE {r1('x0')} END AS value, CASE WHEN step = 0 THEN 0 WHEN ok THEN band ELSE persistence END AS w FROM run),
     ahead AS (SELECT station_id, step, target, CASE WHEN ok THEN 'seasonal' ELSE 'no_change' END AS kind, value, CASE WHEN step = 0 THEN value ELSE {r1('value - w')} END AS lower, CASE WHEN step = 0 THEN value ELSE {r1('value + w')} END AS upper FROM point),
-    wide AS (SELECT station_id, step, target, kind, value, CASE WHEN station_id % 2 = 1 THEN {r1('value - (value - lower) * 1.5')} ELSE lower END AS lower, CASE WHEN station_id % 2 = 1 THEN {r1('value + (upper - value) * 1.5')} ELSE upper END AS upper FROM ahead)"""
+    health AS ({HEALTH_SQL}),
+    wide AS (SELECT station_id, step, target, kind, value, CASE WHEN band_factor > 1 THEN {r1('value - (value - lower) * 1.5')} ELSE lower END AS lower, CASE WHEN band_factor > 1 THEN {r1('value + (upper - value) * 1.5')} ELSE upper END AS upper FROM ahead LEFT JOIN health USING (station_id))"""
 
 
 def hours_ahead(spark, sf_dir):
     g, fits, _, bands = fitted(spark, sf_dir)
     usual = outlook.usual_by_slot(g, KEYS, "temp", least=20)
-    return outlook.widen(outlook.ahead(g, KEYS, usual, fits, bands, steps=STEPS), F.col("station_id") % 2 == 1)
+    judged = health_escalation(spark, sf_dir).select("station_id", "band_factor")  # a row a station
+    said = outlook.ahead(g, KEYS, usual, fits, bands, steps=STEPS).join(judged, "station_id", "left")
+    return outlook.widen(said, F.coalesce(F.col("band_factor") > 1, F.lit(False))).drop("band_factor")
 
 
 @query(f"WITH {AHEAD_SQL} SELECT station_id, step, target, kind, {r4('value')} AS value, {r4('lower')} AS lower, {r4('upper')} AS upper FROM wide")
@@ -205,27 +235,6 @@ def rainfall_context(spark, sf_dir):
     return outlook.rainfall_context(daily.gated(days(spark, sf_dir), KEYS, least_hours=1), KEYS, span=14, dry=30.0)
 
 
-@query(f"""WITH {QUALITY_SQL}, {RAW_SQL[len(GRID_SQL) :].lstrip(", ")},
-    ends AS (SELECT station_id, max(slot) AS last FROM raw GROUP BY 1),
-    m AS (UNPIVOT (SELECT station_id, count(*) AS slots, count(temp) AS temp, count(rh) AS rh, count(press) AS press, count(wind) AS wind, count(gust) AS gust, count(rain) AS rain FROM raw JOIN ends USING (station_id) WHERE slot > last - 86400 GROUP BY 1)
-        ON temp, rh, press, wind, gust, rain INTO NAME channel VALUE measured),
-    g AS (SELECT station_id, channel, count(DISTINCT slot) FILTER (flag = 'bad') AS bad, count(DISTINCT slot) FILTER (flag = 'suspect') AS suspect FROM long JOIN ends USING (station_id) WHERE slot > last - 86400 GROUP BY 1, 2),
-    f AS (SELECT m.station_id, list_sort(list(m.channel)) AS failing FROM m LEFT JOIN g ON g.station_id = m.station_id AND g.channel = m.channel
-        WHERE m.channel <> 'rain' AND (measured = 0 OR coalesce(bad, 0) > 0.05 * slots OR coalesce(suspect, 0) = slots) GROUP BY 1),
-    e AS (SELECT q.station_id, fresh_minutes, CASE WHEN quality = 'GOOD' AND failing IS NOT NULL THEN 'DEGRADED' ELSE quality END AS quality, failing FROM quality q LEFT JOIN f USING (station_id))
-    SELECT station_id, CASE WHEN fresh_minutes >= 540 THEN 'POOR' ELSE quality END AS quality,
-        array_to_string(list_concat(list_transform(coalesce(failing, []), lambda c: 'station_health_bad:' || c), CASE WHEN fresh_minutes >= 540 AND quality <> 'POOR' THEN ['forecast_horizon_elapsed'] ELSE [] END), ',') AS health_flags,
-        CASE WHEN fresh_minutes < 540 AND quality = 'DEGRADED' THEN 1.5 ELSE 1 END::DOUBLE AS band_factor FROM e""")
-def health_escalation(spark, sf_dir):
-    """Sensors that failed over the last day lower the data's quality, and with it widen the bands."""
-    r = raw(spark, sf_dir)
-    ends = F.broadcast(r.groupBy("station_id").agg(F.max("slot").alias("last")))
-    recent = lambda df: df.join(ends, KEYS).filter("slot > last - 86400").drop("last")
-    judged = quality.channel_days(recent(r), recent(quality.rule_hits(r, KEYS)), KEYS, ["temp", "rh", "press", "wind", "gust", "rain"], F.lit(0)).withColumn("verdict", quality.verdict())
-    found = outlook.escalate(latest_quality(spark, sf_dir), judged, KEYS)
-    return found.select("station_id", "quality", F.array_join("health_flags", ",").alias("health_flags"), "band_factor")
-
-
 @query(f"""WITH {GRID_SQL}, a AS (SELECT o_orderkey AS anchor_id, o_custkey % 4 AS station_id, 1703800000 + o_orderkey * 7919 % 3000000 AS anchor FROM orders),
     b AS (SELECT station_id, min(slot) AS lo, max(slot) AS hi FROM grid GROUP BY 1), e AS (SELECT anchor_id, station_id, least(anchor - anchor % 900, hi) AS "end", anchor > hi AS realtime FROM a JOIN b USING (station_id) WHERE anchor >= lo - 172800),
     c AS (SELECT *, count(*) OVER (PARTITION BY station_id ORDER BY slot) AS k FROM grid),
