@@ -49,3 +49,20 @@ def waits(parts: DataFrame, keys: list[str], block: int = 10800, least: int = 20
     best = F.max_by(F.struct("next", "n", "hours"), F.struct("n", -F.col("next"))).alias("b")
     total = each.groupBy("state", "block").agg(best, F.sum("n").alias("all")).filter(F.col("all") >= least)
     return total.select("state", "block", "b.next", F.col("all").alias("n"), (F.col("b.n") / F.col("all")).alias("share"), "b.hours")
+
+
+def standing(labels: DataFrame, keys: list[str], dwell: int = 4, least: int = 20) -> DataFrame:
+    """(keys, slot, state, since, next, share, hours) of each key's latest labelled slot: the state that has settled, since when it holds, what mostly follows it at this time of day
+    and after how many hours; where the time of day has fewer than ``least`` slots, what follows it at any time. ``labels`` has (keys, slot, label)."""
+    from .series import segments, smooth
+
+    settled = smooth(labels, keys, "label", dwell).filter("state is not null").select(*keys, "slot", "state")
+    parts = segments(settled, keys, "state")
+    latest = settled.groupBy(*keys).agg(F.max("slot").alias("slot"))
+    now = parts.groupBy(*keys).agg(F.max_by("state", "start").alias("state"), F.max("start").alias("since")).join(latest, keys)
+    now = now.withColumn("block", F.floor(F.col("slot") % 86400 / 10800))
+    told = lambda name: F.struct("next", "share", "hours").alias(name)
+    here = waits(parts, keys, least=least).select("state", "block", told("_here"))
+    any_time = waits(parts, keys, block=86400, least=1).select("state", told("_any"))
+    met = now.join(F.broadcast(here), ["state", "block"], "left").join(F.broadcast(any_time), "state", "left")  # a row a state and block
+    return met.withColumn("_t", F.coalesce("_here", "_any")).select(*keys, "slot", "state", "since", "_t.next", "_t.share", "_t.hours")

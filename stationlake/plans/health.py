@@ -260,6 +260,23 @@ def waits_by_block(spark, sf_dir):
     return states.waits(state_parts(spark, sf_dir), KEYS).withColumns({"share": half_up(F.col("share"), 4), "hours": half_up(F.col("hours"), 4)})
 
 
+def _waits_sql(block: str, least: int) -> str:
+    return f"""SELECT state, {block} AS block, max_by(next, (n, -next)) AS next, max(n) / sum(n) AS share, max_by(hours, (n, -next)) AS hours FROM (
+        SELECT state, {block} AS block, next, count(*) AS n, quantile_cont((until - slot) / 3600.0::double, 0.5) AS hours FROM x GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING sum(n) >= {least}"""
+
+
+@query(f"""WITH {SMOOTH_SQL}, p AS (SELECT state, start, lead(start) OVER w AS until, lead(state) OVER w AS next FROM segs WINDOW w AS (PARTITION BY station_id ORDER BY start)),
+    x AS (SELECT state, next, until, slot, slot % 86400 // 10800 AS block FROM (SELECT state, next, until, unnest(generate_series(start, until - 900, 900)) AS slot FROM p WHERE next IS NOT NULL)),
+    h AS ({_waits_sql('block', 20)}), a AS ({_waits_sql('0', 1)}),
+    now AS (SELECT station_id, max_by(state, start) AS state, max(start) AS since FROM segs GROUP BY 1), l AS (SELECT station_id, max(slot) AS slot FROM smooth GROUP BY 1)
+    SELECT now.station_id, l.slot, now.state, since, CASE WHEN h.state IS NULL THEN a.next ELSE h.next END AS next, {r4('CASE WHEN h.state IS NULL THEN a.share ELSE h.share END')} AS share, {r4('CASE WHEN h.state IS NULL THEN a.hours ELSE h.hours END')} AS hours
+    FROM now JOIN l USING (station_id) LEFT JOIN h ON h.state = now.state AND h.block = l.slot % 86400 // 10800 LEFT JOIN a ON a.state = now.state""")
+def state_standing(spark, sf_dir):
+    """Q6: classified, smoothed and cut into runs, the state of each station now, since when it holds, what follows and when."""
+    found = states.standing(labelled(spark, sf_dir), KEYS)
+    return found.withColumns({c: half_up(F.col(c), 4) for c in ("share", "hours")})
+
+
 @query(f"""WITH {SMOOTH_SQL} SELECT state, count(*) AS slots, {r4('count(*) / sum(count(*)) OVER ()')} AS share, {r4('quantile_cont((slot + 10800) % 86400 / 3600.0, 0.5)')} AS median_hour FROM smooth GROUP BY 1""")
 def state_summary(spark, sf_dir):
     """Share and median local hour of each state."""
