@@ -178,6 +178,32 @@ def plan(requests: DataFrame, station: DataFrame, regional: DataFrame, quality:
     return rows.select("request_id", source.alias("outcome"), F.when(own, F.col("_s")).otherwise(F.col("_r")).alias("start"))
 
 
+def plan_with_reasons(requests: DataFrame, station: DataFrame, regional: DataFrame, quality: DataFrame, keys: list[str], order: Column, seconds: int, daylight: tuple[int, int], step: int = 900) -> DataFrame:
+    """As ``plan``, from the time of the request (now) on: (request_id, outcome, start, peak, lower, upper, searched_from). A window that the station's forecast gives has its band, a regional one 2 degrees on
+    either side, as a grid cell stands in for the station. Without a window: ``no_daylight_window`` if none of that length is left between the ends of daylight, ``quality_poor`` if
+    the station's data are poor and the region has no forecast at all, else ``no_window``. ``searched_from`` is told where the range had begun already."""
+    up = lambda x: F.ceil(x / step) * step
+    asked = requests.withColumn("_from", up(F.greatest("window_start", "now")))
+
+    def best(candidates: DataFrame, name: str) -> DataFrame:
+        met = asked.join(candidates, keys).filter((F.col("start") >= F.col("_from")) & (F.col("end") <= F.col("window_end")))
+        return met.groupBy("request_id").agg(F.min_by(F.struct("start", "peak", "width"), order).alias(name))
+
+    rows = asked.join(F.broadcast(quality), keys[:1]).join(best(station, "_s"), "request_id", "left").join(best(regional.withColumn("width", F.lit(4.0)), "_r"), "request_id", "left")
+    rows = rows.join(regional.select(*keys).distinct().withColumn("_known", F.lit(True)), keys, "left")
+    poor = F.col("quality") == "POOR"
+    own = ~poor & F.col("_s").isNotNull()
+    last = F.col("window_end") - seconds
+    light = lambda t: (t % 86400).between(*daylight)
+    starts = F.when(F.col("_from") <= last, F.sequence(F.col("_from"), last, F.lit(step).cast("long"))).otherwise(F.array().cast("array<long>"))
+    room = F.exists(starts, lambda t: light(t) & light(t + seconds))
+    outcome = F.when(own, "station").when(F.col("_r").isNotNull(), "regional").when(~room, "no_daylight_window").when(poor & F.col("_known").isNull(), "quality_poor").otherwise("no_window")
+    rows = rows.withColumns({"outcome": outcome, "_b": F.when(own, F.col("_s")).otherwise(F.col("_r"))})
+    half = F.col("_b.width") / 2
+    late = F.when(F.col("_from") > up(F.col("window_start")), F.col("_from"))
+    return rows.select("request_id", "outcome", "_b.start", "_b.peak", (F.col("_b.peak") - half).alias("lower"), (F.col("_b.peak") + half).alias("upper"), late.alias("searched_from"))
+
+
 def escalate(quality: DataFrame, failing: DataFrame, keys: list[str], horizon_minutes: int = 540) -> DataFrame:
     """Quality (keys, quality, fresh_minutes) worsened by sensor groups that fail their rules, rain aside, and to POOR when the whole forecast
     has passed. Adds ``health_flags`` and the factor of the bands."""

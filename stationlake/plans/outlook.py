@@ -317,6 +317,37 @@ def activity_plan(spark, sf_dir):
     return outlook.plan(asked, w.filter("day % 3 <> 0"), w.filter("day % 2 = 0"), poor, ["station_id", "day"], besttime.order())
 
 
+@query(f"""WITH {WINDOWS_SQL}, asked AS (SELECT o_orderkey AS request_id, o_custkey % 4 AS station_id, 19724 + o_orderkey % 28 AS day, (19724 + o_orderkey % 28) * 86400 + o_orderkey % 40 * 900 AS window_start,
+        (19724 + o_orderkey % 28) * 86400 + 30000 + o_orderkey % 50 * 900 AS window_end, (19724 + o_orderkey % 28) * 86400 + o_orderkey % 11 * 5400 AS now FROM orders),
+    a AS (SELECT *, ceil(greatest(window_start, now) / 900.0)::BIGINT * 900 AS begin FROM asked),
+    ranked AS (SELECT *, (rank, floor(peak / 0.05::double + 1e-6), floor(width / 0.1::double + 1e-6), floor(mean * 1e6 + 0.5), start) AS k,
+        (rank, floor(peak / 0.05::double + 1e-6), floor(mean * 1e6 + 0.5), start) AS rk, {{'start': start, 'peak': peak, 'width': width}} AS w FROM cand),
+    own AS (SELECT request_id, min_by(w, k) AS w FROM a JOIN ranked USING (station_id, day) WHERE start >= begin AND "end" <= window_end AND day % 3 <> 0 AND station_id <> 3 GROUP BY 1),
+    reg AS (SELECT request_id, min_by(w, rk) AS w FROM a JOIN ranked USING (station_id, day) WHERE start >= begin AND "end" <= window_end AND day % 2 = 0 GROUP BY 1),
+    known AS (SELECT DISTINCT station_id, day FROM cand WHERE day % 2 = 0),
+    met AS (SELECT a.*, own.w AS o, reg.w AS r, known.day IS NOT NULL AS regional, len(list_filter(range(begin, window_end - 7200 + 1, 900), lambda t: t % 86400 BETWEEN 12600 AND 56100 AND (t + 7200) % 86400 BETWEEN 12600 AND 56100)) > 0 AS room
+        FROM a LEFT JOIN own USING (request_id) LEFT JOIN reg USING (request_id) LEFT JOIN known ON known.station_id = a.station_id AND known.day = a.day),
+    g AS (SELECT *, CASE WHEN o IS NOT NULL THEN o.start ELSE r.start END AS start, CASE WHEN o IS NOT NULL THEN o.peak ELSE r.peak END AS peak, CASE WHEN o IS NOT NULL THEN o.width WHEN r IS NOT NULL THEN 4 END / 2 AS half FROM met)
+    SELECT request_id, CASE WHEN o IS NOT NULL THEN 'station' WHEN r IS NOT NULL THEN 'regional' WHEN NOT room THEN 'no_daylight_window' WHEN station_id = 3 AND NOT regional THEN 'quality_poor' ELSE 'no_window' END AS outcome,
+        start, {r4('peak')} AS peak, {r4('peak - half')} AS lower, {r4('peak + half')} AS upper, CASE WHEN begin > ceil(window_start / 900.0)::BIGINT * 900 THEN begin END AS searched_from FROM g""")
+def activity_plan_reasons(spark, sf_dir):
+    """Q12: plans from now on, with the band of what they rest on and why there is none."""
+    k = F.col("o_orderkey")
+    day = 19724 + k % 28
+    asked = table(spark, sf_dir, "orders").select(
+        k.alias("request_id"),
+        (F.col("o_custkey") % 4).alias("station_id"),
+        day.alias("day"),
+        (day * 86400 + k % 40 * 900).alias("window_start"),
+        (day * 86400 + 30000 + k % 50 * 900).alias("window_end"),
+        (day * 86400 + k % 11 * 5400).alias("now"),
+    )
+    w = windows(spark, sf_dir)
+    poor = spark.range(4).select(F.col("id").alias("station_id"), F.when(F.col("id") == 3, "POOR").otherwise("GOOD").alias("quality"))
+    found = outlook.plan_with_reasons(asked, w.filter("day % 3 <> 0"), w.filter("day % 2 = 0"), poor, ["station_id", "day"], besttime.order(), 7200, (12600, 56100))
+    return found.withColumns({c: half_up(F.col(c), 4) for c in ("peak", "lower", "upper")})
+
+
 @query(f"""WITH {READINGS_SQL}, d AS (SELECT * FROM readings QUALIFY row_number() OVER (PARTITION BY station_id, t ORDER BY event_id DESC) = 1),
     l AS (SELECT station_id, t, CASE WHEN temp BETWEEN -5 AND 45 THEN temp END AS temp, CASE WHEN rh > 0 AND rh <= 100 THEN rh END AS rh, CASE WHEN press BETWEEN 800 AND 900 THEN press END AS press, CASE WHEN wind BETWEEN 0 AND 60 THEN wind END AS wind, CASE WHEN rain BETWEEN 0 AND 10 THEN rain END AS rain FROM d),
     g AS (SELECT station_id, t - t % 900 AS slot, avg(temp) AS temp, avg(rh) AS rh, avg(press) AS press, avg(wind) AS wind, sum(rain) AS rain FROM l GROUP BY 1, 2),
