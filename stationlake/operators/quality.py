@@ -79,7 +79,8 @@ def day_scores(judged: DataFrame, silent: DataFrame, keys: list[str]) -> DataFra
 
 def freshness_quality(rows: DataFrame) -> DataFrame:
     """GOOD, DEGRADED or POOR from ``fresh_minutes``, ``spread`` of the thermometers, ``critical`` (fields filled in the latest slot),
-    ``filled_share`` (of the last 24 slots), and ``flags`` that say why; ``temp`` and ``rh`` are the latest values."""
+    ``filled_share`` (of the last 24 slots), and ``flags`` that say why; ``temp`` and ``rh`` are the latest values. Where ``rows`` have ``firmware`` and ``wet_bulb``, a WBGT of the firmware
+    below the wet bulb, which can't be, is told, too; it doesn't count against the data."""
     minutes, spread, critical, share = F.col("fresh_minutes"), F.col("spread"), F.col("critical"), F.col("filled_share")
     poor = (minutes > 180) | (spread > 3) | (critical >= 3)
     worse = (minutes > 60) | (spread > 2) | (critical >= 1) | (share > 0.25)
@@ -92,6 +93,8 @@ def freshness_quality(rows: DataFrame) -> DataFrame:
         "humidity_out_of_range": ~F.col("rh").between(0, 100),
         "temp_out_of_range": ~F.col("temp").between(-10, 50),
     }
+    if {"firmware", "wet_bulb"} <= set(rows.columns):
+        flags["firmware_wbgt_below_wet_bulb"] = F.col("firmware") < F.col("wet_bulb")
     listed = F.array_compact(F.array(*(F.when(held, F.lit(name)) for name, held in flags.items())))
     return rows.withColumns({"quality": F.when(poor, "POOR").when(worse, "DEGRADED").otherwise("GOOD"), "flags": listed})
 

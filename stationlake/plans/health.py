@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.heat import stull_wet_bulb
 from ..functions.rounding import half_up
 from ..operators import quality, series, states
 from ..sources.testdata import GRID_SQL, READINGS_SQL, readings
+from .expressions import STULL_SQL
 from .registry import query, r4
 
 KEYS = ["station_id"]
@@ -128,7 +130,7 @@ QUALITY_SQL = f"""{GRID_SQL}, kept AS (SELECT station_id, slot, temp IS NULL AS
     quality AS (SELECT *, CASE WHEN fresh_minutes > 180 OR spread > 3 OR critical >= 3 THEN 'POOR' WHEN fresh_minutes > 60 OR spread > 2 OR critical >= 1 OR filled_share > 0.25 THEN 'DEGRADED' ELSE 'GOOD' END AS quality,
         list_filter([CASE WHEN fresh_minutes > 180 THEN 'stale_data' END, CASE WHEN fresh_minutes > 60 AND fresh_minutes <= 180 THEN 'observation_age_elevated' END, CASE WHEN critical > 0 THEN 'missing_fields' END,
             CASE WHEN filled_share > 0.25 THEN 'gaps_filled_recently' END, CASE WHEN spread > 2 THEN 'temp_sensor_disagreement' END, CASE WHEN NOT rh BETWEEN 0 AND 100 THEN 'humidity_out_of_range' END,
-            CASE WHEN NOT temp BETWEEN -10 AND 50 THEN 'temp_out_of_range' END], lambda x: x IS NOT NULL) AS flags FROM latest)"""
+            CASE WHEN NOT temp BETWEEN -10 AND 50 THEN 'temp_out_of_range' END, CASE WHEN 0.7::double * temp + 2 < {STULL_SQL} THEN 'firmware_wbgt_below_wet_bulb' END], lambda x: x IS NOT NULL) AS flags FROM latest)"""
 
 
 def latest_quality(spark, sf_dir):
@@ -148,6 +150,8 @@ def latest_quality(spark, sf_dir):
         latest(F.col("rh") * 1.1).alias("rh"),
         latest(F.greatest(*air) - F.least(*air)).alias("spread"),
     )
+    # a firmware's WBGT that doesn't know the humidity
+    s = s.withColumns({"firmware": 0.7 * F.col("temp") + 2, "wet_bulb": stull_wet_bulb(F.col("temp"), F.col("rh"))})
     return quality.freshness_quality(s)
 
 
