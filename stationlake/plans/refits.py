@@ -265,4 +265,4 @@ def rain_model_choice(spark, sf_dir):
     b = F.col("chosen_brier")
     figures = {"brier": b, "brier_own_rate": F.col("own"), "brier_base_rate": F.col("base"), "brier_old_rule": F.col("old"), "skill_own": 1 - b / F.col("own"), "skill_base": 1 - b / F.col("base")}
     kind = F.when(b < F.col("own"), "logistic").otherwise("climatology").alias("kind")
-    return chosen.crossJoin(F.broadcast(others)).select("chosen", kind, *(half_up(c, 4).alias(n) for n, c in figures.items()))
+    return chosen.filter("chosen is not null").crossJoin(F.broadcast(others)).select("chosen", kind, *(half_up(c, 4).alias(n) for n, c in figures.items()))
