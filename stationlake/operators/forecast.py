@@ -70,6 +70,13 @@ def brier(p: Column, y: Column) -> Column:
     return F.avg((p - y) * (p - y))
 
 
+def skill(score: Column, reference: Column, digits: int = 4) -> Column:
+    """How much lower a score is than the reference's, as a share of that. A reference without error leaves nothing to share: minus infinity, or NaN
+    where the score has no error either, as division of doubles gives."""
+    of = half_up(1 - F.try_divide(score, reference), digits)
+    return F.when(reference > 0, of).when(score > 0, float("-inf")).when(reference.isNotNull(), float("nan"))
+
+
 def select_simplest(scores: DataFrame, order: list[str], within: float = 0.005) -> DataFrame:
     """The first model in ``order`` that is within ``within`` of the best at every horizon, else the one of lowest total."""
     best = scores.groupBy("step").agg(F.min("mae").alias("best"))

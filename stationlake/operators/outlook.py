@@ -271,7 +271,7 @@ def gauge_rain(first: Column, second: Column) -> Column:
 
 def rain_rates(rows: DataFrame, period: str, cell: str, wet: str) -> DataFrame:
     """(period, cell, rate, base): how often it was wet in a cell, and at all, over all earlier periods. Counts a period first, then sums over
-    the periods before, so that history isn't read again."""
+    the periods before, so that history isn't read again. A cell that no earlier period has has no rate."""
     counts = rows.groupBy(period, cell).agg(F.sum(wet).alias("_w"), F.count(wet).alias("_n"))
     cells, periods = rows.select(cell).distinct(), rows.select(period).distinct()
     every = periods.crossJoin(F.broadcast(cells))  # periods times 24 hours
@@ -279,8 +279,8 @@ def rain_rates(rows: DataFrame, period: str, cell: str, wet: str) -> DataFrame:
     before = Window.partitionBy(cell).orderBy(period).rowsBetween(Window.unboundedPreceding, -1)
     sums = dense.withColumns({"_w": F.sum("_w").over(before), "_n": F.sum("_n").over(before)})
     total = Window.partitionBy(period)
-    base = F.sum("_w").over(total) / F.sum("_n").over(total)
-    return sums.select(period, cell, (F.col("_w") / F.col("_n")).alias("rate"), base.alias("base")).filter("base is not null")
+    base = F.try_divide(F.sum("_w").over(total), F.sum("_n").over(total))
+    return sums.select(period, cell, F.try_divide("_w", "_n").alias("rate"), base.alias("base")).filter("base is not null")
 
 
 def lag_over(keys: list[str], column: str, n: int) -> Column:

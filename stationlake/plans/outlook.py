@@ -189,7 +189,7 @@ def rain_backtest(spark, sf_dir):
     return rows.groupBy("week", "model").agg(
         F.count(F.lit(1)).alias("n"),
         half_up(brier, 4).alias("brier"),
-        half_up(1 - brier / by_base, 4).alias("skill"),
+        forecast.skill(brier, by_base).alias("skill"),
         F.count_if(half & (F.col("wet") == 1)).alias("hits"),
         F.count_if(half & (F.col("wet") == 0)).alias("false_alarms"),
         F.count_if(~half & (F.col("wet") == 1)).alias("misses"),
