@@ -66,6 +66,25 @@ def tallies(error: Column, band: Column) -> list[Column]:
     ]
 
 
+def percentile(rows: DataFrame, keys: list[str], value: Column, share: float, name: str, width: float = 0.01) -> DataFrame:
+    """(keys, name): the exact percentile of ``value``, interpolated between neighbours. Counts by bins of ``width`` tell in which bins the two neighbours
+    lie; the values of these alone are ranked, each once, so that no task holds the values of a key."""
+    from pyspark.sql import Window
+
+    v = F.col("_v")
+    sized = rows.select(*keys, value.alias("_v")).filter(v.isNotNull()).withColumn("_bin", F.when(F.isnan(v), 2**63 - 1).otherwise(F.floor(v / width)))
+    every = Window.partitionBy(*keys)
+    upto = lambda n, *by: F.sum(n).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, 0))
+    bins = sized.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n")).withColumns({"_upto": upto("_n", *keys, "_bin"), "_at": share * (F.sum("_n").over(every) - 1)})
+    low, high = F.floor("_at"), F.ceil("_at")
+    holds = lambda rank: (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
+    near = bins.filter(holds(low) | holds(high)).select(*keys, "_bin", (F.col("_upto") - F.col("_n")).alias("_before"), "_at")
+    each = sized.join(F.broadcast(near), [*keys, "_bin"]).groupBy(*keys, "_bin", "_v", "_before", "_at").agg(F.count(F.lit(1)).alias("_n"))  # two bins a key at most
+    ranked = each.withColumn("_upto", F.col("_before") + upto("_n", *keys, "_bin", "_v"))
+    found = ranked.groupBy(*keys, "_at").agg(F.max(F.when(holds(low), v)).alias("_low"), F.max(F.when(holds(high), v)).alias("_high"))
+    return found.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - low)).alias(name))
+
+
 def brier(p: Column, y: Column) -> Column:
     return F.avg((p - y) * (p - y))
 

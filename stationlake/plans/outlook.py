@@ -29,14 +29,16 @@ def r1(column: str) -> str:
 
 #: The series and what is usual, up to a comma.
 USUAL_SQL = BASE_SQL.split("pairs AS (")[0]
-FIT_SQL = f"""{USUAL_SQL} steps AS (SELECT unnest(generate_series(1, {STEPS})) AS step),
+EXACT_FIT_SQL = f"""{USUAL_SQL} steps AS (SELECT unnest(generate_series(1, {STEPS})) AS step),
     far AS (SELECT o.station_id, o.slot, step, o.temp AS x0, o.usual AS u0, t.temp AS x1, t.usual AS u1 FROM usual o CROSS JOIN steps JOIN usual t ON t.station_id = o.station_id AND t.slot = o.slot + step * 900
         WHERE o.temp IS NOT NULL AND o.usual IS NOT NULL AND t.usual IS NOT NULL),
     fits AS (SELECT step, sum((x0 - u0) * (x1 - u1)) / sum((x0 - u0) * (x0 - u0)) AS a, count(*) AS n_train FROM far WHERE slot < {CALIBRATION} GROUP BY 1),
     held AS (SELECT f.*, u1 + a * (x0 - u0) AS f, u1 + a * (x0 - u0) - x1 AS e, (slot + step * 900) % 86400 // 10800 AS block FROM far f JOIN fits USING (step) WHERE slot >= {CALIBRATION}),
-    pooled AS (SELECT step, quantile_cont(floor(abs(e) * 100 + 0.5) / 100, 0.8) AS band, quantile_cont(floor(abs(x0 - x1) * 100 + 0.5) / 100, 0.8) AS persistence FROM held WHERE slot < {TEST} GROUP BY 1),
-    blocks AS (SELECT step, block, quantile_cont(floor(abs(e) * 100 + 0.5) / 100, 0.8) AS band FROM held WHERE slot < {TEST} GROUP BY 1, 2),
+    pooled AS (SELECT step, quantile_cont(abs(e), 0.8) AS band, quantile_cont(abs(x0 - x1), 0.8) AS persistence FROM held WHERE slot < {TEST} GROUP BY 1),
+    blocks AS (SELECT step, block, quantile_cont(abs(e), 0.8) AS band FROM held WHERE slot < {TEST} GROUP BY 1, 2),
     bands AS (SELECT step, block, coalesce(blocks.band, pooled.band) AS band, persistence FROM pooled CROSS JOIN generate_series(0, 7) b(block) LEFT JOIN blocks USING (step, block))"""
+#: The same with bands of errors that are counted by hundredths.
+FIT_SQL = EXACT_FIT_SQL.replace("quantile_cont(abs(e), 0.8)", "quantile_cont(floor(abs(e) * 100 + 0.5) / 100, 0.8)").replace("quantile_cont(abs(x0 - x1), 0.8)", "quantile_cont(floor(abs(x0 - x1) * 100 + 0.5) / 100, 0.8)")
 
 
 def far_pairs(spark, sf_dir):
@@ -61,7 +63,7 @@ def fitted(spark, sf_dir):
     return g, fits, held, bands
 
 
-@query(f"""WITH {FIT_SQL}, p AS (SELECT step, band AS pooled_band FROM pooled), t AS (SELECT h.*, pooled_band FROM held h JOIN p USING (step) WHERE slot >= {TEST}),
+@query(f"""WITH {EXACT_FIT_SQL}, p AS (SELECT step, band AS pooled_band FROM pooled), t AS (SELECT h.*, pooled_band FROM held h JOIN p USING (step) WHERE slot >= {TEST}),
     k AS (SELECT *, CASE WHEN f < 18 THEN 0 WHEN f < 21 THEN 1 WHEN f < 24 THEN 2 ELSE 3 END AS said, CASE WHEN x1 < 18 THEN 0 WHEN x1 < 21 THEN 1 WHEN x1 < 24 THEN 2 ELSE 3 END AS was FROM t)
     SELECT step, {r4('any_value(fit_a)')} AS a, any_value(n_train) AS n_train, count(*) AS n_test, {r4('avg(abs(e))')} AS test_mae, {r4('sqrt(avg(e * e))')} AS test_rmse, {r4('avg(abs(x0 - x1))')} AS persistence_mae,
         {r4('any_value(k.pooled_band)')} AS band80, {r4('avg((abs(e) <= pooled_band)::INTEGER)')} AS coverage80, {r1('avg((said = was)::INTEGER) * 100')} AS band_same_pct, {r1('avg((said < was)::INTEGER) * 100')} AS band_lower_pct
@@ -70,8 +72,7 @@ def final_fit(spark, sf_dir):
     """One fit for each of 36 steps before the test dates, bands from held-out weeks, scores on the test dates, and how often the
     risk band was the same, or told too low."""
     _, fits, held, bands = fitted(spark, sf_dir)
-    counts = error_counts(held.filter(F.col("slot") < TEST), "step")
-    pooled = counts.groupBy("step").agg(F.percentile("size", F.lit(0.8), F.col("n")).alias("pooled"))
+    pooled = forecast.percentile(held.filter(F.col("slot") < TEST), ["step"], F.abs("e"), 0.8, "pooled")
     test = held.filter(F.col("slot") >= TEST).join(F.broadcast(pooled), "step")
     said, was = risk_rank(risk_band(F.col("f"))), risk_rank(risk_band(F.col("x1")))
     share = lambda c: F.avg(c.cast("int"))
