@@ -13,7 +13,7 @@ from .decisions import FILLED_SQL, wbgt
 from .expressions import STULL_SQL, SUN_SQL
 from .forecasts import BASE_SQL, scored
 from .health import CENTROIDS, QUALITY_SQL, RAW_SQL, SMOOTH_SQL, business_day, latest_quality, raw, state_parts
-from .outlook import FIT_SQL, NOW, final_fit
+from .outlook import EXACT_FIT_SQL, NOW, final_fit
 from .registry import query, r4
 from .windows import DAY_SQL, days, grid
 
@@ -26,7 +26,7 @@ def hot_state(spark, sf_dir):
     return spark.createDataFrame([alerts.hot_state(CENTROIDS, "level", 14.0, 4.0)], "state int, value double")
 
 
-@query(f"""WITH {FIT_SQL}, b AS (SELECT step, band AS pooled_band FROM pooled), t AS (SELECT step, avg(abs(e)) AS mae, any_value(pooled_band) AS band FROM held JOIN b USING (step) WHERE slot >= 1706100000 GROUP BY 1),
+@query(f"""WITH {EXACT_FIT_SQL}, b AS (SELECT step, band AS pooled_band FROM pooled), t AS (SELECT step, avg(abs(e)) AS mae, any_value(pooled_band) AS band FROM held JOIN b USING (step) WHERE slot >= 1706100000 GROUP BY 1),
     pairs AS ({BASE_SQL.split("pairs AS (", 1)[1].replace("fits AS (SELECT step, week", "weekly_fits AS (SELECT step, week").replace("JOIN fits USING", "JOIN weekly_fits USING")},
     w AS (SELECT step, count(DISTINCT week) AS weeks, avg(abs(e)) AS weekly FROM scored GROUP BY 1)
     SELECT 'forecast_' || step || '_steps' AS name, step, {r4('mae')} AS test_mae, {r4('band')} AS band80, weeks, {r4('weekly')} AS weekly_mae FROM t JOIN w USING (step)""")
