@@ -163,15 +163,24 @@ def assess(activities: DataFrame, forecast: DataFrame, now: int, step: int = 900
     )
 
 
+def _in_order(station: DataFrame, regional: DataFrame, keys: list[str], order: Column, fields: list[str]) -> DataFrame:
+    """(keys, _station, _regional): the candidates of each key by ``order``, best first. A key has the windows of one day, so a request looks
+    its own up in one row, and no request is paired with candidates."""
+    listed = lambda df, name: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order.alias("by"), *fields))).alias(name))
+    return listed(station, "_station").join(listed(regional, "_regional"), keys, "full")
+
+
+def _first(candidates: str, begin: str, end: str) -> Column:
+    """Of candidates in order the first that lies between ``begin`` and ``end``."""
+    return F.get(F.filter(candidates, lambda c: (c["start"] >= F.col(begin)) & (c["end"] <= F.col(end))), 0)
+
+
 def plan(requests: DataFrame, station: DataFrame, regional: DataFrame, quality: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """For each request (keys, request_id, window_start, window_end) the best window that fits, from the station's candidates unless its data
     are poor, else from the regional ones, else why there is none. ``quality`` has (keys, quality)."""
-
-    def best(candidates: DataFrame, prefix: str) -> DataFrame:
-        met = requests.join(candidates, keys).filter((F.col("start") >= F.col("window_start")) & (F.col("end") <= F.col("window_end")))
-        return met.groupBy("request_id").agg(F.min_by("start", order).alias(prefix))
-
-    rows = requests.join(F.broadcast(quality), keys[:1]).join(best(station, "_s"), "request_id", "left").join(best(regional, "_r"), "request_id", "left")
+    offers = _in_order(station, regional, keys, order, ["start", "end"])
+    rows = requests.join(F.broadcast(quality), keys[:1]).join(offers, keys, "left")
+    rows = rows.select("request_id", "quality", *(_first(c, "window_start", "window_end")["start"].alias(name) for c, name in (("_station", "_s"), ("_regional", "_r"))))
     poor = F.col("quality") == "POOR"
     own = ~poor & F.col("_s").isNotNull()
     source = F.when(own, "station").when(F.col("_r").isNotNull(), "regional").when(poor, "quality_poor").otherwise("no_window")
@@ -185,19 +194,17 @@ def plan_with_reasons(requests: DataFrame, station: DataFrame, regional: DataFra
     up = lambda x: F.ceil(x / step) * step
     asked = requests.withColumn("_from", up(F.greatest("window_start", "now")))
 
-    def best(candidates: DataFrame, name: str) -> DataFrame:
-        met = asked.join(candidates, keys).filter((F.col("start") >= F.col("_from")) & (F.col("end") <= F.col("window_end")))
-        return met.groupBy("request_id").agg(F.min_by(F.struct("start", "peak", "width"), order).alias(name))
-
-    rows = asked.join(F.broadcast(quality), keys[:1]).join(best(station, "_s"), "request_id", "left").join(best(regional.withColumn("width", F.lit(4.0)), "_r"), "request_id", "left")
-    rows = rows.join(regional.select(*keys).distinct().withColumn("_known", F.lit(True)), keys, "left")
+    offers = _in_order(station, regional.withColumn("width", F.lit(4.0)), keys, order, ["start", "end", "peak", "width"])
+    rows = asked.join(F.broadcast(quality), keys[:1]).join(offers, keys, "left")
+    found = {"_s": _first("_station", "_from", "window_end"), "_r": _first("_regional", "_from", "window_end"), "_known": F.col("_regional").isNotNull()}
+    rows = rows.withColumns(found).drop("_station", "_regional")
     poor = F.col("quality") == "POOR"
     own = ~poor & F.col("_s").isNotNull()
     last = F.col("window_end") - seconds
     light = lambda t: (t % 86400).between(*daylight)
     starts = F.when(F.col("_from") <= last, F.sequence(F.col("_from"), last, F.lit(step).cast("long"))).otherwise(F.array().cast("array<long>"))
     room = F.exists(starts, lambda t: light(t) & light(t + seconds))
-    outcome = F.when(own, "station").when(F.col("_r").isNotNull(), "regional").when(~room, "no_daylight_window").when(poor & F.col("_known").isNull(), "quality_poor").otherwise("no_window")
+    outcome = F.when(own, "station").when(F.col("_r").isNotNull(), "regional").when(~room, "no_daylight_window").when(poor & ~F.col("_known"), "quality_poor").otherwise("no_window")
     rows = rows.withColumns({"outcome": outcome, "_b": F.when(own, F.col("_s")).otherwise(F.col("_r"))})
     half = F.col("_b.width") / 2
     late = F.when(F.col("_from") > up(F.col("window_start")), F.col("_from"))
