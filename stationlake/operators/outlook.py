@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.heat import risk_band, risk_rank
 from ..functions.rounding import half_up
-from .series import over
+from .series import dense, over
 
 
 def usual_by_slot(series: DataFrame, keys: list[str], value: str, days: int = 30, least: int = 10, time: str = "slot") -> DataFrame:
@@ -225,14 +225,15 @@ def escalate(quality: DataFrame, failing: DataFrame, keys: list[str], horizon_mi
 
 def lookback(anchors: DataFrame, grid: DataFrame, keys: list[str], hours: int, least_rows: int, reach: int, step: int = 900) -> DataFrame:
     """Anchors (keys, anchor_id, anchor) with the end of their series (the anchor, or the last slot if that is earlier), its rows, and whether it is
-    real time; refused more than ``reach`` seconds before the first slot, or with too few rows. Anchors are dealt to slots."""
+    real time; refused more than ``reach`` seconds before the first slot, or with too few rows. Rows are counted once for each slot that a series may end at, not for
+    each anchor; slots are multiples of ``step``."""
+    read = grid.groupBy(*keys, "slot").agg(F.count(F.lit(1)).alias("_n"))
+    span = over(keys).rowsBetween(1 - hours * 3600 // step, 0)
+    counts = dense(read, keys, step).select(*keys, F.col("slot").alias("end"), F.sum("_n").over(span).alias("rows")).filter(F.col("rows") >= least_rows)
     bounds = grid.groupBy(*keys).agg(F.min("slot").alias("_lo"), F.max("slot").alias("_hi"))
-    rows = anchors.join(F.broadcast(bounds), keys)
-    end = F.least(F.col("anchor") - F.col("anchor") % step, F.col("_hi"))
-    rows = rows.withColumns({"end": end, "realtime": F.col("anchor") > F.col("_hi")}).filter(F.col("anchor") >= F.col("_lo") - reach)
-    dealt = rows.withColumn("slot", F.explode(F.sequence(F.col("end") - hours * 3600 + step, F.col("end"), F.lit(step).cast("long"))))
-    met = dealt.join(grid.select(*keys, "slot"), [*keys, "slot"])
-    return met.groupBy(*keys, "anchor_id", "end", "realtime").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= least_rows)
+    rows = anchors.join(F.broadcast(bounds), keys).filter(F.col("anchor") >= F.col("_lo") - reach)
+    ends = rows.select(*keys, "anchor_id", F.least(F.col("anchor") - F.col("anchor") % step, F.col("_hi")).alias("end"), (F.col("anchor") > F.col("_hi")).alias("realtime"))
+    return ends.join(counts, [*keys, "end"]).select(*keys, "anchor_id", "end", "realtime", "rows")
 
 
 def stitched(archive: DataFrame, api: DataFrame, top_up: DataFrame, keys: list[str], now: Column, time: str = "t", late: int = 1800) -> DataFrame:

@@ -44,3 +44,19 @@ def test_plans_pair_no_request_with_windows(spark, reasons):
         station = best(i, s, d, begin, end, [x for x in windows if x[1] == 1]) if s != 1 else None
         regional = [(*x[:6], 4.0, x[7]) if reasons else x for x in windows if x[0] == 1]
         assert starts[i] == (station if station is not None else best(i, s, d, begin, end, regional))
+
+
+def test_lookback_counts_once_for_each_end(spark):
+    """Anchors between slots, ahead of the first, after the last, in a hole, and one that is there twice."""
+    slots = [900 * i for i in range(40) if i not in (10, 11, 12, 30)]
+    anchors = [(1, -500), (2, 5 * 900 + 1), (3, 12 * 900), (4, 31 * 900 + 899), (5, 10**6), (5, 10**6), (6, 0), (7, -5000), (8, 39 * 900)]
+    grid = spark.createDataFrame([(0, s) for s in slots], "station_id int, slot long")
+    df = outlook.lookback(spark.createDataFrame([(0, *a) for a in anchors], "station_id int, anchor_id int, anchor long"), grid, ["station_id"], hours=2, least_rows=3, reach=1000)
+    want = []
+    for k, a in anchors:
+        end = min(a - a % 900, 39 * 900)
+        n = sum(end - 7200 < s <= end for s in slots)
+        if a >= -1000 and n >= 3:
+            want.append((k, end, a > 39 * 900, n))
+    assert sorted((r["anchor_id"], r["end"], r["realtime"], r["rows"]) for r in df.collect()) == sorted(want)
+    assert "Aggregate [station_id, anchor_id" not in shown(df)
