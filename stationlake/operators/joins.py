@@ -1,24 +1,29 @@
-"""Joins on time: as of, nearest within a tolerance, intervals. Each is an equality join on time buckets with a
-condition, so neither side is compared with all of the other."""
+"""Joins on time: as of, nearest within a tolerance, intervals. The first two are a union sorted within a key and period, the last is an
+equality join on time buckets with a condition, so neither side is compared with all of the other."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int, left_time: str, right_time: str, pick: str) -> DataFrame:
-    """``left`` with ``pick`` of the nearest ``right`` row within ``tolerance``; ties go to the earlier one, none gives null."""
-    width = max(1, tolerance)
-    bucket = lambda c: F.floor(F.col(c) / width)
-    r = right.select(*keys, F.col(right_time).alias("_rt"), F.col(pick).alias("_pick"))
-    r = r.withColumn("_b", F.explode(F.array(*(F.floor(F.col("_rt") / width) + d for d in (-1, 0, 1)))))
-    l = left.withColumn("_b", bucket(left_time)).withColumn("_id", F.monotonically_increasing_id())  # noqa: E741
-    near = l.join(r, [*keys, "_b"], "left")
-    gap = F.abs(F.col(left_time) - F.col("_rt"))
-    best = F.min_by("_pick", F.when(gap <= tolerance, F.struct(gap, F.col("_rt"))))
-    columns = left.columns
-    return near.groupBy("_id", *columns).agg(best.alias(pick)).drop("_id")
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int, left_time: str, right_time: str, pick: str, period: int = 86400) -> DataFrame:
+    """``left`` with ``pick`` of the nearest ``right`` row within ``tolerance``; ties go to the earlier one, none gives null. One union, sorted within a key and ``period`` both
+    ways, gives each row its neighbours, so no pairs are made however dense both sides are; rows of ``right`` near the end of a period go to the next one, too."""
+    t = F.col(right_time)
+    periods = F.sequence(F.floor((t - tolerance) / period), F.floor((t + tolerance) / period))
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in [*keys, right_time]))
+    r = right.filter(known).select(*keys, t.alias("_t"), F.lit(0).alias("_side"), F.struct(t.alias("t"), F.col(pick).alias("pick")).alias("_right"), F.explode(periods).alias("_p"))
+    l = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), F.floor(F.col(left_time) / period).alias("_p"))  # noqa: E741
+    both = l.unionByName(r, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_p")
+    upto = lambda time: F.last("_right", ignorenulls=True).over(w.orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumns({"_before": upto(F.col("_t")), "_after": upto(F.desc("_t"))}).filter("_side = 1")
+    back, ahead = F.col("_t") - F.col("_before.t"), F.col("_after.t") - F.col("_t")
+    found = F.when((back <= tolerance) & (ahead.isNull() | (back <= ahead)), F.col("_before.pick")).when(ahead <= tolerance, F.col("_after.pick"))
+    return met.select("_left.*", found.alias(pick))
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, pick: list[str], period: int = 86400) -> DataFrame:

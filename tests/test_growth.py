@@ -60,3 +60,20 @@ def test_lookback_counts_once_for_each_end(spark):
             want.append((k, end, a > 39 * 900, n))
     assert sorted((r["anchor_id"], r["end"], r["realtime"], r["rows"]) for r in df.collect()) == sorted(want)
     assert "Aggregate [station_id, anchor_id" not in shown(df)
+
+
+@pytest.mark.parametrize("tolerance", [0, 900, 200_000])
+def test_nearest_makes_no_pairs(spark, tolerance):
+    """Rows on both sides of a day's end, at the same time, without a key or time, and values that aren't known."""
+    rng = random.Random(tolerance)
+    some = lambda n, step: [(rng.choice([0, 1, None]), rng.choice([None, rng.randrange(0, 4 * 86400, step)])) for _ in range(n)]
+    left, right = some(300, 60), {x: rng.choice([None, rng.random()]) for x in some(200, 60)}
+    l = spark.createDataFrame([(i, *x) for i, x in enumerate(left)], "id int, k int, t long")  # noqa: E741
+    r = spark.createDataFrame([(*x, v) for x, v in right.items()], "k int, rt long, v double")
+    df = joins.nearest(l, r, ["k"], tolerance, "t", "rt", "v")
+    assert "Join" not in shown(df)
+    found = {x["id"]: x["v"] for x in df.collect()}
+    assert len(found) == len(left)
+    for i, (k, t) in enumerate(left):
+        near = [(abs(t - rt), rt, v) for (rk, rt), v in right.items() if rt is not None and rk == k is not None and abs(t - rt) <= tolerance] if t is not None and k is not None else []
+        assert found[i] == (min(near, key=lambda x: x[:2])[2] if near else None)
