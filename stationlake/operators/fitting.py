@@ -45,10 +45,12 @@ def logistic(rows: DataFrame, inputs: list[str], target: str, penalty: float = 1
 
 
 def clusters(rows: DataFrame, inputs: list[str], k: int = 4, seeds: tuple[int, ...] = (11, 23, 37), rounds: int = 100) -> list[list[float]]:
-    """Centres of the best of several k-means runs by inertia, sorted by their first input, so that names don't depend on a run."""
-    assembled = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows).select("features").persist()
+    """Centres of the best of several k-means runs by inertia, sorted by their first input, so that names don't depend on a run. Equal rows are one point of their
+    number's weight, so a step's work grows with what is distinct; points are sorted, so that a seed picks the same ones again."""
+    points = rows.groupBy(*inputs).agg(F.count(F.lit(1)).cast("double").alias("_weight")).sortWithinPartitions(*inputs)
+    assembled = VectorAssembler(inputCols=inputs, outputCol="features").transform(points).select("features", "_weight").persist()
     try:
-        runs = [KMeans(k=k, seed=s, maxIter=rounds).fit(assembled) for s in seeds]
+        runs = [KMeans(k=k, seed=s, maxIter=rounds, weightCol="_weight").fit(assembled) for s in seeds]
         best = min(runs, key=lambda m: m.summary.trainingCost)
         return sorted(c.tolist() for c in best.clusterCenters())
     finally:

@@ -77,3 +77,24 @@ def test_nearest_makes_no_pairs(spark, tolerance):
     for i, (k, t) in enumerate(left):
         near = [(abs(t - rt), rt, v) for (rk, rt), v in right.items() if rt is not None and rk == k is not None and abs(t - rt) <= tolerance] if t is not None and k is not None else []
         assert found[i] == (min(near, key=lambda x: x[:2])[2] if near else None)
+
+
+def test_clusters_take_equal_rows_once(spark, monkeypatch):
+    seen = []
+
+    class Counting(fitting.KMeans):
+        def fit(self, rows):
+            seen.append(rows.count())
+            return super().fit(rows)
+
+    monkeypatch.setattr(fitting, "KMeans", Counting)
+    points = [(0.0, 0.0)] * 300 + [(1.0, 0.0)] * 100 + [(10.0, 0.0)] * 7 + [(20.0, 5.0)] * 9 + [(30.0, -5.0)] * 50
+    found = fitting.clusters(spark.createDataFrame(points, "x double, y double").repartition(7), ["x", "y"])
+    assert seen == [5, 5, 5]
+    assert [c for row in found for c in row] == pytest.approx([0.25, 0.0, 10.0, 0.0, 20.0, 5.0, 30.0, -5.0])
+
+
+def test_rows_of_the_named_queries(spark, sf_dir):
+    for name in ("activity_plan", "activity_plan_reasons"):
+        assert "Aggregate [request_id" not in shown(plans.QUERIES[name](spark, sf_dir)), name
+    assert plans.QUERIES["nearest_within_tol"](spark, sf_dir).filter(F.col("temp").isNotNull()).count() > 0
