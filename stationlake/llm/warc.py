@@ -5,7 +5,8 @@ written once, as a response, by the page with the largest id; the others are rev
 ``least_shared`` bytes are always written. ``write_index`` sorts the captures by the URL's key, its host reversed, over
 ranges of keys; a shard of the index is a file of compressed blocks of ``lines_per_block`` lines, beside a sparse directory of a line a block.
 ``lookup`` finds the shards whose range holds a key, searches their directories by bisection, reads the byte range of the blocks that may hold it, and
-searches in them; ``read_back`` goes through all blocks and reads every record by its byte range, neighbours in one read.
+searches in them; ``read_back`` reads each capture's record by its byte range, neighbours in one read. ``round_trip`` looks the key of every page's URL up, a key once, and reads the
+records of what is found; ``all_captures`` goes through all blocks without a key.
 
 Who shares a payload is found over ids and digests alone; pages are joined with the revisits only, by id and digest, so that no payload
 is a group of its own. No task holds more than a batch of pages, a block, or the directory of a shard, and the driver nothing but the bounds of shards.
@@ -233,32 +234,48 @@ def _captures_batch(extra: dict[str, list], found: list[dict]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([columns[c] for c in order], names=order)
 
 
+def _keys(urls: DataFrame, url_col: str) -> DataFrame:
+    """(url, key) of each URL, once."""
+
+    def keyed(batches):
+        for batch in batches:
+            urls_ = batch.column(0)
+            yield pa.RecordBatch.from_arrays([urls_, pa.array([key_of(u) for u in urls_.to_pylist()], pa.string())], names=["url", "key"])
+
+    return urls.select(F.col(url_col).cast("string").alias("url")).distinct().mapInArrow(keyed, "url string, key string")
+
+
 def lookup(shards: DataFrame, folder: str, urls: DataFrame, url_col: str = "url") -> DataFrame:
     """The captures of each URL: url and what the index says. ``shards`` is what ``write_index`` gave; its bounds, a row a shard, go to all tasks."""
+    return _search(shards, folder, _keys(urls, url_col))
+
+
+def _search(shards: DataFrame, folder: str, asked: DataFrame, most: int = 10_000) -> DataFrame:
+    """As ``lookup``, for rows (url, key); at most ``most`` captures and those of a block are held at once, however many a key has."""
     bounds = sorted((r["first_key"].encode(), r["last_key"].encode(), r["shard"]) for r in shards.collect())
     firsts, lasts = [b[0] for b in bounds], [b[1] for b in bounds]
 
     def routed(batches):
         for batch in batches:
             rows = []
-            for url in batch.column(0).to_pylist():
-                key = key_of(url).encode()
+            for url, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = text.encode()
                 for i in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key)):
                     rows.append((url, key, bounds[i][2]))
             urls_, keys, at = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(urls_, pa.string()), pa.array(keys, pa.binary()), pa.array(at, pa.string())], names=["url", "key", "shard"])
 
     def search(batches):
-        (store, at), shard, directory, file, read, lines = _store(folder), None, [], None, None, []
+        (store, at), shard, directory, starts, file, read, lines = _store(folder), None, [], [], None, None, []
+        found, of = [], []
         for batch in batches:
-            found, of = [], []
             for url, key, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if name != shard:
                     if file is not None:
                         file.close()
                     shard, directory, read = name, _directory(store, at, name), None
+                    starts = [d[0] for d in directory]
                     file = store.open_input_file(f"{at}/{name}.cdx.gz")
-                starts = [d[0] for d in directory]
                 # the key may begin at the end of the block before the first one that starts with it
                 for i in range(max(0, bisect.bisect_left(starts, key) - 1), bisect.bisect_right(starts, key)):
                     if read != i:
@@ -266,13 +283,16 @@ def lookup(shards: DataFrame, folder: str, urls: DataFrame, url_col: str = "url"
                     for _, capture in lines[bisect.bisect_left(lines, key, key=lambda x: x[0]) : bisect.bisect_right(lines, key, key=lambda x: x[0])]:
                         of.append(url)
                         found.append(capture)
-            if found:
-                yield _captures_batch({"url": of}, found)
+                    if len(found) >= most:
+                        yield _captures_batch({"url": of}, found)
+                        found, of = [], []
+        if found:
+            yield _captures_batch({"url": of}, found)
         if file is not None:
             file.close()
 
-    asked = urls.select(F.col(url_col).cast("string").alias("url")).distinct().mapInArrow(routed, "url string, key binary, shard string")
-    return asked.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(search, f"url string, {_CAPTURE}")
+    to_shards = asked.select("url", "key").mapInArrow(routed, "url string, key binary, shard string")
+    return to_shards.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(search, f"url string, {_CAPTURE}")
 
 
 def all_captures(shards: DataFrame, folder: str) -> DataFrame:
@@ -339,12 +359,14 @@ def read_back(captures: DataFrame, folder: str, payloads: bool = True, piece_byt
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Write archives and index, and read every record back by them: as ``read_back`` without payloads, with ids in their type."""
+    """Write archives and index, look every page's URL up in the index, and read the records of its captures back: as ``read_back`` without payloads, with ids in their
+    type. URLs of one key are looked up once, so that each capture is found once."""
     folder = folder or scratch(pages.sparkSession, "warc")
     id_type = pages.schema[options.get("id_col", "page_id")].dataType
     captures = settle(write_archives(pages, f"{folder}/archives", **options), "warc-captures")
     shards = settle(write_index(captures, f"{folder}/index"), "warc-shards")
-    found = read_back(all_captures(shards, f"{folder}/index"), f"{folder}/archives", payloads=False)
+    keys = _keys(pages, options.get("url_col", "url")).groupBy("key").agg(F.min("url").alias("url"))
+    found = read_back(_search(shards, f"{folder}/index", keys), f"{folder}/archives", payloads=False)
     return found.withColumn("page_id", F.col("page_id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 

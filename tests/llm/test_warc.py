@@ -98,3 +98,20 @@ def test_keys():
     assert warc.key_of("HTTP://www.Example.com:80/a b?x=1#y") == "com,example,www)/a%20b?x=1"
     assert warc.key_of("https://example.com:8443") == "com,example:8443)/"
     assert warc.key_of("mailto:x") == "mailto:x" and warc.key_of(None) == ""
+
+
+def test_round_trip_goes_by_the_index(spark, monkeypatch):
+    """Each page is found by its URL's key; a capture comes once where URLs share a key, also if none of them is known or one has very many."""
+    monkeypatch.setattr(warc, "all_captures", None)
+    urls = ["http://a.org/", "HTTP://A.org:80/#x", "http://a.org/b", None, "", "mailto:x", "http://a.org/b c", "http://a.org/b%20c"]
+    rows = [(i, urls[i % 8], f"{i}" if i % 2 else LONG) for i in range(70)] + [(100 + i, "http://hot.org/", f"hot {i}") for i in range(60)]
+    found = warc.round_trip(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert got(found) == plain(rows)
+
+
+def test_search_holds_few_captures(spark):
+    folder = "file://" + tempfile.mkdtemp(prefix="warc-")
+    rows = [(i, "http://hot.org/" if i % 4 else f"http://a.org/{i}", f"<p>{i}") for i in range(200)]
+    shards = warc.write_index(warc.write_archives(spark.createDataFrame(rows, SCHEMA), f"{folder}/a"), f"{folder}/i", lines_per_block=7).persist()
+    found = warc._search(shards, f"{folder}/i", warc._keys(spark.createDataFrame(rows, SCHEMA), "url"), most=5).collect()
+    assert sorted((int(r["page_id"]), r["url"]) for r in found) == [(i, u) for i, u, _ in rows]
